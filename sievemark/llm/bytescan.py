@@ -118,18 +118,21 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of every run of ``size`` consecutive word hashes."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
+def window_hashes_at(words: np.ndarray, places: np.ndarray | slice, size: int, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the ``size`` consecutive word hashes from each of ``places``."""
     up = _powers((_BASE * (2 * salt + 1) + 2 * salt) & ((1 << 64) - 1) | 1, size)
-    out = words[:n] * up[0]
+    shifted = (lambda j: words[places.start + j : places.stop + j]) if isinstance(places, slice) else (lambda j: words[places + j])
+    out = shifted(0) * up[0]
     for j in range(1, size):
-        out += words[j : j + n] * up[j]
+        out += shifted(j) * up[j]
     return mix(out ^ _U(salt * 0x632BE59BD9B4E019 & ((1 << 64) - 1)))
 
 
+def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of every run of ``size`` consecutive word hashes."""
+    return window_hashes_at(words, slice(0, max(len(words) - size + 1, 0)), size, salt)
+
+
 def documents_of(starts: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """The text (by index in the slice) of every byte position."""
     return np.searchsorted(starts, positions, side="right") - 1
