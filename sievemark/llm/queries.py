@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination
 from .exact_dedup import exact_classes
+from .lm_scoring import lm_scores
+from .mixing import mix
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -24,6 +26,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark, _table(spark, sf_dir, "documents"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark, _table(spark, sf_dir, "documents"))
 
@@ -34,6 +44,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_mixing": op5_mixing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
