@@ -1,10 +1,10 @@
-"""Count-min sketches merged from partitions, as packed two-bit cells.
+"""Count-min sketches merged from partitions, as packed cells of one or two bits.
 
 A partition describes its keys by cell numbers, grouped in blocks of 65,536 cells; blocks are merged by adding
 counts. The merged sketch keeps a frequency class for every cell and gives a key the smallest class of its
 cells, so a key's class is never below the class of its true count. The number of cells follows the expected
-number of keys up to ``MAX_CELLS``; a broadcast sketch so takes ``MAX_CELLS / 4`` bytes (32 MB) at most. With
-more keys than that the classes only become larger: callers lose speed, never keys.
+number of keys until the sketch takes ``MAX_BYTES``, which bounds what is broadcast. With more keys than that the
+classes only become larger: callers lose speed, never keys.
 """
 
 from __future__ import annotations
@@ -17,16 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
-MAX_CELLS = 1 << 27
+MAX_BYTES = 1 << 25
 MESSAGE_SCHEMA = "block int, part int, cells binary"
 MERGED_SCHEMA = "block int, classes binary"
 _SALTS = 16
 
 
-def cells_for(keys: int, per_key: float = 4.0) -> int:
-    """The number of cells for about ``keys`` keys: a power of two between one block and ``MAX_CELLS``."""
+def cells_for(keys: int, per_key: float = 4.0, bits: int = 2) -> int:
+    """The number of cells for about ``keys`` keys: a power of two between one block and what ``MAX_BYTES`` hold."""
     wanted = max(BLOCK, int(keys * per_key))
-    return min(MAX_CELLS, 1 << (wanted - 1).bit_length())
+    return min(MAX_BYTES * 8 // bits, 1 << (wanted - 1).bit_length())
 
 
 def cell_numbers(keys: np.ndarray, cells: int, depth: int) -> list[np.ndarray]:
@@ -69,7 +69,7 @@ def sketch_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.n
             for keys in keys_of(batch):
                 held.append(keys)
                 size += len(keys)
-                if size >= 1 << 20:
+                if size >= 1 << 19:
                     yield messages(np.concatenate(held), cells, depth, part)
                     held, size = [], 0
             if size:
@@ -85,7 +85,7 @@ def _classes(counts: np.ndarray, bounds: tuple[int, ...]) -> np.ndarray:
 def merge(sent: DataFrame, bounds: tuple[int, ...] = (2, 16, 256)) -> DataFrame:
     """Add the partitions' sketches: first within salted parts, then over the parts of a block.
 
-    ``bounds`` are the smallest counts of classes 1, 2 and 3.
+    ``bounds`` are the smallest counts of classes 1, 2 and 3; a single bound makes cells of one bit.
     """
 
     def partly(table: pa.Table) -> pa.Table:
@@ -101,8 +101,12 @@ def merge(sent: DataFrame, bounds: tuple[int, ...] = (2, 16, 256)) -> DataFrame:
         for x in table.column("cells").to_pylist():
             at, n = np.frombuffer(x, "<u2").reshape(2, -1)
             counts[at] += n
-        c = _classes(counts, bounds).reshape(-1, 4)
-        packed = c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
+        c = _classes(counts, bounds)
+        if len(bounds) == 1:
+            packed = np.packbits(c, bitorder="little")
+        else:
+            c = c.reshape(-1, 4)
+            packed = c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
         return pa.table({"block": table.column("block")[:1], "classes": pa.array([packed.tobytes()], pa.binary())})
 
     parts = sent.groupBy("block", "part").applyInArrow(partly, "block int, cells binary")
@@ -114,20 +118,23 @@ class Sketch:
 
     def __init__(self, packed: np.ndarray, cells: int, depth: int) -> None:
         self.packed, self.cells, self.depth = packed, cells, depth
+        self.bits = len(packed) * 8 // cells
 
     def classes(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), 3, dtype=np.uint8)
+        out = np.full(len(keys), (1 << self.bits) - 1, dtype=np.uint8)
+        step = 3 if self.bits == 1 else 2  # a byte holds 8 or 4 cells
         for at in cell_numbers(keys, self.cells, self.depth):
-            np.minimum(out, self.packed[at >> 2] >> ((at & 3) << 1).astype(np.uint8) & 3, out=out)
+            held = self.packed[at >> step] >> ((at & ((1 << step) - 1)) * self.bits).astype(np.uint8)
+            np.minimum(out, held & ((1 << self.bits) - 1), out=out)
         return out
 
 
-def collect(merged: DataFrame, cells: int, depth: int) -> Sketch:
-    """The merged sketch on the driver: ``cells / 4`` bytes, whatever the input."""
-    packed = np.zeros(cells // 4, dtype=np.uint8)
+def collect(merged: DataFrame, cells: int, depth: int, bits: int = 2) -> Sketch:
+    """The merged sketch on the driver: ``MAX_BYTES`` at most, whatever the input."""
+    packed = np.zeros(cells * bits // 8, dtype=np.uint8)
+    size = BLOCK * bits // 8
     for row in merged.toLocalIterator():
-        at = row["block"] * (BLOCK // 4)
-        packed[at : at + BLOCK // 4] = np.frombuffer(bytes(row["classes"]), np.uint8)
+        packed[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(bytes(row["classes"]), np.uint8)
     return Sketch(packed, cells, depth)
 
 

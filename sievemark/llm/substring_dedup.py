@@ -5,14 +5,15 @@ words with the smallest hash): equal windows have equal minimizers, so the sketc
 at least the count of the window, at a quarter of the entries. Partition sketches are merged by addition.
 
 Pass 2 reads the texts again and sends on only windows estimated to occur twice or more. Occurrences of one
-window within a record batch are settled there: all but the one of the smallest document are covered, and that
-one alone travels. So a window that half of all documents hold sends one row for a record batch. The rows meet
-by the window's 128-bit hash, and each document whose window also starts in a smaller document is covered there.
+window within some slices are settled there: all but those of the smallest document are covered, and travel as
+ranges only. So a window that half of all documents hold sends a few rows a task. Open windows go to the owner of
+their 96-bit hash's range, packed in columns; an owner's share is that of ``OWNER_BYTES`` of text. There each
+document whose window also starts in a smaller document is covered.
 No window is lost: every estimate is at least the true count.
 
-Nulls and texts without words give rows with zero words and the hash of the empty string. A repeated doc_id is
-one document in the sense that only a strictly smaller doc_id covers; its rows are kept apart by their text.
-Columns other than doc_id and text are ignored.
+Nulls and texts without words give rows with zero words and the hash of the empty string. Repeated rows each
+get a row; documents of one doc_id never cover each other, and rows of one doc_id are taken to have one text.
+A null doc_id covers nothing and keeps all words. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
@@ -30,7 +31,11 @@ from . import countmin as cm
 
 WINDOW_WORDS = 13
 GRAM_WORDS = 7
-_ROWS = "h1 long, h2 long, doc_id long, start int, settled boolean"
+#: Text for each owner of a range of window hashes; an eighth of its windows travel as a rule, all at most.
+OWNER_BYTES = 6 << 20
+_FLUSH = 1 << 19
+_SENT_NAMES = ["owner", "h1", "h2", "docs", "starts", "done", "low", "high"]
+_SENT = "owner int, h1 binary, h2 binary, docs binary, starts binary, done binary, low binary, high binary"
 
 
 def _windows(data: np.ndarray, starts: np.ndarray, size: int, gram: int):
@@ -53,66 +58,110 @@ def _minimizers(batch: pa.RecordBatch, size: int, gram: int) -> Iterator[np.ndar
             yield grams[places[np.flatnonzero(np.diff(places, prepend=-1))]]
 
 
-def _candidates(batch: pa.RecordBatch, sketch: cm.Sketch, size: int, gram: int) -> pa.RecordBatch:
-    ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), dtype=np.int64)
-    found = []
-    for row, data, starts in bs.slices(batch.column("text")):
-        _, _, words, owner, at, low, grams = _windows(data, starts, size, gram)
-        if not len(at):
-            continue
-        at = at[sketch.classes(grams[low[at]]) > 0]
-        if not len(at):
-            continue
-        first = bs.per_document(owner, len(starts) - 1)
-        h1, h2 = bs.window_hashes(words, size, 2)[at], bs.window_hashes(words, size, 3)[at]
-        found.append((h1, h2, ids[row + owner[at]], (at - first[owner[at]]).astype(np.int32)))
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of a column, lowest ones first: the high ones are mostly zero and compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _unplanes(coded: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(coded, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _pack(doc: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes]:
+    return _planes(np.diff(doc, prepend=0)), _planes(np.diff(start, prepend=np.int32(0)))
+
+
+def _unpack(doc: bytes, start: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_unplanes(doc, "<i8")), np.cumsum(_unplanes(start, "<i4"), dtype=np.int32)
+
+
+def _messages(found: list[tuple[np.ndarray, ...]], owners: int) -> pa.RecordBatch:
+    """Candidate windows of some slices: open ones for the owners of their hashes, settled ones as ranges."""
+    h1, h2, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((start, doc, h2, h1))
+    h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
+    # runs of one window; only occurrences in the run's smallest document are open
+    new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+    settled = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    rest = np.flatnonzero(settled)
+    rest = rest[np.lexsort((start[rest], doc[rest]))]
+    d, s = doc[rest], start[rest]
+    cut = np.flatnonzero(np.append(True, (np.diff(d) != 0) | (np.diff(s) > 1))) if len(rest) else rest
+    end = np.append(cut[1:], len(rest)) - 1 if len(rest) else rest
+    open_ = np.flatnonzero(~settled)
+    owner = (h1[open_] >> np.uint64(32)).astype(np.int64) * owners >> 32
+    by = np.lexsort((start[open_], doc[open_], owner))
+    open_, owner = open_[by], owner[by]
+    edges = np.flatnonzero(np.diff(owner, prepend=-1))
+    rows = []
+    for k, (a, b) in enumerate(zip(edges.tolist(), [*edges[1:].tolist(), len(owner)], strict=True)):
+        mine = open_[a:b]
+        told = (d[cut], s[cut], s[end]) if k == 0 else (d[:0], s[:0], s[:0])
+        rows.append((int(owner[a]), h1[mine].tobytes(), h2[mine].tobytes(), *_pack(doc[mine], start[mine]), *(x.tobytes() for x in told)))
+    types = (pa.int32(), *[pa.binary()] * 7)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_SENT_NAMES)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], sketch: cm.Sketch, size: int, gram: int, owners: int) -> Iterator[pa.RecordBatch]:
+    found: list[tuple[np.ndarray, ...]] = []
+    held = 0
+    for batch in batches:
+        ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), dtype=np.int64)
+        for row, data, starts in bs.slices(batch.column("text")):
+            _, _, words, owner, at, low, grams = _windows(data, starts, size, gram)
+            at = at[sketch.classes(grams[low[at]]) > 0] if len(at) else at
+            if not len(at):
+                continue
+            first = bs.per_document(owner, len(starts) - 1)
+            h2 = (bs.window_hashes(words, size, 3)[at] >> np.uint64(32)).astype(np.uint32)
+            found.append((bs.window_hashes(words, size, 2)[at], h2, ids[row + owner[at]], (at - first[owner[at]]).astype(np.int32)))
+            held += len(at)
+            if held >= _FLUSH:
+                yield _messages(found, owners)
+                found, held = [], 0
     if found:
-        h1, h2, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((start, doc, h1))
-        h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
-        # runs of one window; only occurrences in the run's smallest document are open
-        new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
-        run = np.cumsum(new) - 1
-        smallest = doc[np.flatnonzero(new)][run]
-        settled = doc > smallest
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.where(settled, 0, h1.view(np.int64))), pa.array(np.where(settled, 0, h2.view(np.int64))), pa.array(doc), pa.array(start), pa.array(settled)],
-            names=["h1", "h2", "doc_id", "start", "settled"],
-        )
-    return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())], names=["h1", "h2", "doc_id", "start", "settled"])
+        yield _messages(found, owners)
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """The windows of one owner: ranges of those that also start in a smaller document."""
+    h1 = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("h1").to_pylist()])
+    h2 = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("h2").to_pylist()])
+    pairs = [_unpack(d, s) for d, s in zip(table.column("docs").to_pylist(), table.column("starts").to_pylist(), strict=True)]
+    doc, start = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.lexsort((doc, h2, h1))
+    h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
+    new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+    late = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    told = [np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("done", np.int64), ("low", np.int32), ("high", np.int32))]
+    columns = (np.concatenate((doc[late], told[0])), np.concatenate((start[late], told[1])), np.concatenate((start[late], told[2])))
+    return pa.table([pa.array(c) for c in columns], names=["doc_id", "start", "stop"])
 
 
 def covered_windows(spark: SparkSession, docs: DataFrame, size: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
-    """(doc_id, start): windows, by their first word, that also start in a document of a smaller doc_id."""
+    """(doc_id, start, stop): ranges of windows, by first word, that also start in a document of a smaller doc_id."""
     docs = docs.select("doc_id", "text")
-    cells = cm.cells_for(cm.text_bytes(docs) // 24)
+    total = cm.text_bytes(docs)
+    cells = cm.cells_for(total // 24, 8, bits=1)
+    owners = max(1, -(-total // OWNER_BYTES))
     sent = cm.sketch_keys(docs.select("text"), lambda batch: _minimizers(batch, size, gram), cells, 2)
-    shared = spark.sparkContext.broadcast(cm.collect(cm.merge(sent), cells, 2))
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _candidates(batch, shared.value, size, gram)
-
-    rows = docs.where(F.col("doc_id").isNotNull()).mapInArrow(candidates, _ROWS)
-    # settled rows have no window to meet; they are dealt by document
-    key = F.when(F.col("settled"), F.xxhash64("doc_id", "start")).otherwise(F.col("h1"))
-    met = Window.partitionBy("h1", "h2", "settled")
-    rows = rows.withColumn("h1", key).withColumn("first", F.min("doc_id").over(met))
-    return rows.where("settled OR doc_id > first").select("doc_id", "start")
+    shared = spark.sparkContext.broadcast(cm.collect(cm.merge(sent, (2,)), cells, 2, bits=1))
+    rows = docs.where(F.col("doc_id").isNotNull()).mapInArrow(lambda batches: _candidates(batches, shared.value, size, gram, owners), _SENT)
+    return rows.groupBy("owner").applyInArrow(_meet, "doc_id long, start int, stop int")
 
 
 def _kept(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
     n_words, n_removed, digests = [], [], []
-    marks = batch.column("starts")
-    offsets, values = marks.offsets.to_numpy(), marks.values.to_numpy(zero_copy_only=False)
+    marks = batch.column("ranges")
+    offsets, lows, highs = marks.offsets.to_numpy(), *(marks.values.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "stop"))
     for row, data, starts in bs.slices(batch.column("text")):
         a, b = bs.word_bounds(data, bs.SPACE_WORDS)
         first = bs.per_document(bs.documents_of(starts, a), len(starts) - 1)
         raw = data.tobytes()
         for i in range(len(starts) - 1):
             lo, hi = first[i], first[i + 1]
-            mine = values[offsets[row + i] : offsets[row + i + 1]]
-            keep = ~bs.covered(hi - lo, mine.astype(np.int64), size) if len(mine) else np.ones(hi - lo, bool)
+            mine = slice(offsets[row + i], offsets[row + i + 1])
+            keep = ~bs.covered(hi - lo, lows[mine], highs[mine] - lows[mine] + size)
             at = np.flatnonzero(keep) + lo
             n_words.append(hi - lo)
             n_removed.append(hi - lo - len(at))
@@ -125,8 +174,8 @@ def _kept(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, size: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
     """One row per document: words, words removed, and the SHA-256 of the words kept, joined by one space."""
-    starts = covered_windows(spark, docs, size, gram).groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    joined = docs.select("doc_id", "text").join(starts, "doc_id", "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+    found = covered_windows(spark, docs, size, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    joined = docs.select("doc_id", "text").join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("ranges", F.array().cast("array<struct<start:int,stop:int>>")).alias("ranges"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
