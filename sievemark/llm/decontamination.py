@@ -159,10 +159,10 @@ def _parts(benchmark: DataFrame, limit: int) -> list[list[int]]:
     slots = max(1, -(-total * 4 // limit)) if total > limit else 1
     sizes = benchmark.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(slots)).alias("slot")).agg(F.sum(F.octet_length("text")).alias("size")).collect()
     parts: list[list[int]] = []
-    held = limit
+    held = 0
     for row in sorted(sizes, key=lambda r: r["slot"]):
         size = row["size"] or 0
-        if held + size > limit and (held or not parts):
+        if not parts or (held and held + size > limit):
             parts.append([])
             held = 0
         parts[-1].append(row["slot"])

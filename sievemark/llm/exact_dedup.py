@@ -160,7 +160,19 @@ def exact_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; a doc_id that stays is kept once."""
-    classes = exact_classes(spark, docs)
-    dropped = classes.where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stay, with all their columns; of repeated rows one stays.
+
+    Rows of a doc_id that occurs once are told by it. Rows of a repeated or null doc_id, if there are any, are told
+    by their normalised text too.
+    """
+    classes = cut(exact_classes(spark, docs))
+    ids = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("kept")).alias("gone"))
+    plain = docs.join(ids.where("n > 1 OR gone").select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti").where("doc_id IS NOT NULL")
+    several = ids.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
+    if several.isEmpty():
+        return plain
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    own = docs.join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256))
+    kept = classes.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).distinct()
+    own = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_text")), "left_semi")
+    return plain.unionByName(own.dropDuplicates(["doc_id", "_sha"]).drop("_sha"))

@@ -10,14 +10,20 @@ from .decontamination import contamination
 from .exact_dedup import exact_classes
 from .lm_scoring import lm_scores
 from .mixing import mix
+from .near_dedup import near_classes
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .toxicity import graded_labels, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(spark, _table(spark, sf_dir, "documents"), graded_labels(_table(spark, sf_dir, "labels")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(spark, _table(spark, sf_dir, "documents"))
 
@@ -34,6 +40,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(spark, _table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark, _table(spark, sf_dir, "documents"))
 
@@ -43,9 +53,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_mixing": op5_mixing,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
