@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,18 @@ def workers_import(spark: SparkSession, folder: str) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([folder, *paths])
 
 
+@contextmanager
+def plain_constraints(spark: SparkSession) -> Iterator[None]:
+    """Plan without constraint inference: over many rounds of joins its constraints double, and planning with them."""
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
