@@ -6,6 +6,7 @@ import hashlib
 import json
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def queue(spark):
 
 @pytest.fixture
 def panel(spark, queue):
-    contract = spark.createDataFrame([("tulu", c, "run", "main", "main", "model", "a" * 40, 2) for c in ("base", "sft")], "suite string, cell string, run_id string, cohort string, phase string, model_hf_id string, model_revision string, tokens int")
+    contract = spark.createDataFrame([("stage", c, "run", "main", "main", "model", "a" * 40, 2) for c in ("base", "sft")], "suite string, cell string, run_id string, cohort string, phase string, model_hf_id string, model_revision string, tokens int")
     raw = F.concat(F.lit("out  "), "source_id")
     normal = text.normalize_whitespace(raw)
     rows = contract.drop("tokens").join(queue, "cohort").select(
@@ -143,7 +144,7 @@ def test_files(spark, tmp_path, queue, panel):
     assert all(x == json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in lines)
     assert gates.same_multiset(files.read_jsonl(spark, str(tmp_path / "q"), files.QUEUE), queue).isEmpty()
     (tmp_path / "bad.jsonl").write_text('{"source_id": "a"}\n\n[1]\n')
-    with pytest.raises(PySparkException):
+    with pytest.raises((PySparkException, Py4JJavaError)):
         files.read_jsonl(spark, str(tmp_path / "bad.jsonl"), files.QUEUE).collect()
     tricky = spark.createDataFrame([('a "b"\nc', 1), ("é, ;", 0)], "text string, generated int")
     files.write_csv(tricky, str(tmp_path / "csv"))
