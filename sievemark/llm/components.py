@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+#: Nodes whose labels, 16 bytes each, may be broadcast; beyond that labels meet links in shuffled joins.
+BROADCAST_NODES = 1 << 19
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b), where component is the smallest node reachable.
 
     Each round gives a node the smallest label around it and then the label of its label, so long chains shorten
     by half. Labels are written to the shared checkpoint folder between rounds.
     """
+    hint = lambda df: F.broadcast(df) if small else df
     both = cut(links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    small = labels.count() <= BROADCAST_NODES
     while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        nearer = labels.join(around, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
+        around = both.join(hint(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        nearer = labels.join(hint(around), "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         jump = nearer.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = cut(nearer.join(jump, "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "old"))
+        new = cut(nearer.join(hint(jump), "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "old"))
         if new.where("component <> old").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")

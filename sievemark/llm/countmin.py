@@ -23,10 +23,10 @@ MERGED_SCHEMA = "block int, classes binary"
 _SALTS = 16
 
 
-def cells_for(keys: int, per_key: float = 4.0, bits: int = 2) -> int:
-    """The number of cells for about ``keys`` keys: a power of two between one block and what ``MAX_BYTES`` hold."""
+def cells_for(keys: int, per_key: float = 4.0, bits: int = 2, most: int = MAX_BYTES) -> int:
+    """The number of cells for about ``keys`` keys: a power of two between one block and what ``most`` bytes hold."""
     wanted = max(BLOCK, int(keys * per_key))
-    return min(MAX_BYTES * 8 // bits, 1 << (wanted - 1).bit_length())
+    return min(most * 8 // bits, 1 << (wanted - 1).bit_length())
 
 
 def cell_numbers(keys: np.ndarray, cells: int, depth: int) -> list[np.ndarray]:

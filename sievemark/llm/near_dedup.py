@@ -8,9 +8,9 @@ their first n - ceil(n * num / den) + 1 ones. How rare a shingle is comes from a
 never puts it below its true count. Shingles that occur once can't be shared, so a set with enough of them in
 its prefix sends nothing, and other sets send the rest of their prefix with positions: an inverted index.
 
-Index lists aren't paired off. Each round takes a pivot (later ``PIVOTS``, then twice as many each time) in every list, skips entries whose size or
-position rules out the overlap that a link to the pivot needs, verifies the others against the pivot on whole
-sets, and takes the pivot off the list. No pair is compared twice. Answers then carry over: entries linked to the pivot are in its
+Index lists aren't paired off. Each round takes its most central set as the pivot (later ``PIVOTS``, then ``MORE`` times as many each round) in every list, skips entries whose size or
+position rules out the overlap that a link to the pivot needs, or whose 256 parity bits do, verifies the others against the pivot on whole
+sets, and takes the pivot off the list. Answers then carry over: entries linked to the pivot are in its
 component and so in each other's; a list whose entries are all in one component is done; and an entry whose
 known distance to the first pivot differs from another's by more than a link allows is skipped, as Jaccard
 distance obeys the triangle inequality. So a list of near copies costs one comparison an entry, while every pair
@@ -33,17 +33,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, plain_constraints
 from . import bytescan as bs
 from . import countmin as cm
 from .components import components
 
 SHINGLE = 5
 NUM, DEN = 4, 5
-PIVOTS = 8
+PIVOTS = 32
+#: How many times as many pivots each round takes.
+MORE = 8
 #: Documents whose ids, 8 bytes each, may be broadcast to pick their texts.
 BROADCAST_IDS = 1 << 19
-_MEMBERS = "doc_id long, n_shingles long, sid binary, lead int, prefix array<long>"
+#: Bytes of the sketch of shingle counts, at most; this is what is broadcast.
+SKETCH_BYTES = 1 << 26
+_BITS = ("b0", "b1", "b2", "b3")
+_MEMBERS = "doc_id long, n_shingles long, sid binary, lead int, prefix array<long>, bits struct<b0: long, b1: long, b2: long, b3: long>"
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +76,9 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, size: int = SHINGLE) -> t
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """The sketched half of the shingles of every distinct set of a slice."""
+    """The shingles of every set of a slice."""
     for _, data, starts in bs.slices(batch.column("text")):
-        key, _ = shingle_sets(data, starts)
-        yield key[key >> np.uint64(63) == 0]
+        yield shingle_sets(data, starts)[0]
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -82,8 +86,19 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def parities(key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """256 bits for every set: whether an odd number of its shingles falls on the bit.
+
+    Two sets differ in at least as many shingles as their bits differ.
+    """
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    odd = np.bincount(owner * 256 + (key >> np.uint64(9) & np.uint64(255)).astype(np.int64), minlength=n * 256) % 2
+    return np.packbits(odd.astype(np.uint8).reshape(n, 256), axis=1).view(np.int64)
+
+
 def _members(batch: pa.RecordBatch, sketch: cm.Sketch) -> pa.RecordBatch:
-    sizes, sids, leads, prefixes = [], [], [], []
+    sizes, sids, leads, prefixes, bits = [], [], [], [], [np.zeros((0, 4), np.int64)]
     for _, data, starts in bs.slices(batch.column("text")):
         key, bounds = shingle_sets(data, starts)
         n = np.diff(bounds)
@@ -91,9 +106,8 @@ def _members(batch: pa.RecordBatch, sketch: cm.Sketch) -> pa.RecordBatch:
         two = _sums(bs.mix(key ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds)
         sids += [x.tobytes() for x in np.stack((one, two), axis=1)]
         sizes.append(n)
-        known = key >> np.uint64(63) == 0
-        # order: once, rare, unknown, frequent, very frequent
-        rank = np.where(known, np.array([0, 1, 3, 4], np.uint8)[sketch.classes(key)], np.uint8(2))
+        bits.append(parities(key, bounds))
+        rank = sketch.classes(key)  # once, rare, frequent, very frequent
         length = n - -(-n * NUM // DEN) + 1
         lead = _sums((rank == 0).astype(np.uint64), bounds).astype(np.int64)
         for d in range(len(n)):
@@ -112,8 +126,9 @@ def _members(batch: pa.RecordBatch, sketch: cm.Sketch) -> pa.RecordBatch:
             pa.array(sids, pa.binary()),
             pa.array(leads, pa.int32()),
             pa.array(prefixes, pa.list_(pa.int64())),
+            pa.StructArray.from_arrays([pa.array(x) for x in np.concatenate(bits).T], names=list(_BITS)),
         ],
-        names=["doc_id", "n_shingles", "sid", "lead", "prefix"],
+        names=["doc_id", "n_shingles", "sid", "lead", "prefix", "bits"],
     )
 
 
@@ -152,14 +167,22 @@ def _candidates(lists: DataFrame, pivots: DataFrame) -> DataFrame:
     met = lists.join(pivots, "token").where("node <> pivot AND (component IS NULL OR component <> pivot_component)")
     room = F.least("pos", "pivot_pos") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("pivot_n") - F.col("pivot_pos") - 1)
     fits = (F.least("n", "pivot_n") * DEN >= F.greatest("n", "pivot_n") * NUM) & (room >= _overlap(F.col("n"), F.col("pivot_n")))
+    apart = sum((F.bit_count(F.col(f"bits.{x}").bitwiseXOR(F.col(f"pivot_bits.{x}"))) for x in _BITS), F.lit(0))
+    fits = fits & (apart <= F.col("n") + F.col("pivot_n") - 2 * _overlap(F.col("n"), F.col("pivot_n")))
     near = F.coalesce(F.abs(F.col("far") - F.col("pivot_far")) <= 1 - NUM / DEN + 1e-9, F.lit(True))
     return met.where(fits & near)
 
 
 def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    with plain_constraints(spark):
+        return _near_classes(spark, docs)
+
+
+def _near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
-    cells = cm.cells_for(cm.text_bytes(docs) // 12, 4)
+    cells = cm.cells_for(cm.text_bytes(docs) // 6, 2, most=SKETCH_BYTES)
     sent = cm.sketch_keys(docs.select("text"), _tokens, cells, 1)
     shared = spark.sparkContext.broadcast(cm.collect(cm.merge(sent), cells, 1))
 
@@ -168,15 +191,18 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield _members(batch, shared.value)
 
     members = cut(docs.mapInArrow(members_of, _MEMBERS))
+    shared.destroy()
     named = members.where("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = named.groupBy("sid").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
     index = named.where("prefix IS NOT NULL").join(nodes.select(F.col("node").alias("doc_id"), F.col("sid").alias("own")), "doc_id").where("sid = own").dropDuplicates(["doc_id"])
-    lists = index.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "lead", F.posexplode("prefix").alias("pos", "token"))
-    lists = lists.select("token", "node", "n", (F.col("pos") + F.col("lead")).alias("pos"))
-    shared_tokens = lists.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("entries")).where("entries > 1")
+    lists = index.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "lead", "bits", F.posexplode("prefix").alias("pos", "token"))
+    # sets with few shingles of their own are central: copies differ from each other more than from their original
+    edge = F.floor(F.col("lead") * 1000 / F.col("n")).cast("int")
+    lists = lists.select("token", "node", "n", (F.col("pos") + F.col("lead")).alias("pos"), edge.alias("edge"), "bits")
+    shared_tokens = lists.groupBy("token").agg(F.min(F.struct("edge", "node", "n", "pos", "bits")).alias("p"), F.count(F.lit(1)).alias("entries")).where("entries > 1")
     lists = cut(
         lists.join(shared_tokens, "token").select(
-            "token", "node", "n", "pos", F.lit(None).cast("long").alias("component"), F.lit(None).cast("double").alias("far"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos")
+            "token", "node", "n", "pos", "edge", "bits", F.lit(None).cast("long").alias("component"), F.lit(None).cast("double").alias("far"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos"), F.col("p.bits").alias("pivot_bits")
         )
     )
     wanted = lists.select(F.col("node").alias("id")).distinct()
@@ -185,37 +211,37 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets = cut(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]))
 
     # the first pivots: of each entry's pivots, the one that shares most lists with it, then the others
-    first = _candidates(lists.drop("pivot", "pivot_n", "pivot_pos"), lists.where("node = pivot").select("token", "pivot", "pivot_n", "pivot_pos", F.lit(-1).alias("pivot_component"), F.lit(None).cast("double").alias("pivot_far")))
+    first = _candidates(lists.drop("pivot", "pivot_n", "pivot_pos", "pivot_bits"), lists.where("node = pivot").select("token", "pivot", "pivot_n", "pivot_pos", "pivot_bits", F.lit(-1).alias("pivot_component"), F.lit(None).cast("double").alias("pivot_far")))
     pairs = cut(first.groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("lists")))
     best = pairs.groupBy("b").agg(F.max_by("a", "lists").alias("a"))
     seen = cut(_verify(best.select("a", "b"), sets))
-    links = seen.where(_linked()).select("a", "b")
-    labels = components(links)
-    rest = _apart(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), labels)
-    seen = cut(seen.union(_verify(rest, sets)))
+    # a node linked to its best pivot needs no other pivot of the same star
+    stars = seen.where(_linked()).select(F.col("b").alias("node"), F.col("a").alias("component"))
+    rest = _apart(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), stars)
+    seen = cut(seen.union(_verify(rest, sets)).coalesce(parts))
     links = seen.where(_linked()).select("a", "b")
     labels = components(links)
 
     far = seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), _distance().alias("far"))
-    lists = lists.where("node <> pivot").drop("far", "component").join(far, ["pivot", "node"], "left").select("token", "node", "n", "pos", "far")
-    done = seen.select("a", "b")
+    lists = lists.where("node <> pivot").drop("far", "component").join(far, ["pivot", "node"], "left").select("token", "node", "n", "pos", "edge", "bits", "far")
     pivots_each = PIVOTS
     while True:
         labelled = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         alive = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        lists = cut(labelled.join(alive, "token").select("token", "node", "n", "pos", "far", "component"))
+        lists = cut(labelled.join(alive, "token").select("token", "node", "n", "pos", "edge", "bits", "far", "component"))
         if lists.isEmpty():
             break
-        entry = F.struct("node", "n", "pos", "component", "far")
+        entry = F.struct("edge", "node", "n", "pos", "bits", "component", "far")
         pivots = lists.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(pivots_each))).agg(F.min(entry).alias("p"))
-        pivots = cut(pivots.select("token", *(F.col(f"p.{x}").alias(y) for x, y in (("node", "pivot"), ("n", "pivot_n"), ("pos", "pivot_pos"), ("component", "pivot_component"), ("far", "pivot_far")))))
+        pivots = cut(pivots.select("token", *(F.col(f"p.{x}").alias(y) for x, y in (("node", "pivot"), ("n", "pivot_n"), ("pos", "pivot_pos"), ("bits", "pivot_bits"), ("component", "pivot_component"), ("far", "pivot_far")))))
         pairs = _candidates(lists, pivots).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        seen = cut(_verify(pairs.join(done, ["a", "b"], "left_anti"), sets))
-        done = cut(done.union(seen.select("a", "b")))
-        links = cut(links.union(seen.where(_linked()).select("a", "b")))
-        labels = components(links)
+        seen = cut(_verify(pairs, sets))
+        new = seen.where(_linked()).select("a", "b")
+        if not new.isEmpty():
+            links = cut(links.union(new).coalesce(parts))
+            labels = components(links)
         lists = lists.join(pivots.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti").drop("component")
-        pivots_each *= 2
+        pivots_each *= MORE
     own = members.join(nodes.select("sid", "node"), "sid", "left").join(labels, "node", "left")
     named = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return own.select("doc_id", "n_shingles", named.alias("component_id"))
