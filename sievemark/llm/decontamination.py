@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
@@ -188,21 +188,25 @@ def benchmark_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, s
     return found
 
 
+def _contaminated() -> Column:
+    n_hit = F.size("words").cast("long")
+    return (n_hit > 0) & (n_hit * 20 >= F.col("n_words"))
+
+
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits = benchmark_hits(spark, docs, benchmark, size, part_bytes)
-    n_hit = F.size("words").cast("long")
-    return hits.select(
+    return benchmark_hits(spark, docs, benchmark, size, part_bytes).select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        F.size("words").cast("long").alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+        _contaminated().alias("contaminated"),
     )
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    bad = contamination(spark, docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of ``docs`` that aren't contaminated, with all their columns; rows are told by doc_id and text."""
+    bad = benchmark_hits(spark, docs, benchmark).where(_contaminated()).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tag"))
+    return docs.join(bad, same, "left_anti")

@@ -198,7 +198,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> SeverityModel:
     """A model of ``labels`` (doc_id, grade), fitted on a sample of about ``fit_rows`` rows of each grade."""
-    rows = sorted((r["grade"], bytes(r["features"])) for r in fit_sample(docs, labels, fit_rows).toLocalIterator())
+    rows = sorted((r["grade"], bytes(r["features"])) for r in fit_sample(docs, labels, fit_rows).collect())
     return fit([np.frombuffer(x, "<i4").astype(np.int64) for _, x in rows], np.array([g for g, _ in rows], dtype=np.int64))
 
 

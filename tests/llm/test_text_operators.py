@@ -143,4 +143,6 @@ def test_filters_keep_columns_and_clean_rows(spark):
     assert {(i, (t or "").lower()) for i, t in rows} == {(i, (t or "").lower()) for i, t in [r for r in REPEATED if exact(REPEATED)[REPEATED.index(r)][3]] + [(None, "only null"), (12, "another text")]}
     assert {r.doc_id for r in near_dedup(spark, odd).collect()} == {r[2] for r in near(ODD)}
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    nobody = spark.createDataFrame([(None, PASSAGE), (None, "clean text here"), (7, PASSAGE), (7, "another clean text")], "doc_id long, text string")
+    assert sorted(r.text for r in decontaminate(spark, nobody, items).collect()) == ["another clean text", "clean text here"]
     assert {r.doc_id for r in decontaminate(spark, odd, items).collect()} == {r[0] for r in brute_contamination(ODD, ITEMS) if not r[5]}
