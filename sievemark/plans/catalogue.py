@@ -603,7 +603,7 @@ def primary_view_select(spark, sf_dir):
 
 
 @query(f"WITH {AUROC_SQL}, {_DRAWS_SQL}, i AS (SELECT cell, quantile_cont(auroc, 0.025) AS lo, quantile_cont(auroc, 0.975) AS hi FROM samples GROUP BY 1) SELECT CASE cell WHEN 'click' THEN 'Click' WHEN 'error' THEN 'Error' WHEN 'purchase' THEN 'Purchase' ELSE 'Sign-up' END AS label, round(auroc, 9) AS auroc, round(lo, 9) AS ci_low, round(hi, 9) AS ci_high, auroc >= 0.9999 AS flagged FROM auroc JOIN i USING (cell)")
-def figure_staircase(spark, sf_dir):
+def figure_series(spark, sf_dir):
     """Display labels, AUROC, interval and the plotted ceiling flag of every cell."""
     rows = cut(scores(spark, sf_dir))
     names = F.create_map(*[F.lit(x) for pair in (("click", "Click"), ("error", "Error"), ("purchase", "Purchase"), ("signup", "Sign-up")) for x in pair])
