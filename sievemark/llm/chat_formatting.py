@@ -18,6 +18,11 @@ Status: ``orphan`` (a result without a call), ``cyclic``, ``invalid`` (see ``pro
 A null conv_id or call_id can't be linked and gets status ``unlinked``. Null arguments are invalid. References to unknown
 calls are problems and don't order. An empty table gives an empty result. Other columns are ignored.
 
+``whole`` adds rows for what linking leaves over, so that nothing of the input is missing: status ``duplicate`` for each
+text that repeats a call or result (``copies`` says how often, the kept one not counted; 1 in all other rows) and, in
+``format_turns``, status ``message`` for each turn that is no call or result (of a system, say, or without a role) or
+says more than its calls or result hold, with its role and whole text in the line.
+
 ``plain_calls`` reads a table of turns (conv_id, turn, role, text). A turn whose text is a JSON object with
 ``tool_calls`` (or ``tool_call_id``) gives those calls (that result). Other turns are read as the simplest
 exchange: a user's turn calls ``respond`` with its text, and the assistant's turn after it is the result.
@@ -102,26 +107,30 @@ def parsed(arguments: str | None) -> tuple[Any, bool]:
 
 
 def _messages(role: str | None, conv: int | None, turn: int | None, text: str | None) -> list[tuple]:
-    """Calls and results of one turn."""
+    """Calls and results of one turn; a message, with null for ``is_call``, if they don't hold all that it says."""
+    message = (conv, None, turn, None, None, [], canonical({"content": text, "role": role}), None)
     value = parsed(text)[0] if text and text.lstrip()[:1] == "{" else None
     if isinstance(value, dict) and isinstance(value.get("tool_calls"), list):
         out = []
+        whole = set(value) == {"tool_calls"} and value["tool_calls"] != []
         for x in value["tool_calls"]:
             own = x if isinstance(x, dict) else {}
             refs = own.get("refs")
             arguments = own.get("arguments")
             arguments = arguments if isinstance(arguments, str) else canonical(arguments) if arguments is not None else None
             out.append((conv, _text(own.get("id")), turn, _text(own.get("name")), arguments, [str(r) for r in refs] if isinstance(refs, list) else [], None, True))
-        return out
+            whole = whole and own is x and set(x) <= {"id", "name", "arguments", "refs"} and (refs is None or isinstance(refs, list)) and (arguments is None or parsed(arguments)[1])
+        return out if whole else [*out, message]
     if isinstance(value, dict) and "tool_call_id" in value:
         content = value.get("content")
-        return [(conv, _text(value["tool_call_id"]), turn, None, None, [], content if isinstance(content, str) or content is None else canonical(content), False)]
+        result = (conv, _text(value["tool_call_id"]), turn, None, None, [], content if isinstance(content, str) or content is None else canonical(content), False)
+        return [result] if set(value) <= {"tool_call_id", "content"} else [result, message]
     known = conv is not None and turn is not None
     if role == "user":
         return [(conv, f"{conv}:{turn}" if known else None, turn, "respond", canonical({"text": text}), [], None, True)]
     if role == "assistant":
         return [(conv, f"{conv}:{turn - 1}" if known else None, turn, None, None, [], text, False)]
-    return []
+    return [message]
 
 
 def _text(value: Any) -> str | None:
@@ -129,7 +138,7 @@ def _text(value: Any) -> str | None:
 
 
 def plain_calls(turns: DataFrame) -> DataFrame:
-    """Calls and results (``is_call``) of a table of turns."""
+    """Calls, results (``is_call``) and messages (null) of a table of turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_())
@@ -178,8 +187,8 @@ def _places(ordered: DataFrame) -> DataFrame:
 
 def _serialise(batch: pa.RecordBatch, schemas: dict[str, dict]) -> pa.RecordBatch:
     out: list[tuple] = []
-    fields = ("call_id", "name", "arguments", "unknown", "content", "is_call", "answered", "level")
-    for call, name, arguments, unknown, content, is_call, answered, level in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
+    fields = ("call_id", "name", "arguments", "unknown", "content", "is_call", "answered", "level", "repeated")
+    for call, name, arguments, unknown, content, is_call, answered, level, repeated in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
         problems: list[str] = []
         value = None
         if is_call:
@@ -193,6 +202,8 @@ def _serialise(batch: pa.RecordBatch, schemas: dict[str, dict]) -> pa.RecordBatc
             problems += [f"refs: {x}" for x in sorted(unknown or [])]
         if call is None or batch.column("conv_id")[len(out)].as_py() is None:
             status = "unlinked"
+        elif repeated:
+            status = "duplicate"
         elif not is_call:
             status = "orphan"
         elif level is None:
@@ -205,17 +216,28 @@ def _serialise(batch: pa.RecordBatch, schemas: dict[str, dict]) -> pa.RecordBatc
     columns = list(zip(*out, strict=True)) if out else [(), (), ()]
     types = (pa.string(), pa.list_(pa.string()), pa.string())
     kept = ["conv_id", "call_id", "turn", "level", "place"]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*kept, "status", "problems", "line"])
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), batch.column("copies")], names=[*kept, "status", "problems", "line", "copies"])
+
+
+def _repeats(items: DataFrame, kept: DataFrame, body: list[str]) -> DataFrame:
+    """conv_id, call_id, ``body`` and copies of the items beside the kept one of their key; ``kept`` has it as ``c``, and its items as ``n``."""
+    key = ["conv_id", "call_id"]
+    counted = items.join(kept.where("n > 1").select(*key, "c"), key).groupBy(*key, "c", *body).agg(F.count(F.lit(1)).alias("copies"))
+    return counted.withColumn("copies", F.col("copies") - F.struct(*body).eqNullSafe(F.col("c")).cast("long")).where("copies > 0").drop("c")
+
 
+def link_calls(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dict[str, dict], whole: bool = False) -> DataFrame:
+    """One row per call, orphan result and unlinkable row: conv_id, call_id, turn, level, place, status, problems, line, copies.
 
-def link_calls(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call, orphan result and unlinkable row: conv_id, call_id, turn, level, place, status, problems, line."""
+    ``whole``: and one per text that repeats a call or result.
+    """
     key = ["conv_id", "call_id"]
     body = ["turn", "name", "arguments", "refs"]
     linked = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    own = calls.where(linked).groupBy(*key).agg(F.min(F.struct(*body)).alias("c")).select(*key, *(F.col(f"c.{x}").alias(x) for x in body))
-    own = cut(own.withColumn("refs", F.coalesce("refs", F.array().cast("array<string>"))))
-    answers = results.where(linked).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"))
+    calls = calls.withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
+    first = cut(calls.where(linked).groupBy(*key).agg(F.min(F.struct(*body)).alias("c"), F.count(F.lit(1)).alias("n")))
+    own = first.select(*key, *(F.col(f"c.{x}").alias(x) for x in body))
+    answers = results.where(linked).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n"))
     known = own.select("conv_id", F.col("call_id").alias("ref"))
     unknown = own.select(*key, F.explode(F.array_distinct("refs")).alias("ref")).join(known, ["conv_id", "ref"], "left_anti").groupBy(*key).agg(F.collect_set("ref").alias("unknown"))
     placed = _places(own.select(*key, "turn").join(levels(own), key)).select(*key, "level", "place")
@@ -230,15 +252,26 @@ def link_calls(spark: SparkSession, calls: DataFrame, results: DataFrame, schema
     lost = results.where(~linked).select(*key, "turn", "content").withColumns(blank | {"name": none.cast("string"), "arguments": none.cast("string"), "is_call": no, "answered": no})
     for more in (orphans, stray, lost):
         rows = rows.unionByName(more.select(*columns))
+    rows = rows.withColumns({"repeated": no, "copies": F.lit(1).cast("long")})
+    if whole:
+        again = _repeats(calls.where(linked), first, body).drop("refs").withColumns(blank | {"content": none.cast("string"), "is_call": yes, "answered": no})
+        echoes = _repeats(results.where(linked), answers.withColumnRenamed("r", "c"), ["turn", "content"])
+        echoes = echoes.withColumns(blank | {"name": none.cast("string"), "arguments": none.cast("string"), "is_call": no, "answered": no})
+        for more in (again, echoes):
+            rows = rows.unionByName(more.withColumn("repeated", yes).select(*columns, "repeated", "copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _serialise(batch, schemas)
 
-    return rows.mapInArrow(run, "conv_id long, call_id string, turn long, level int, place long, status string, problems array<string>, line string")
+    return rows.mapInArrow(run, "conv_id long, call_id string, turn long, level int, place long, status string, problems array<string>, line string, copies long")
 
 
-def format_turns(spark: SparkSession, turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """``link_calls`` over a table of turns."""
+def format_turns(spark: SparkSession, turns: DataFrame, schemas: dict[str, dict] | None = None, whole: bool = False) -> DataFrame:
+    """``link_calls`` over a table of turns; ``whole``: with the messages."""
     messages = plain_calls(turns)
-    return link_calls(spark, messages.where("is_call"), messages.where("NOT is_call"), RESPOND if schemas is None else schemas)
+    rows = link_calls(spark, messages.where("is_call"), messages.where("NOT is_call"), RESPOND if schemas is None else schemas, whole)
+    if not whole:
+        return rows
+    plain = messages.where("is_call IS NULL")
+    return rows.unionByName(plain.selectExpr("conv_id", "call_id", "turn", "CAST(NULL AS int) level", "CAST(NULL AS long) place", "'message' status", "CAST(array() AS array<string>) problems", "content line", "1L copies"))

@@ -40,6 +40,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("conv_id", "call_id", "turn", "level", "place", "status", F.array_join("problems", ";").alias("problems"), "line")
 
 
+def op4_chat_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn: also messages of other roles, and repeated calls and results."""
+    linked = format_turns(spark, _table(spark, sf_dir, "conversations"), whole=True)
+    return linked.select("conv_id", "call_id", "turn", "level", "place", "status", F.array_join("problems", ";").alias("problems"), "line", "copies")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_formatting": op4_chat_formatting,
+    "op4_chat_whole": op4_chat_whole,
     "op5_mixing": op5_mixing,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_jaccard_join": op7_jaccard_join,
@@ -107,6 +114,22 @@ SELECT conv_id, conv_id || ':' || asked AS call_id, turn, CASE WHEN is_call THEN
 FROM linked
 """
 
+#: Beside the rows of _CHAT, those that it leaves over.
+_CHAT_WHOLE = f"""
+SELECT *, 1::BIGINT AS copies FROM ({_CHAT})
+UNION ALL
+SELECT conv_id, NULL, turn, NULL, NULL, 'message', '', '{{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}}', 1
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+UNION ALL
+SELECT conv_id, call_id, turn, NULL, NULL, 'duplicate', CASE WHEN is_call AND text IS NULL THEN '$.text: type' WHEN is_call AND text = '' THEN '$.text: minLength' ELSE '' END,
+       '{{"arguments":' || CASE WHEN is_call THEN '{{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || '}}' ELSE 'null' END
+         || ',"id":"' || call_id || '","name":' || CASE WHEN is_call THEN '"respond"' ELSE 'null' END
+         || ',"result":' || CASE WHEN is_call THEN 'null' ELSE coalesce(to_json(text)::VARCHAR, 'null') END || '}}', copies
+FROM (SELECT conv_id, conv_id || ':' || CASE WHEN role = 'user' THEN turn ELSE turn - 1 END AS call_id, turn, role = 'user' AS is_call, text,
+             count(*) - CASE WHEN text IS NOT DISTINCT FROM min(text) OVER (PARTITION BY conv_id, turn, role) THEN 1 ELSE 0 END AS copies
+      FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id, turn, role, text) WHERE copies > 0
+"""
+
 _LM = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, {_SPACED.format("coalesce(text, '')")} AS words FROM documents),
 w AS (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
@@ -168,6 +191,7 @@ FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS compone
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": _EXACT,
     "op4_chat_formatting": _CHAT,
+    "op4_chat_whole": _CHAT_WHOLE,
     "op6_lm_scoring": _LM,
     "op7_jaccard_join": _SHINGLES,
     "op9_decontamination": _CONTAMINATION,

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from sievemark.llm import chat_formatting as c
+from sievemark.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMAS = {
     "find": {"type": "object", "required": ["q"], "properties": {"q": {"type": "string", "minLength": 1, "maxLength": 5}, "n": {"type": "integer", "minimum": 1, "maximum": 9}, "tags": {"type": "array", "items": {"enum": ["a", "b"]}}}, "additionalProperties": False},
@@ -96,3 +99,43 @@ def test_turns_with_tool_calls(spark):
     assert got[1, "a"].line == '{"arguments":{"q":"x"},"id":"a","name":"find","result":"{\\"hits\\":[2,1]}"}'
     assert got[1, "b"].problems == ["$.q: type"] and got[1, "b"].level == 1
     assert c.format_turns(spark, turns.where("conv_id = 99")).count() == 0
+
+
+def said(rows):
+    """Texts of turns, as many times as the rows hold them."""
+    found = Counter()
+    for r in rows:
+        line = json.loads(r.line)
+        if r.status == "message":
+            found[line["content"]] += 1
+        else:
+            is_call = line["name"] == "respond"
+            found[line["arguments"]["text"] if is_call else line["result"]] += r.copies
+            if is_call and r.status != "duplicate" and line["result"] is not None:
+                found[line["result"]] += 1
+    return found
+
+
+def test_no_turn_is_missing(spark, sf_dir):
+    beside = json.dumps({"tool_calls": [{"id": "a", "name": "find"}], "content": "beside"})
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "q"), (1, 1, "user", "q"), (1, 1, "user", "other q"), (1, 2, "assistant", "r"), (1, 2, "assistant", "s"), (1, 2, "assistant", "s"), (2, 0, None, "no role"), (3, 0, "assistant", '{"tool_calls": []}'), (4, 5, "assistant", "alone"), (4, 5, "assistant", "alone"), (None, 0, "system", "lost")]
+    schema = "conv_id long, turn long, role string, text string"
+    got = c.format_turns(spark, spark.createDataFrame(rows, schema), whole=True).collect()
+    assert said(got) == Counter(r[3] for r in rows)
+    assert Counter(r.status for r in got) == {"message": 4, "ok": 1, "orphan": 1, "duplicate": 3}
+    assert {(r.call_id, r.copies) for r in got if r.status == "duplicate"} == {("1:1", 2), ("4:4", 1)}
+    mixed = c.format_turns(spark, spark.createDataFrame([(1, 0, "assistant", beside)], schema), whole=True).collect()
+    assert {r.status for r in mixed} == {"invalid", "message"} and any(json.loads(r.line).get("content") == beside for r in mixed)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    table = QUERIES["op4_chat_whole"](spark, sf_dir)
+    assert said(table.collect()) == Counter(r.text for r in turns.collect())
+
+
+def test_whole_query_against_sql(spark, sf_dir, tmp_path):
+    turns = duckdb.sql(f"SELECT * FROM '{sf_dir}/conversations.parquet' UNION ALL SELECT * FROM '{sf_dir}/conversations.parquet' WHERE conv_id % 3 = 0 UNION ALL SELECT * REPLACE ('~' || text AS text) FROM '{sf_dir}/conversations.parquet' WHERE conv_id % 4 = 0")
+    turns.write_parquet(str(tmp_path / "conversations.parquet"))
+    got = [tuple(r) for r in QUERIES["op4_chat_whole"](spark, str(tmp_path)).collect()]
+    engine = duckdb.connect()
+    engine.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+    assert Counter(got) == Counter(engine.sql(ORACLE_SQL["op4_chat_whole"]).fetchall())
+    assert any(r[5] == "duplicate" for r in got) and any(r[5] == "message" for r in got)
