@@ -487,6 +487,12 @@ def edit_similarity(spark, sf_dir):
     return exchanges(spark, sf_dir).select("conv_id", "turn", F.round(text.edit_similarity(head("source_text"), head("rewritten")), 9).alias("similarity"))
 
 
+@query()
+def edit_similarity_whole(spark, sf_dir):
+    """Whole texts, character by character; DuckDB's levenshtein counts bytes, so there is no SQL."""
+    return exchanges(spark, sf_dir).select("conv_id", "turn", F.round(text.edit_similarity("source_text", "rewritten"), 9).alias("similarity"))
+
+
 _TOKENS = "CASE WHEN {0} = '' THEN []::VARCHAR[] ELSE string_split({0}, ' ') END"
 
 
