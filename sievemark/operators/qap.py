@@ -9,11 +9,14 @@ matrix is one small row that goes to all tasks; permutations are numbers spread
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cosine, permutation, twice_ranks
+from ..functions.numeric import cosine, twice_ranks
 from ..functions.text import hash_draw
 from .spearman import rho_of
 
@@ -67,6 +70,13 @@ def _rank_row(matrix: DataFrame, n: int, which: str) -> DataFrame:
     return rows.select(F.transform(every, rank).alias("ranks"), pairs.alias("pairs"), "rp", "rt")
 
 
+def _fixed() -> list[Column]:
+    """Observed sum, centre and rho."""
+    seen = F.aggregate(F.zip_with("rp", "rt", lambda a, b: a.cast("long") * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    n_pairs = F.size("rp")
+    return [seen.alias("o"), (n_pairs * (n_pairs + 1) * (n_pairs + 1)).cast("long").alias("centre"), rho_of(F.col("rp"), F.col("rt")).alias("rho")]
+
+
 def _sums(permutations: DataFrame, row: DataFrame, n: int) -> DataFrame:
     met = permutations.crossJoin(F.broadcast(row))
     moved = F.aggregate(
@@ -74,16 +84,34 @@ def _sums(permutations: DataFrame, row: DataFrame, n: int) -> DataFrame:
         F.lit(0).cast("long"),
         lambda s, x: s + F.element_at("ranks", (F.element_at("p", x["i"].cast("int") + 1) * n + F.element_at("p", x["j"].cast("int") + 1) + 1).cast("int")).cast("long") * x["r"],
     )
-    seen = F.aggregate(F.zip_with("rp", "rt", lambda a, b: a.cast("long") * b), F.lit(0).cast("long"), lambda s, x: s + x)
-    n_pairs = F.size("rp")
-    return met.select(moved.alias("s"), seen.alias("o"), (n_pairs * (n_pairs + 1) * (n_pairs + 1)).cast("long").alias("centre"), rho_of(F.col("rp"), F.col("rt")).alias("rho"))
+    return met.select(moved.alias("s"), *_fixed())
+
+
+def _every_sum(row: DataFrame, n: int) -> DataFrame:
+    """``_sums`` over all n! relabellings, decoded by batches from the factorial digits of their numbers."""
+    spark = row.sparkSession
+    small = row.first()
+    ranks = np.array(small["ranks"] or [0], dtype=np.int64)
+    pairs = [(int(x["i"]), int(x["j"]), int(x["r"])) for x in small["pairs"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            p = np.stack([number // math.factorial(n - 1 - k) % (n - k) for k in range(n)]) if n else np.zeros((0, len(number)), dtype=np.int64)
+            for k in range(n - 2, -1, -1):
+                p[k + 1 :] += p[k + 1 :] >= p[k]
+            s = np.zeros(len(number), dtype=np.int64)
+            for i, j, r in pairs:
+                s += ranks[p[i] * n + p[j]] * r
+            yield pa.RecordBatch.from_arrays([pa.array(s)], names=["s"])
+
+    sums = spark.range(math.factorial(n)).mapInArrow(run, "s long")
+    return sums.crossJoin(F.broadcast(row.select(*_fixed())))
 
 
 def qap_exact(matrix: DataFrame, n: int, which: str = "upper") -> DataFrame:
     """rho, relabellings with no smaller and with no smaller absolute statistic, all n! of them, and both p."""
-    spark = matrix.sparkSession
-    every = spark.range(math.factorial(n)).select(permutation(F.col("id"), n).alias("p"))
-    return _summary(_sums(every, _rank_row(matrix, n, which), n), 0)
+    return _summary(_every_sum(_rank_row(matrix, n, which), n), 0)
 
 
 def random_permutations(spark: SparkSession, n: int, draws: int, seed: int) -> DataFrame:

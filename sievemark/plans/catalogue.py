@@ -386,21 +386,24 @@ def symmetrise_norm_corrected(spark, sf_dir):
     return qap.symmetrise(qap.norm_corrected(qap.pair_matrix(means), norms)).select("i", "j", _r("value", 9))
 
 
-def _qap_input(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """Cosines of label means in either half of the components; i and j below n."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("label") < n)
+def _qap_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Cosines of label means in either half of the components; i and j number all labels from 0. And how many there are."""
+    rows = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
+    labels = rows.select("label").distinct().withColumn("code", F.row_number().over(Window.orderBy("label")) - 1)
+    labels = cut(labels)
+    rows = rows.join(F.broadcast(labels), "label").drop("label").withColumnRenamed("code", "label")
     halves = [qap.pair_matrix(qap.centroids(rows.withColumn("half", F.slice("embedding", a, 32)), "label", "half")) for a in (1, 33)]
-    return cut(halves[0].select("i", "j", F.round("value", 9).alias("predictor")).join(halves[1].select("i", "j", F.round("value", 9).alias("target")), ["i", "j"]))
+    return cut(halves[0].select("i", "j", F.round("value", 9).alias("predictor")).join(halves[1].select("i", "j", F.round("value", 9).alias("target")), ["i", "j"])), labels.count()
 
 
 @query()
 def qap_exact(spark, sf_dir):
-    return qap.qap_exact(_qap_input(spark, sf_dir, 7), 7).withColumn("rho", F.round("rho", 9))
+    return qap.qap_exact(*_qap_input(spark, sf_dir)).withColumn("rho", F.round("rho", 9))
 
 
 @query()
 def qap_monte_carlo(spark, sf_dir):
-    return qap.qap_monte_carlo(_qap_input(spark, sf_dir, 10), 10, 20_000, CLUSTER_SEED).withColumn("rho", F.round("rho", 9))
+    return qap.qap_monte_carlo(*_qap_input(spark, sf_dir), 20_000, CLUSTER_SEED).withColumn("rho", F.round("rho", 9))
 
 
 # --- shifts and detectors ----------------------------------------------------------------------------------------

@@ -24,3 +24,7 @@ def test_edit_similarity_of_whole_texts(spark, tmp_path):
     for k, (a, b) in enumerate(texts):
         assert math.isclose(got[k], 1 - distance(a, b) / max(len(a), len(b)) if a or b else 1.0, abs_tol=1e-9)
     assert got[0] < 1 and got[1] == 0.75
+
+
+def test_qap_exact_relabels_all_labels(spark, sf_dir):
+    assert q.QUERIES["qap_exact"](spark, sf_dir).first().total == math.factorial(10)
