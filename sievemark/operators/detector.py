@@ -26,11 +26,11 @@ def scaled_vectors(rows: DataFrame, key: list[str], vector: str, train: str, gro
     return back
 
 
-def shift_scores(rows: DataFrame, key: list[str], vector: str, train: str, positive: str) -> DataFrame:
-    """Scores on the direction of the class shift of the scaled train rows; ``train`` and ``positive`` are over ``key``."""
-    scaled = standardise(rows.select(*key, F.posexplode(vector).alias("dim", "v")), train)
-    shift = class_shift(scaled.where(train), [], positive).withColumnRenamed("v", "w")
-    return scaled.join(shift, "dim").groupBy(*key).agg(F.sum(F.col("v") * F.col("w")).alias("score"))
+def shift_scores(rows: DataFrame, key: list[str], vector: str, train: str, positive: str, group: list[str] | None = None) -> DataFrame:
+    """Scores on the direction of the class shift of the scaled train rows (of each ``group``); all three are over ``key``."""
+    scaled = standardise(rows.select(*key, F.posexplode(vector).alias("dim", "v")), train, group)
+    shift = class_shift(scaled.where(train), group or [], positive).withColumnRenamed("v", "w")
+    return scaled.join(shift, [*(group or []), "dim"]).groupBy(*key).agg(F.sum(F.col("v") * F.col("w")).alias("score"))
 
 
 def paired_scores(scored: DataFrame, source: str, positive: str, cell: str = "cell") -> DataFrame:

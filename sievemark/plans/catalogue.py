@@ -468,13 +468,36 @@ def detector_scores(spark, sf_dir):
     return detector.shift_scores(rows, ["vec_id", "label"], "embedding", "vec_id % 10 < 7", "label = 1").select("vec_id", "label", _r("score"))
 
 
+_CELL_DETECTOR_SQL = """parts AS (SELECT vec_id, label, label // 2 AS cell, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+s AS (SELECT cell, dim, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS s FROM parts WHERE vec_id % 10 < 7 GROUP BY 1, 2),
+z AS (SELECT vec_id, label, cell, dim, (v - m) / s AS v FROM parts JOIN s USING (cell, dim)),
+w AS (SELECT cell, dim, avg(v) FILTER (WHERE label % 2 = 1) - avg(v) FILTER (WHERE label % 2 <> 1) AS w FROM z WHERE vec_id % 10 < 7 GROUP BY 1, 2)"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels 0 and 1, 2 and 3, ... as cells of two classes."""
+    return table(spark, sf_dir, "embeddings").withColumn("cell", F.floor(F.col("label") / 2).cast("long"))
+
+
+@query(f"WITH {_CELL_DETECTOR_SQL} SELECT vec_id, label, cell, round(sum(v * w), 6) AS score FROM z JOIN w USING (cell, dim) GROUP BY 1, 2, 3")
+def detector_scores_cells(spark, sf_dir):
+    out = detector.shift_scores(_cells(spark, sf_dir), ["vec_id", "label", "cell"], "embedding", "vec_id % 10 < 7", "label % 2 = 1", ["cell"])
+    return out.select("vec_id", "label", "cell", _r("score"))
+
+
 @query()
 def logistic_detector_grid(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where("label < 2").withColumn("class", F.col("label")).drop("label")
+    """A detector for each cell, and the scores of all its rows; null where a cell lacks a class to fit or select by."""
+    rows = _cells(spark, sf_dir).withColumn("class", F.col("label") % 2).drop("label")
     rows = rows.withColumn("split", F.when(F.col("vec_id") % 10 < 6, "train").when(F.col("vec_id") % 10 < 8, "val").otherwise("test"))
-    scaled = detector.scaled_vectors(rows, ["vec_id", "class", "split"], "embedding", "split = 'train'")
-    margins, c, _ = detector.logistic_grid(scaled, "embedding", "class = 1", "split")
-    return margins.where("split = 'test'").select("vec_id", F.col("class").alias("label"), F.lit(c).alias("selected_c"), F.round("score", 3).alias("score"))
+    scaled = cut(detector.scaled_vectors(rows, ["vec_id", "cell", "class", "split"], "embedding", "split = 'train'", ["cell"]))
+    both = scaled.where("split <> 'test'").groupBy("cell").agg(F.count_distinct("class", "split").alias("n")).where("n = 4")
+    out = [rows.join(both, "cell", "left_anti").withColumn("c", F.lit(None).cast("double")).withColumn("score", F.lit(None).cast("double"))]
+    for (cell,) in both.select("cell").orderBy("cell").collect():
+        margins, c, _ = detector.logistic_grid(scaled.where(F.col("cell") == cell), "embedding", "class = 1", "split")
+        out.append(margins.withColumn("c", F.lit(c)))
+    columns = ["vec_id", (2 * F.col("cell") + F.col("class")).alias("label"), "cell", "split", F.col("c").alias("selected_c"), F.round("score", 3).alias("score")]
+    return gates.gather(*(x.select(*columns) for x in out))
 
 
 # --- pairs of texts ----------------------------------------------------------------------------------------------

@@ -28,3 +28,15 @@ def test_edit_similarity_of_whole_texts(spark, tmp_path):
 
 def test_qap_exact_relabels_all_labels(spark, sf_dir):
     assert q.QUERIES["qap_exact"](spark, sf_dir).first().total == math.factorial(10)
+
+
+def test_detectors_score_every_row(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    every = {tuple(r) for r in vectors.collect()}
+    for name in ("detector_scores_cells", "logistic_detector_grid"):
+        got = q.QUERIES[name](spark, sf_dir).collect()
+        assert len(got) == len(every) and {(r.vec_id, r.label) for r in got} == every
+        assert all(r.score is not None and r.cell == r.label // 2 for r in got)
+    first = {r.vec_id: r.score for r in q.QUERIES["detector_scores"](spark, sf_dir).collect()}
+    cells = q.QUERIES["detector_scores_cells"](spark, sf_dir).where("cell = 0").collect()
+    assert {r.vec_id: r.score for r in cells} == first
