@@ -38,7 +38,8 @@ PENALTY = 0.05
 #: Ancestor contexts whose scores a task remembers.
 KNOWN = 1 << 14
 _TOKEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+#: name[=value], one after another, so that nothing is looked for within values; a value without its end quote goes to the end.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>][^\s>]*)))?")
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose content is never text.
 SILENT = frozenset("script style noscript template head title textarea select option button iframe object svg math canvas audio video map datalist".split())
@@ -163,7 +164,7 @@ def names_of(attributes: str) -> tuple[tuple[str, ...], bool]:
             hidden = True
         elif key == "aria-hidden":
             hidden = hidden or value.lower() == "true"
-        else:
+        elif key in ("class", "id", "role"):
             spread = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
             words += _WORD.findall(spread)
     return tuple(words), hidden

@@ -73,3 +73,13 @@ def test_odd_pages(spark):
     assert got[4].text == " ".join(["word and more."] * 60000)
     assert got[None].text == "A sentence of main text, at least."
     assert h.extract_text(spark, pages.where("page_id = 99")).count() == 0
+
+
+def test_only_hidden_attributes_hide():
+    for attribute in ('href="/hidden/page.html"', 'title="The hidden door"', 'data-hidden="false"', 'style="overflow: hidden ; x"', "href=/hidden", 'title="no end hidden '):
+        assert h.names_of(" " + attribute) == ((), False)
+    for attribute in ("hidden", "HIDDEN=''", 'class="a" hidden', "aria-hidden = 'true'", 'title="x"hidden/'):
+        assert h.names_of(" " + attribute)[1]
+    assert h.names_of(' data-id="no" class=mainText id=\'x\'') == (("main", "text", "x"), False)
+    page = '<article title="the hidden door"><p>one <a href="/hidden/page.html">two</a> <b data-hidden="false">three</b></p><p style="overflow: hidden ; x">four</p><p hidden>no</p></article>'
+    assert [b.text for b in h.leaf_blocks(page)] == ["one two three", "four"]
