@@ -40,3 +40,9 @@ def test_detectors_score_every_row(spark, sf_dir):
     first = {r.vec_id: r.score for r in q.QUERIES["detector_scores"](spark, sf_dir).collect()}
     cells = q.QUERIES["detector_scores_cells"](spark, sf_dir).where("cell = 0").collect()
     assert {r.vec_id: r.score for r in cells} == first
+
+
+def test_resampling_counts_are_those_of_the_reference(spark, sf_dir):
+    assert q.REPLICATES == 10_000
+    assert q.QUERIES["cluster_bootstrap_whole"](spark, sf_dir).first().replicates == 5_000
+    assert q.QUERIES["qap_monte_carlo"](spark, sf_dir).first().total == 100_000
