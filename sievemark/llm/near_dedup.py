@@ -1,27 +1,35 @@
 """Near-duplicate documents: an exact Jaccard join of word-shingle sets with set-relation skipping.
 
 A document's set holds the 64-bit hashes of its distinct ``SHINGLE``-word shingles. Documents with equal sets
-form one node from the start. Two nodes link when their sets' Jaccard similarity is ``num / den`` or more.
+form one node from the start. Two nodes link when their sets' Jaccard similarity is ``num / den`` or more, that
+is when they differ in at most a ninth of the sum of their sizes (for four fifths).
 
 Candidates come from prefixes. All sets are ordered alike, rarest shingles first; linked sets share a shingle in
 their first n - ceil(n * num / den) + 1 ones. How rare a shingle is comes from a merged count-min sketch, which
 never puts it below its true count. Shingles that occur once can't be shared, so a set with enough of them in
 its prefix sends nothing, and other sets send the rest of their prefix with positions: an inverted index.
 
-Index lists aren't paired off. Each round takes its most central set as the pivot (later ``PIVOTS``, then ``MORE`` times as many each round) in every list, skips entries whose size or
-position rules out the overlap that a link to the pivot needs, or whose 256 parity bits do, verifies the others against the pivot on whole
-sets, and takes the pivot off the list. Answers then carry over: entries linked to the pivot are in its
-component and so in each other's; a list whose entries are all in one component is done; and an entry whose
-known distance to the first pivot differs from another's by more than a link allows is skipped, as Jaccard
-distance obeys the triangle inequality. So a list of near copies costs one comparison an entry, while every pair
-that could join two components is either compared or ruled out. Of an entry's pivots the one that shares most
-lists with it is compared first, as that often answers the others.
-
-Lists, pivots and pairs are tables; nothing holds a list in one task. A list's pivot comes from an aggregate with
-map-side combine, and lists meet their pivots in a join that AQE may split.
-
-A null or empty text has an empty set: its component is its own doc_id. Rows that repeat a doc_id are taken as
-one document; a null doc_id gets a null component, and links nothing. Columns besides doc_id and text are ignored.
+Index lists aren't paired off.
+
+1. Stars. Every list takes its most central entry as pivot, and every entry is compared with the pivot it shares
+   most lists with, unless sizes, positions or 256 parity bits rule a link out. Nodes that differ in less than
+   twice what a link allows form the pivot's star; what they add to the pivot and what they lack is known then.
+2. Stars meet stars. A list is cut into blocks by star, size class and position (before or after the first ninth
+   of the set), and only blocks that a link can join are joined; blocks late in both sets are skipped whole. A pair
+   of pivots whose distance exceeds what their members' own distances can bridge is done with. For the others the
+   members of the smaller star are compared with the other pivot, as its guests.
+3. Within a star, answers come from the differences. Two nodes differ at least in what either alone adds to the
+   pivot or alone lacks, and in the difference of the rest. Members are dealt to cells by these two numbers, cells
+   that can't hold a link are skipped, and pairs of the others are compared on whole sets. Members linked to the
+   pivot are in one component and aren't compared with each other.
+
+Lists, stars, cells and pairs are tables, and no step is repeated: the number of jobs doesn't follow the data. A
+pivot with many partners is copied, so that they are spread over tasks.
+
+A null or empty text has an empty set: its component is its own doc_id. Rows that repeat a doc_id are one
+document, with the largest of their sets (of equally large ones the one whose fingerprint is larger); each row
+keeps its own n_shingles. A null doc_id gets a null component, and links nothing. Columns besides doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +48,10 @@ from .components import components
 
 SHINGLE = 5
 NUM, DEN = 4, 5
-PIVOTS = 32
-#: How many times as many pivots each round takes.
-MORE = 8
+#: Pairs of one pivot that meet one copy of its set.
+FAN = 1024
+#: Cells of a star along its pivot's size.
+STEPS = 24
 #: Documents whose ids, 8 bytes each, may be broadcast to pick their texts.
 BROADCAST_IDS = 1 << 19
 #: Bytes of the sketch of shingle counts, at most; this is what is broadcast.
@@ -102,9 +111,7 @@ def _members(batch: pa.RecordBatch, sketch: cm.Sketch) -> pa.RecordBatch:
     for _, data, starts in bs.slices(batch.column("text")):
         key, bounds = shingle_sets(data, starts)
         n = np.diff(bounds)
-        one = _sums(bs.mix(key), bounds)
-        two = _sums(bs.mix(key ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds)
-        sids += [x.tobytes() for x in np.stack((one, two), axis=1)]
+        sids += _fingerprints(key, bounds)
         sizes.append(n)
         bits.append(parities(key, bounds))
         rank = sketch.classes(key)  # once, rare, frequent, very frequent
@@ -132,45 +139,99 @@ def _members(batch: pa.RecordBatch, sketch: cm.Sketch) -> pa.RecordBatch:
     )
 
 
+def _fingerprints(key: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """128 bits of every set, whatever the order of its shingles."""
+    two = (_sums(bs.mix(key), bounds), _sums(bs.mix(key ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds))
+    return [x.tobytes() for x in np.stack(two, axis=1)]
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = []
+        sets, sids = [], []
         for _, data, starts in bs.slices(batch.column("text")):
             key, bounds = shingle_sets(data, starts)
+            sids += _fingerprints(key, bounds)
             sets += [key[a:b].view(np.int64) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "sid", "items"])
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    """The overlap that sets of these sizes need: 9 i >= 4 (a + b) for four fifths."""
-    return F.ceil((a + b) * NUM / (NUM + DEN))
+def _allowed(a: Column, b: Column) -> Column:
+    """In how many shingles linked sets of these sizes may differ: a ninth of the sum for four fifths."""
+    return F.floor((a + b) * (DEN - NUM) / (NUM + DEN))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, both) of pairs of nodes, on their whole sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("left"))
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of nodes (a, b) with both sets; the set of an ``a`` with many pairs is copied for each ``FAN`` of them."""
+    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fans"))
+    left = sets.join(fans, F.col("node") == F.col("a")).select("a", F.col("items").alias("left"), F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("right"))
-    met = pairs.join(right, "b").join(left, "a")
-    return met.select("a", "b", F.size(F.array_intersect("left", "right")).alias("shared"), (F.size("left") + F.size("right")).alias("both"))
+    dealt = pairs.join(fans, "a").withColumn("fan", F.pmod(F.xxhash64("b"), F.col("fans")).cast("int")).drop("fans")
+    return dealt.join(right, "b").join(left, ["a", "fan"]).drop("fan")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, added, lacked) of pairs of nodes: how many shingles b has and a hasn't, and the other way round."""
+    shared = F.size(F.array_intersect("left", "right"))
+    return _met(pairs.select("a", "b"), sets).select("a", "b", (F.size("right") - shared).alias("added"), (F.size("left") - shared).alias("lacked"), (F.size("left") + F.size("right")).alias("both"))
 
 
 def _linked() -> Column:
-    return F.col("shared") * (NUM + DEN) >= F.col("both") * NUM
+    return (F.col("added") + F.col("lacked")) * (NUM + DEN) <= F.col("both") * (DEN - NUM)
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _BITS), F.lit(0))
 
 
-def _distance() -> Column:
-    return 1 - F.col("shared") / (F.col("both") - F.col("shared"))
+def _size_class(n: Column) -> Column:
+    """Linked sets are in the same class or in neighbouring ones."""
+    return F.floor(F.log(n) / F.log(F.lit(DEN / NUM))).cast("int")
 
 
-def _candidates(lists: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Entries and pivots of their lists that sizes, positions and known distances don't keep apart."""
-    met = lists.join(pivots, "token").where("node <> pivot AND (component IS NULL OR component <> pivot_component)")
-    room = F.least("pos", "pivot_pos") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("pivot_n") - F.col("pivot_pos") - 1)
-    fits = (F.least("n", "pivot_n") * DEN >= F.greatest("n", "pivot_n") * NUM) & (room >= _overlap(F.col("n"), F.col("pivot_n")))
-    apart = sum((F.bit_count(F.col(f"bits.{x}").bitwiseXOR(F.col(f"pivot_bits.{x}"))) for x in _BITS), F.lit(0))
-    fits = fits & (apart <= F.col("n") + F.col("pivot_n") - 2 * _overlap(F.col("n"), F.col("pivot_n")))
-    near = F.coalesce(F.abs(F.col("far") - F.col("pivot_far")) <= 1 - NUM / DEN + 1e-9, F.lit(True))
-    return met.where(fits & near)
+def _star_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b): stars of which a list's blocks may hold a link; ``entries`` are token, star, component, n, pos."""
+    early = F.col("pos") * (NUM + DEN) <= F.col("n") * (DEN - NUM)
+    blocks = entries.groupBy("token", "star", _size_class(F.col("n")).alias("of_size"), early.alias("early")).agg(
+        F.min("pos").alias("pos"), F.max("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    # the first common shingle of linked sets lies in the first ninth of one of them
+    own = blocks.where("early").select("token", "of_size", *(F.col(x).alias(f"own_{x}") for x in ("star", "pos", "n", "low", "high")))
+    other = blocks.withColumn("of_size", F.explode(F.array(F.col("of_size") - 1, F.col("of_size"), F.col("of_size") + 1)))
+    apart = "star <> own_star AND NOT (low = high AND own_low = own_high AND low = own_low)"
+    met = other.join(own, ["token", "of_size"]).where(apart).where(F.col("pos") + F.col("own_pos") <= _allowed(F.col("n"), F.col("own_n")))
+    return met.select(F.least("star", "own_star").alias("a"), F.greatest("star", "own_star").alias("b")).distinct()
+
+
+def _within_stars(members: DataFrame, sets: DataFrame, bits: DataFrame) -> DataFrame:
+    """(a, b): pairs of a star's members, one at least its own, that may link and aren't in one component.
+
+    ``members`` are star, node, own (or a guest) and component; pivots themselves are left out.
+    """
+    split = members.groupBy("star").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("own").alias("any")).where("low <> high AND any").select("star")
+    members = cut(members.join(split, "star"))
+    deltas = _met(members.select(F.col("star").alias("a"), F.col("node").alias("b")), sets)
+    deltas = cut(deltas.select(F.col("a").alias("star"), F.col("b").alias("node"), F.size("right").alias("n"), F.size("left").alias("star_n"), F.array_except("right", "left").alias("more"), F.array_except("left", "right").alias("less")))
+    tokens = deltas.select("star", "node", F.explode("more").alias("token"), F.lit(1).alias("more")).union(deltas.select("star", "node", F.explode("less").alias("token"), F.lit(0).alias("more")))
+    alone = tokens.groupBy("star", "token").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node"), F.min("more").alias("more")).where("times = 1")
+    alone = alone.groupBy("star", "node").agg(F.sum("more").alias("only_more"), F.sum(1 - F.col("more")).alias("only_less"))
+    known = members.join(deltas, ["star", "node"]).join(alone, ["star", "node"], "left").na.fill(0, ["only_more", "only_less"])
+    known = known.select("star", "node", "own", "component", "n", "star_n", (F.col("only_more") + F.col("only_less")).alias("only"), (F.size("more") - F.col("only_more")).alias("more"), (F.size("less") - F.col("only_less")).alias("less"))
+    width = F.greatest(F.lit(1), F.floor(F.col("star_n") / STEPS))
+    known = known.withColumns({"width": width, "i": F.floor(F.col("only") / width), "j": F.floor((F.col("more") + F.col("less")) / width)})
+    known = cut(known.where(F.col("only") <= F.floor(F.col("n") * (DEN + NUM) / NUM * (DEN - NUM) / (DEN + NUM))).join(bits, "node"))
+
+    # cells that can hold a link, then their members
+    cells = known.groupBy("star", "width", "i", "j").agg(F.max("n").alias("n"), F.max("own").alias("own"), F.min("component").alias("low"), F.max("component").alias("high"))
+    names = ("i", "j", "n", "own", "low", "high")
+    pairs = cells.join(cells.select("star", *(F.col(x).alias(f"of_{x}") for x in names)), "star").where("own AND NOT (low = high AND of_low = of_high AND low = of_low)")
+    least = (F.col("i") + F.col("of_i") + F.greatest(F.lit(0), F.abs(F.col("j") - F.col("of_j")) - 1)) * F.col("width")
+    pairs = pairs.where(least <= _allowed(F.col("n"), F.col("of_n"))).select("star", "i", "j", "of_i", "of_j")
+    columns = ("node", "component", "n", "only", "more", "less", "bits")
+    one = known.where("own").join(pairs, ["star", "i", "j"]).select("star", F.col("of_i").alias("i"), F.col("of_j").alias("j"), *(F.col(x).alias(f"of_{x}") for x in columns))
+    differ = F.col("only") + F.col("of_only") + F.abs(F.col("more") - F.col("of_more")) + F.abs(F.col("less") - F.col("of_less"))
+    may = _allowed(F.col("n"), F.col("of_n"))
+    met = one.join(known, ["star", "i", "j"]).where("node <> of_node AND component <> of_component").where((differ <= may) & (_bits_apart("bits", "of_bits") <= may))
+    return met.select(F.least("node", "of_node").alias("a"), F.greatest("node", "of_node").alias("b")).distinct()
 
 
 def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -180,7 +241,6 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
     cells = cm.cells_for(cm.text_bytes(docs) // 6, 2, most=SKETCH_BYTES)
     sent = cm.sketch_keys(docs.select("text"), _tokens, cells, 1)
@@ -192,70 +252,79 @@ def _near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     members = cut(docs.mapInArrow(members_of, _MEMBERS))
     shared.destroy()
-    named = members.where("doc_id IS NOT NULL AND n_shingles > 0")
-    nodes = named.groupBy("sid").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
-    index = named.where("prefix IS NOT NULL").join(nodes.select(F.col("node").alias("doc_id"), F.col("sid").alias("own")), "doc_id").where("sid = own").dropDuplicates(["doc_id"])
-    lists = index.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "lead", "bits", F.posexplode("prefix").alias("pos", "token"))
+    own = members.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "sid")).alias("s")).select("doc_id", F.col("s.sid").alias("sid"))
+    nodes = own.groupBy("sid").agg(F.min("doc_id").alias("node"))
+    index = members.where("prefix IS NOT NULL").join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "sid"]).dropDuplicates(["doc_id"])
+    index = index.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "lead", "bits", "prefix")
     # sets with few shingles of their own are central: copies differ from each other more than from their original
-    edge = F.floor(F.col("lead") * 1000 / F.col("n")).cast("int")
-    lists = lists.select("token", "node", "n", (F.col("pos") + F.col("lead")).alias("pos"), edge.alias("edge"), "bits")
-    shared_tokens = lists.groupBy("token").agg(F.min(F.struct("edge", "node", "n", "pos", "bits")).alias("p"), F.count(F.lit(1)).alias("entries")).where("entries > 1")
-    lists = cut(
-        lists.join(shared_tokens, "token").select(
-            "token", "node", "n", "pos", "edge", "bits", F.lit(None).cast("long").alias("component"), F.lit(None).cast("double").alias("far"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos"), F.col("p.bits").alias("pivot_bits")
-        )
-    )
+    edge = F.floor(F.col("lead") * 1000 / F.col("n")).cast("int").alias("edge")
+    lists = index.select("node", "n", "lead", edge, "bits", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("at") + F.col("lead")).alias("pos"), "edge", "bits")
+    centres = lists.groupBy("token").agg(F.min(F.struct("edge", "node", "n", "pos", "bits")).alias("p"), F.count(F.lit(1)).alias("entries")).where("entries > 1")
+    lists = cut(lists.join(centres, "token").select("token", "node", "n", "pos", "bits", *(F.col(f"p.{x}").alias(y) for x, y in (("node", "pivot"), ("n", "pivot_n"), ("pos", "pivot_pos"), ("bits", "pivot_bits")))))
     wanted = lists.select(F.col("node").alias("id")).distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    sets = cut(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]))
-
-    # the first pivots: of each entry's pivots, the one that shares most lists with it, then the others
-    first = _candidates(lists.drop("pivot", "pivot_n", "pivot_pos", "pivot_bits"), lists.where("node = pivot").select("token", "pivot", "pivot_n", "pivot_pos", "pivot_bits", F.lit(-1).alias("pivot_component"), F.lit(None).cast("double").alias("pivot_far")))
-    pairs = cut(first.groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("lists")))
-    best = pairs.groupBy("b").agg(F.max_by("a", "lists").alias("a"))
-    seen = cut(_verify(best.select("a", "b"), sets))
-    # a node linked to its best pivot needs no other pivot of the same star
-    stars = seen.where(_linked()).select(F.col("b").alias("node"), F.col("a").alias("component"))
-    rest = _apart(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), stars)
-    seen = cut(seen.union(_verify(rest, sets)).coalesce(parts))
+    sets = docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets, "node long, sid binary, items array<long>")
+    sets = cut(sets.groupBy("node").agg(F.max_by("items", F.struct(F.size("items"), F.col("sid"))).alias("items")))
+
+    # stars: of each entry's pivots, the one that shares most lists with it
+    may = _allowed(F.col("n"), F.col("pivot_n"))
+    close = (F.least("n", "pivot_n") * DEN >= F.greatest("n", "pivot_n") * NUM) & (F.col("pos") + F.col("pivot_pos") <= 2 * may) & (_bits_apart("bits", "pivot_bits") <= 2 * may)
+    best = lists.where("node <> pivot").where(close).groupBy(F.col("node").alias("b"), F.col("pivot").alias("a")).agg(F.count(F.lit(1)).alias("lists"))
+    best = best.groupBy("b").agg(F.max(F.struct("lists", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    seen = cut(_verify(best, sets))
     links = seen.where(_linked()).select("a", "b")
     labels = components(links)
-
-    far = seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), _distance().alias("far"))
-    lists = lists.where("node <> pivot").drop("far", "component").join(far, ["pivot", "node"], "left").select("token", "node", "n", "pos", "edge", "bits", "far")
-    pivots_each = PIVOTS
-    while True:
-        labelled = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        alive = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        lists = cut(labelled.join(alive, "token").select("token", "node", "n", "pos", "edge", "bits", "far", "component"))
-        if lists.isEmpty():
-            break
-        entry = F.struct("edge", "node", "n", "pos", "bits", "component", "far")
-        pivots = lists.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(pivots_each))).agg(F.min(entry).alias("p"))
-        pivots = cut(pivots.select("token", *(F.col(f"p.{x}").alias(y) for x, y in (("node", "pivot"), ("n", "pivot_n"), ("pos", "pivot_pos"), ("bits", "pivot_bits"), ("component", "pivot_component"), ("far", "pivot_far")))))
-        pairs = _candidates(lists, pivots).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        seen = cut(_verify(pairs, sets))
-        new = seen.where(_linked()).select("a", "b")
-        if not new.isEmpty():
-            links = cut(links.union(new).coalesce(parts))
-            labels = components(links)
-        lists = lists.join(pivots.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti").drop("component")
-        pivots_each *= MORE
-    own = members.join(nodes.select("sid", "node"), "sid", "left").join(labels, "node", "left")
-    named = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return own.select("doc_id", "n_shingles", named.alias("component_id"))
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose nodes aren't in one component yet."""
-    a = labels.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
-    b = labels.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-    met = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
-    return met.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    near = seen.where((F.col("added") + F.col("lacked")) * (NUM + DEN) <= F.col("both") * 2 * (DEN - NUM))
+    stars = near.select(F.col("b").alias("node"), F.col("a").alias("star"), (F.col("added") + F.col("lacked")).alias("far"), _linked().alias("linked"))
+    held = lists.select("token", "node", "n", "pos").join(stars.drop("linked"), "node", "left").join(labels, "node", "left")
+    held = held.withColumns({"star": F.coalesce("star", "node"), "far": F.coalesce("far", F.lit(0)), "component": F.coalesce("component", "node")})
+    alive = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    held = cut(held.join(alive, "token"))
+
+    # stars meet stars: guests are the members of one that the pivot of the other may be near
+    bits = index.select("node", "n", "bits")
+    reach = cut(held.groupBy("star").agg(F.max("far").alias("far"), F.max("n").alias("n"), F.countDistinct("node").alias("members")))
+    pairs = _star_pairs(held)
+    for x in ("a", "b"):
+        pairs = pairs.join(reach.select(F.col("star").alias(x), *(F.col(y).alias(f"{x}_{y}") for y in ("far", "n", "members"))), x).join(bits.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits")), x)
+    bridge = _allowed(F.col("a_n"), F.col("b_n")) + F.col("a_far") + F.col("b_far")
+    pairs = cut(pairs.where(_bits_apart("a_bits", "b_bits") <= bridge).select("a", "b", "a_far", "b_far", "a_members", "b_members", bridge.alias("bridge")))
+    met = cut(pairs.join(_verify(pairs, sets), ["a", "b"]))
+    links = links.union(met.where(_linked()).select("a", "b"))
+    apart = F.col("added") + F.col("lacked")
+    open_pairs = met.where((apart <= F.col("bridge")) & ((F.col("a_far") > 0) | (F.col("b_far") > 0)))
+    host_a = F.col("a_members") >= F.col("b_members")
+    hosts = open_pairs.select(F.when(host_a, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(host_a, F.col("b")).otherwise(F.col("a")).alias("star"), apart.alias("apart"), F.col("bridge"), F.when(host_a, F.col("b_far")).otherwise(F.col("a_far")).alias("most"))
+    member = held.select("star", "node", "far", "component").distinct()
+    guests = hosts.join(member, "star").where("node <> host AND apart - far <= bridge - most").select("host", "node", "component")
+    compared = cut(_verify(guests.select(F.col("host").alias("a"), F.col("node").alias("b")), sets))
+    links = links.union(compared.where(_linked()).select("a", "b"))
+    guests = guests.join(compared.select(F.col("a").alias("host"), F.col("b").alias("node"), _linked().alias("linked")), ["host", "node"])
+
+    # within stars: linked members share the pivot's component
+    of_star = labels.select(F.col("node").alias("star"), F.col("component").alias("of_star"))
+    within = member.where("far > 0").select("star", "node", "component", F.lit(True).alias("own"), F.lit(False).alias("linked"))
+    within = within.union(guests.select(F.col("host").alias("star"), "node", "component", F.lit(False), "linked")).join(of_star, "star", "left")
+    within = within.withColumn("component", F.when(F.col("linked"), F.coalesce("of_star", "star")).otherwise(F.col("component"))).select("star", "node", "own", "component")
+    inside = _verify(_within_stars(within, sets, bits.drop("n")), sets)
+    links = links.union(inside.where(_linked()).select("a", "b"))
+    labels = components(links)
+    named = own.join(nodes, "sid").join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    return members.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
-    gone = near_classes(spark, docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns.
+
+    Of rows that repeat a doc_id that stays, the one with the longest text stays, of equally long ones the greatest
+    text; rows without a doc_id stay.
+    """
+    classes = near_classes(spark, docs)
+    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    repeated = cut(classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return left.select(docs.columns)
+    rows = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), F.col("text"))).alias("row"))
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(rows.select("row.*"))

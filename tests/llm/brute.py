@@ -41,7 +41,11 @@ def shingles(text, size=5):
 
 
 def near(rows):
-    sets = {i: shingles(t) for i, t in rows}
+    own_sizes = [(i, len(shingles(t))) for i, t in rows]
+    sets = {}
+    for i, t in rows:  # of one id's sets the largest counts
+        if i is not None and len(shingles(t)) >= len(sets.get(i, ())):
+            sets[i] = shingles(t)
     index = defaultdict(list)
     for i, s in sets.items():
         for x in s:
@@ -63,7 +67,7 @@ def near(rows):
         if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    return [(i, len(sets[i]), find(i)) for i, _ in rows]
+    return [(i, n, None if i is None else find(i)) for i, n in own_sizes]
 
 
 def suffix(rows, size=400):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from brute import contamination as brute_contamination
@@ -61,7 +62,7 @@ def frame(spark, rows):
 REPEATED = [*ODD, ODD[5], ODD[5], ODD[1], (12, "a b c d")]
 CASES = {
     "exact": (exact_classes, exact, ("doc_id", "keep_id", "group_size", "kept", "text_sha256"), REPEATED + [(None, "one two three"), (None, "only null")]),
-    "near": (near_classes, near, ("doc_id", "n_shingles", "component_id"), ODD),
+    "near": (near_classes, near, ("doc_id", "n_shingles", "component_id"), [*REPEATED, (None, "one two three"), (None, None), (3, "one two three"), (19, "a b c d"), (19, LONG)]),
     "suffix": (suffix_dedup, suffix, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), REPEATED),
     "substring": (substring_dedup, substring, ("doc_id", "n_words", "n_removed", "kept_sha256"), REPEATED),
 }
@@ -85,6 +86,30 @@ def test_empty_table(spark, name):
     assert rows_of(ours(spark, spark.createDataFrame([], "doc_id long, text string")), *columns) == []
 
 
+def test_near_copies_of_copies(spark):
+    """Stars, guests and cells: families whose copies differ by nothing up to a third, and mixtures of two families."""
+    draw = random.Random(5)
+    rows = []
+    for family in range(6):
+        base = [f"w{draw.randrange(900)}" for _ in range(60 + 40 * family)]
+        other = [f"w{draw.randrange(900)}" for _ in range(40)]
+        for _ in range(45):
+            words = base[:]
+            for _ in range(draw.randrange(1 + len(base) // 20)):
+                words[draw.randrange(len(words))] = f"w{draw.randrange(12 if draw.random() < 0.7 else 900)}"
+            if draw.random() < 0.3:
+                words += other[: draw.randrange(40)]
+            rows.append((len(rows), " ".join(words)))
+    assert rows_of(near_classes(spark, frame(spark, rows)), "doc_id", "n_shingles", "component_id") == sorted(near(rows), key=repr)
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    rows = [*REPEATED, (1, "one two three four"), (None, "one two three"), (None, None)]
+    kept = [(r.doc_id, r.text) for r in near_dedup(spark, frame(spark, rows)).collect()]
+    assert sorted(i for i, _ in kept if i is not None) == sorted({i for i, _, c in near(rows) if i == c and i is not None})
+    assert (1, "one two three four") in kept and kept.count((None, None)) == 1
+
+
 def test_contamination(spark, documents, sf_dir):
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
