@@ -120,6 +120,10 @@ class Sketch:
         self.packed, self.cells, self.depth = packed, cells, depth
         self.bits = len(packed) * 8 // cells
 
+    def reaches(self, least: int) -> bool:
+        """Whether any cell's class is ``least`` or more (cells of two bits)."""
+        return any(bool(((self.packed >> shift & 3) >= least).any()) for shift in (0, 2, 4, 6))
+
     def classes(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), (1 << self.bits) - 1, dtype=np.uint8)
         step = 3 if self.bits == 1 else 2  # a byte holds 8 or 4 cells

@@ -162,6 +162,7 @@ def _allowed(a: Column, b: Column) -> Column:
 
 def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of nodes (a, b) with both sets; the set of an ``a`` with many pairs is copied for each ``FAN`` of them."""
+    pairs = cut(pairs)
     fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fans"))
     left = sets.join(fans, F.col("node") == F.col("a")).select("a", F.col("items").alias("left"), F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("right"))
@@ -283,7 +284,7 @@ def _near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     held = cut(held.join(alive, "token"))
 
     # stars meet stars: guests are the members of one that the pivot of the other may be near
-    bits = index.select("node", "n", "bits")
+    bits = cut(index.select("node", "n", "bits"))
     reach = cut(held.groupBy("star").agg(F.max("far").alias("far"), F.max("n").alias("n"), F.countDistinct("node").alias("members")))
     pairs = _star_pairs(held)
     for x in ("a", "b"):
@@ -296,8 +297,8 @@ def _near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     open_pairs = met.where((apart <= F.col("bridge")) & ((F.col("a_far") > 0) | (F.col("b_far") > 0)))
     host_a = F.col("a_members") >= F.col("b_members")
     hosts = open_pairs.select(F.when(host_a, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(host_a, F.col("b")).otherwise(F.col("a")).alias("star"), apart.alias("apart"), F.col("bridge"), F.when(host_a, F.col("b_far")).otherwise(F.col("a_far")).alias("most"))
-    member = held.select("star", "node", "far", "component").distinct()
-    guests = hosts.join(member, "star").where("node <> host AND apart - far <= bridge - most").select("host", "node", "component")
+    member = cut(held.select("star", "node", "far", "component").distinct())
+    guests = cut(hosts.join(member, "star").where("node <> host AND apart - far <= bridge - most").select("host", "node", "component"))
     compared = cut(_verify(guests.select(F.col("host").alias("a"), F.col("node").alias("b")), sets))
     links = links.union(compared.where(_linked()).select("a", "b"))
     guests = guests.join(compared.select(F.col("a").alias("host"), F.col("b").alias("node"), _linked().alias("linked")), ["host", "node"])
@@ -307,9 +308,8 @@ def _near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     within = member.where("far > 0").select("star", "node", "component", F.lit(True).alias("own"), F.lit(False).alias("linked"))
     within = within.union(guests.select(F.col("host").alias("star"), "node", "component", F.lit(False), "linked")).join(of_star, "star", "left")
     within = within.withColumn("component", F.when(F.col("linked"), F.coalesce("of_star", "star")).otherwise(F.col("component"))).select("star", "node", "own", "component")
-    inside = _verify(_within_stars(within, sets, bits.drop("n")), sets)
-    links = links.union(inside.where(_linked()).select("a", "b"))
-    labels = components(links)
+    inside = _verify(_within_stars(cut(within), sets, bits.drop("n")), sets)
+    labels = components(cut(links.union(inside.where(_linked()).select("a", "b"))))
     named = own.join(nodes, "sid").join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     return members.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -8,11 +8,16 @@ of the anchors tells which can be repeated.
 
 Runs of one anchor meet in one partition. Each partition cuts them into ``BLOCK``-byte symbols on a grid that
 the anchor fixes, builds the suffix array of the symbol sequences by linear Lyndon grouping
-(``lyndon_suffix_array``), and takes windows whose whole symbols match a neighbour in that array as candidates;
-hashes of the candidates' own bytes, compared within their anchor, confirm them. Equal runs of a record batch
-travel once. Anchors that the sketch puts at ``HOT`` occurrences or more would fill one partition: their windows
-are spread by 128-bit window hashes instead, after occurrences of one window in a record batch were joined.
-Both ways are exact, and a window takes the same way wherever it occurs.
+(``lyndon_suffix_array``), and takes from neighbours in it the intervals of suffixes that share as many symbols
+as a window holds. Windows of an interval differ at most in the few bytes before and after those symbols, which
+are compared themselves.
+
+Anchors that the sketch puts at ``HOT`` occurrences or more would fill one partition. Their runs are cut into
+``PIECES`` overlapping pieces by how many bytes of a window lie before the anchor; all windows of a piece share a
+core of more than 350 bytes, and pieces meet by anchor, piece and core, so that equal windows still meet. A second
+sketch drops pieces whose core occurs once. Of equal pieces one travels to its group, with the number of
+occurrences; groups go through the same suffix arrays, and the ranges found are joined to the occurrences. A window
+takes the same way wherever it occurs, and no table has a row for each window.
 
 A null or empty text gives zeros and the hash of no bytes. Repeated rows are documents of their own: their texts
 occur elsewhere. Rows are told apart by doc_id and text, so a doc_id may repeat with other texts. Columns other
@@ -26,9 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import bytescan as bs
 from . import countmin as cm
 from .lyndon_suffix_array import suffix_array
@@ -37,10 +43,12 @@ SIZE = 400
 GRAM = 64
 BLOCK = 16
 HOT = 4096
+PIECES = 8
 _RARE = 31
 _BUNDLE = 1 << 20
 _RUNS = "anchor long, lead int, body binary, doc_ids array<long>, tags array<long>, starts array<int>"
-_SPREAD = "h1 long, h2 long, doc_id long, tag long, start int, stop int, settled boolean, many boolean"
+#: First row, bytes and starts of a slice, and its runs: (group, place of the anchor, first byte, end, text).
+_Picked = tuple[int, bytes, np.ndarray, list[tuple[int, int, int, int, int]]]
 _FOUND = "doc_id long, tag long, start int, stop int"
 
 
@@ -119,29 +127,25 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids, batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _runs(batch: pa.RecordBatch, sketch: cm.Sketch, size: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Runs of anchors that may be repeated and aren't hot; equal runs of a slice share one row."""
+def _rows(batch: pa.RecordBatch, picked: Iterator[_Picked]) -> Iterator[pa.RecordBatch]:
+    """Rows of runs given as (group, place of the anchor, first byte, end, text); equal runs of a slice share one row."""
     ids, tags = _ids(batch)
-    for row, data, starts in bs.slices(batch.column("text")):
-        hashes, place, lo, hi, owner = anchor_runs(data, starts, size, gram)
-        kind = sketch.classes(hashes)
-        pick = np.flatnonzero((kind == 1))
-        if not len(pick):
-            continue
-        raw = data.tobytes()
+    for row, raw, starts, runs in picked:
         seen: dict[tuple[int, int, bytes], list[int]] = {}
-        for k, h, p, a, b in zip(pick.tolist(), hashes[pick].view(np.int64).tolist(), place[pick].tolist(), lo[pick].tolist(), (hi[pick] + size).tolist(), strict=True):
+        for k, (h, p, a, b, _) in enumerate(runs):
             seen.setdefault((h, p - a, raw[a:b]), []).append(k)
-        doc, tag, start = ids[row + owner], tags[row + owner], lo - starts[owner]
-        keys = list(seen)
+        if not seen:
+            continue
+        owner = np.array([x[4] for x in runs])
+        doc, tag, start = ids[row + owner], tags[row + owner], np.array([x[2] for x in runs]) - starts[owner]
         members = list(seen.values())
         flat = np.fromiter((k for m in members for k in m), np.int64)
         offsets = pa.array(np.cumsum([0] + [len(m) for m in members]).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([k[0] for k in keys], pa.int64()),
-                pa.array([k[1] for k in keys], pa.int32()),
-                pa.array([k[2] for k in keys], pa.binary()),
+                pa.array([k[0] for k in seen], pa.int64()),
+                pa.array([k[1] for k in seen], pa.int32()),
+                pa.array([k[2] for k in seen], pa.binary()),
                 pa.ListArray.from_arrays(offsets, pa.array(doc[flat])),
                 pa.ListArray.from_arrays(offsets, pa.array(tag[flat])),
                 pa.ListArray.from_arrays(offsets, pa.array(start[flat].astype(np.int32))),
@@ -150,6 +154,78 @@ def _runs(batch: pa.RecordBatch, sketch: cm.Sketch, size: int, gram: int) -> Ite
         )
 
 
+def _runs(batch: pa.RecordBatch, sketch: cm.Sketch, size: int, gram: int) -> Iterator[_Picked]:
+    """Runs of anchors that may be repeated and aren't hot."""
+    for row, data, starts in bs.slices(batch.column("text")):
+        hashes, place, lo, hi, owner = anchor_runs(data, starts, size, gram)
+        pick = sketch.classes(hashes) == 1
+        runs = zip(*(x[pick].tolist() for x in (hashes.view(np.int64), place, lo, hi + size, owner)), strict=True)
+        yield row, data.tobytes(), starts, list(runs)
+
+
+def hot_pieces(data: np.ndarray, starts: np.ndarray, sketch: cm.Sketch, size: int, gram: int, pieces: int = PIECES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of hot runs: group, place of the anchor, first and last window, text.
+
+    A piece holds the windows with ``low`` to ``high`` bytes before the anchor; its core is what they have in common.
+    """
+    hashes, place, lo, hi, owner = anchor_runs(data, starts, size, gram)
+    pick = sketch.classes(hashes) >= 2
+    hashes, place, lo, hi, owner = (x[pick] for x in (hashes, place, lo, hi, owner))
+    bounds = np.linspace(0, size - gram + 1, min(pieces, size - gram + 1) + 1).astype(np.int64)
+    out = []
+    for k in range(len(bounds) - 1):
+        low, high = bounds[k], bounds[k + 1] - 1
+        first, last = np.maximum(lo, place - high), np.minimum(hi, place - low)
+        at = np.flatnonzero(first <= last)
+        core = bs.span_hashes(data, place[at] - low, place[at] - high + size)
+        out.append((bs.mix(hashes[at] ^ bs.mix(core + np.uint64(k))), place[at], first[at], last[at], owner[at]))
+    group, place, first, last, owner = (np.concatenate(x) for x in zip(*out, strict=True))
+    return group, place, first, last, owner
+
+
+def _pieces(batch: pa.RecordBatch, sketch: cm.Sketch, cores: cm.Sketch, size: int, gram: int) -> Iterator[_Picked]:
+    """Pieces of hot runs whose core may be repeated."""
+    for row, data, starts in bs.slices(batch.column("text")):
+        group, place, first, last, owner = hot_pieces(data, starts, sketch, size, gram)
+        pick = cores.classes(group) >= 1
+        runs = zip(*(x[pick].tolist() for x in (group.view(np.int64), place, first, last + size, owner)), strict=True)
+        yield row, data.tobytes(), starts, list(runs)
+
+
+def _intervals(text: np.ndarray, whole: int) -> np.ndarray:
+    """For every place of ``text`` the number of the interval of suffixes that share its first ``whole`` symbols.
+
+    Neighbours in the suffix array are compared symbol by symbol; -1 where no neighbour shares as many.
+    """
+    order = np.array(suffix_array(text.tolist()), dtype=np.int64)
+    a, b = order[:-1], order[1:]
+    alike = np.flatnonzero(np.maximum(a, b) + whole <= len(text))
+    for k in range(whole):
+        if not len(alike):
+            break
+        alike = alike[text[a[alike] + k] == text[b[alike] + k]]
+    joined = np.zeros(len(order) + 1, dtype=bool)
+    joined[alike + 1] = True
+    number = np.cumsum(~joined[:-1])
+    out = np.full(len(text), -1, dtype=np.int64)
+    held = joined[:-1] | joined[1:]
+    out[order[held]] = number[held]
+    return out
+
+
+#: Masks of the first and of the last n bytes of sixteen, as two little-endian numbers.
+_FIRST = [np.array([(((1 << 8 * n) - 1) >> shift) & (1 << 64) - 1 for n in range(17)], dtype=np.uint64) for shift in (0, 64)]
+_LAST = [np.array([((((1 << 8 * n) - 1) << 8 * (16 - n)) >> shift) & (1 << 64) - 1 for n in range(17)], dtype=np.uint64) for shift in (0, 64)]
+
+
+def _beside(data: np.ndarray, at: np.ndarray, n: np.ndarray, before: bool) -> list[np.ndarray]:
+    """The ``n`` (16 at most) bytes before or from ``at``, as two numbers, zero where there are fewer."""
+    padded = np.concatenate((np.zeros(16, np.uint8), data, np.zeros(16, np.uint8)))
+    numbers = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
+    first = at if before else at + 16
+    return [numbers[first + 8 * k] & (_LAST if before else _FIRST)[k][n] for k in range(2)]
+
+
 def repeated_windows(bundle: list[tuple[int, int, bytes, int]], size: int, block: int = BLOCK) -> list[list[tuple[int, int]]]:
     """Ranges of repeated windows of every run of a bundle of whole anchor groups.
 
@@ -174,23 +250,16 @@ def repeated_windows(bundle: list[tuple[int, int, bytes, int]], size: int, block
     run_of = np.repeat(np.arange(len(mixed)), counts)
     within = np.arange(len(run_of)) - np.repeat(np.cumsum(counts) - counts, counts)
     begins = origin[run_of] + grid[run_of] + within * block
-    _, ranks = np.unique(bs.span_hashes(data, begins, begins + block), return_inverse=True)
+    symbols = data[begins[:, None] + np.arange(block)] if len(begins) else np.zeros((0, block), np.uint8)
+    _, ranks = np.unique(np.ascontiguousarray(symbols).view(f"V{block}").ravel(), return_inverse=True)
     text = np.empty(len(ranks) + len(mixed), dtype=np.int64)
     slot = np.arange(len(ranks)) + run_of
     text[slot] = ranks + len(mixed)
     ends = np.cumsum(counts + 1) - 1
     text[ends] = np.arange(len(mixed))
-    order = np.array(suffix_array(text.tolist()), dtype=np.int64)
     whole = (size - block + 1) // block  # whole blocks in any window
-    seq = bs.window_hashes(bs.mix(text.astype(np.uint64)), whole, 5)
-    key = np.arange(len(text), dtype=np.uint64) + np.uint64(1 << 62)
-    key[: len(seq)] = seq
-    ordered = key[order]
-    same = np.zeros(len(text) + 1, dtype=bool)
-    same[1:-1] = ordered[1:] == ordered[:-1]
-    matched = np.zeros(len(text), dtype=bool)
-    matched[order] = same[1:] | same[:-1]
-    chosen = np.flatnonzero(matched[slot])  # blocks at which a repeated sequence starts
+    interval = _intervals(text, whole)
+    chosen = np.flatnonzero(interval[slot] >= 0)  # blocks at which a repeated sequence starts
     if not len(chosen):
         return out
     # windows whose first whole block is such a block
@@ -198,17 +267,24 @@ def repeated_windows(bundle: list[tuple[int, int, bytes, int]], size: int, block
     stop = begins[chosen] - origin[run_of[chosen]]
     stop = np.minimum(stop, sizes[run_of[chosen]] - size)
     ok = stop >= first
-    first, stop, owner = first[ok], stop[ok], run_of[chosen][ok]
+    chosen, first, stop = chosen[ok], first[ok], stop[ok]
     n = stop - first + 1
-    owner = np.repeat(owner, n)
+    begin_block = np.repeat(begins[chosen], n)
+    owner, of = np.repeat(run_of[chosen], n), np.repeat(interval[slot[chosen]], n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
     begin = origin[owner] + start
+    before = begin_block - begin
     lead = np.array([bundle[r][1] for r in mixed], dtype=np.int64)
-    anchor = np.array([bundle[r][0] for r in mixed], dtype=np.int64).view(np.uint64)
-    identity = bs.span_hashes(data, begin, begin + size) ^ bs.mix(anchor[owner] + (lead[owner] - start).astype(np.uint64))
-    by = np.argsort(identity, kind="stable")
+    number = {a: k for k, a in enumerate(groups)}
+    anchor = np.array([number[bundle[r][0]] for r in mixed], dtype=np.int64)
+    after = begin_block + whole * block
+    keys = [anchor[owner], lead[owner] - start, of, *_beside(data, begin_block, before, True), *_beside(data, after, begin + size - after, False)]
+    by = np.lexsort(keys)
+    new = np.zeros(max(len(by) - 1, 0), dtype=bool)
+    for key in keys:
+        new |= key[by][1:] != key[by][:-1]
     equal = np.zeros(len(by) + 1, dtype=bool)
-    equal[1:-1] = identity[by][1:] == identity[by][:-1]
+    equal[1:-1] = ~new
     twice = np.zeros(len(by), dtype=bool)
     twice[by] = equal[1:] | equal[:-1]
     single = np.array([bundle[r][3] == 1 for r in mixed])
@@ -223,22 +299,20 @@ def repeated_windows(bundle: list[tuple[int, int, bytes, int]], size: int, block
     return out
 
 
-def _judge(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by anchor, to ranges of repeated windows of documents."""
-    pending: dict[tuple[int, int, bytes], list[tuple[int, int, int]]] = {}
+def _bundles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[dict[tuple[int, int, bytes], list], list[list[tuple[int, int]]]]]:
+    """Rows sorted by anchor, in bundles of whole groups: the rows of every run, and its ranges of repeated windows.
+
+    A row's last column says how often the run occurs in it.
+    """
+    pending: dict[tuple[int, int, bytes], list] = {}
     held = 0
     last = None
 
-    def settle() -> pa.RecordBatch:
-        keys = list(pending)
-        ranges = repeated_windows([(a, lead, body, len(pending[a, lead, body])) for a, lead, body in keys], size)
-        rows = [(doc, tag, start + x, start + y) for key, found in zip(keys, ranges, strict=True) for x, y in found for doc, tag, start in pending[key]]
-        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "tag", "start", "stop"])
+    def settle() -> tuple[dict[tuple[int, int, bytes], list], list[list[tuple[int, int]]]]:
+        return pending, repeated_windows([(*key, sum(x[-1] for x in rows)) for key, rows in pending.items()], size)
 
     for batch in batches:
-        x = batch.to_pydict()
-        for anchor, lead, body, docs, tags, starts in zip(*(x[c] for c in ("anchor", "lead", "body", "doc_ids", "tags", "starts")), strict=True):
+        for anchor, lead, body, *rest in zip(*batch.to_pydict().values(), strict=True):
             if anchor != last and held >= _BUNDLE:
                 yield settle()
                 pending, held = {}, 0
@@ -247,54 +321,37 @@ def _judge(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             if key not in pending:
                 pending[key] = []
                 held += len(body)
-            pending[key].extend(zip(docs, tags, starts, strict=True))
+            pending[key].append(rest)
     if pending:
         yield settle()
 
 
-def _spread(batch: pa.RecordBatch, sketch: cm.Sketch, size: int, gram: int) -> pa.RecordBatch:
-    """Windows of hot anchors by hash, after equal windows of the batch were joined."""
-    ids, tags = _ids(batch)
-    found = []
-    for row, data, starts in bs.slices(batch.column("text")):
-        hashes, place, lo, hi, owner = anchor_runs(data, starts, size, gram)
-        pick = np.flatnonzero(sketch.classes(hashes) >= 2)
-        if len(pick):
-            n = hi[pick] - lo[pick] + 1
-            of = np.repeat(pick, n)
-            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[pick], n)
-            h2 = bs.span_hashes(bs.LOWER[data] ^ np.uint8(0x55), start, start + size) ^ bs.mix(hashes[of] + (place[of] - start).astype(np.uint64))
-            found.append((bs.span_hashes(data, start, start + size), h2, ids[row + owner[of]], tags[row + owner[of]], (start - starts[owner[of]]).astype(np.int32)))
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-    names = ["h1", "h2", "doc_id", "tag", "start", "stop", "settled", "many"]
-    if not found:
-        return pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=names)
-    h1, h2, doc, tag, start = (np.concatenate(x) for x in zip(*found, strict=True))
-    by = np.lexsort((h2, h1))
-    h1, h2, doc, tag, start = (x[by] for x in (h1, h2, doc, tag, start))
-    new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
-    head = np.flatnonzero(new)
-    many = np.diff(np.append(head, len(h1))) > 1
-    repeated = many[np.cumsum(new) - 1]
-    # one open row for each window; all occurrences of repeated ones are settled, as ranges
-    rest = np.flatnonzero(repeated)
-    by = np.lexsort((start[rest], tag[rest], doc[rest]))
-    d, t, s = doc[rest][by], tag[rest][by], start[rest][by]
-    cut = np.flatnonzero(np.append(True, (np.diff(d) != 0) | (np.diff(t) != 0) | (np.diff(s) > 1))) if len(d) else np.zeros(0, np.int64)
-    end = np.append(cut[1:], len(d)) - 1 if len(cut) else cut
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate((h1[head].view(np.int64), np.zeros(len(cut), np.int64)))),
-            pa.array(np.concatenate((h2[head].view(np.int64), np.zeros(len(cut), np.int64)))),
-            pa.array(np.concatenate((doc[head], d[cut]))),
-            pa.array(np.concatenate((tag[head], t[cut]))),
-            pa.array(np.concatenate((start[head], s[cut]))),
-            pa.array(np.concatenate((start[head], s[end]))),
-            pa.array(np.concatenate((np.zeros(len(head), bool), np.ones(len(cut), bool)))),
-            pa.array(np.concatenate((many, np.zeros(len(cut), bool)))),
-        ],
-        names=names,
-    )
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([] for _ in schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_FOUND_TYPES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+_RANGE_TYPES = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+
+
+def _judge(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Runs to ranges of repeated windows of documents."""
+    for runs, ranges in _bundles(batches, size):
+        found = [
+            (doc, tag, start + x, start + y)
+            for rows, own in zip(runs.values(), ranges, strict=True)
+            for x, y in own
+            for docs, tags, starts, _ in rows
+            for doc, tag, start in zip(docs, tags, starts, strict=True)
+        ]
+        yield _table(found, _FOUND_TYPES)
+
+
+def _judge_pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """One row for each distinct piece to ranges of its repeated windows."""
+    for runs, ranges in _bundles(batches, size):
+        yield _table([(one, two, x, y) for rows, own in zip(runs.values(), ranges, strict=True) for x, y in own for one, two, _ in rows], _RANGE_TYPES)
 
 
 def repeated_ranges(spark: SparkSession, docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -304,22 +361,36 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, size: int = SIZE, gram
     """
     cells = cm.cells_for(cm.text_bytes(docs) // (size - gram) * 4)
     sent = cm.sketch_keys(docs.select("text"), lambda batch: _anchors(batch, size, gram), cells, 2)
-    shared = spark.sparkContext.broadcast(cm.collect(cm.merge(sent, (2, hot, 1 << 30)), cells, 2))
+    sketch = cm.collect(cm.merge(sent, (2, hot, 1 << 30)), cells, 2)
+    shared = spark.sparkContext.broadcast(sketch)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _runs(batch, shared.value, size, gram)
+            yield from _rows(batch, _runs(batch, shared.value, size, gram))
+
+    by_anchor = docs.mapInArrow(runs, _RUNS).withColumn("n", F.size("doc_ids")).repartition("anchor").sortWithinPartitions("anchor")
+    judged = by_anchor.mapInArrow(lambda batches: _judge(batches, size), _FOUND)
+    if not sketch.reaches(2):
+        return judged
+
+    def cores_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, data, starts in bs.slices(batch.column("text")):
+            yield hot_pieces(data, starts, shared.value, size, gram)[0]
+
+    sent = cm.sketch_keys(docs.select("text"), cores_of, cells, 2)
+    cores = spark.sparkContext.broadcast(cm.collect(cm.merge(sent), cells, 2))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _spread(batch, shared.value, size, gram)
-
-    sorted_runs = docs.mapInArrow(runs, _RUNS).repartition("anchor").sortWithinPartitions("anchor")
-    judged = sorted_runs.mapInArrow(lambda batches: _judge(batches, size), _FOUND)
-    met = Window.partitionBy("h1", "h2", "settled")
-    rows = docs.mapInArrow(spread, _SPREAD).withColumn("h1", F.when(F.col("settled"), F.xxhash64("doc_id", "tag", "start")).otherwise(F.col("h1")))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(met)).withColumn("several", F.max("many").over(met))
-    return judged.union(rows.where("settled OR n > 1 OR several").select("doc_id", "tag", "start", "stop"))
+            yield from _rows(batch, _pieces(batch, shared.value, cores.value, size, gram))
+
+    key = ("anchor", "lead", "body")
+    hot = cut(docs.mapInArrow(pieces, _RUNS).withColumns({"one": F.xxhash64(*key), "two": F.xxhash64(F.lit(1), *key)}))
+    single = hot.groupBy("anchor", "one", "two").agg(F.first("lead").alias("lead"), F.first("body").alias("body"), F.sum(F.size("doc_ids")).alias("n"))
+    ranges = single.select(*key, "one", "two", "n").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _judge_pieces(batches, size), "one long, two long, start int, stop int")
+    met = hot.select("one", "two", F.explode(F.arrays_zip("doc_ids", "tags", "starts")).alias("at")).join(ranges, ["one", "two"])
+    found = met.select(F.col("at.doc_ids").alias("doc_id"), F.col("at.tags").alias("tag"), (F.col("at.starts") + F.col("start")).alias("start"), (F.col("at.starts") + F.col("stop")).alias("stop"))
+    return judged.union(found)
 
 
 def _kept(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:

@@ -86,6 +86,21 @@ def test_empty_table(spark, name):
     assert rows_of(ours(spark, spark.createDataFrame([], "doc_id long, text string")), *columns) == []
 
 
+@pytest.mark.parametrize("hot", [3, 40])
+def test_suffix_dedup_of_hot_anchors(spark, hot):
+    """Passages of 300 to 700 bytes among different texts, and whole copies, with hardly any or some anchors hot."""
+    draw = random.Random(hot)
+    word = lambda: "".join(draw.choice("abcdefg") for _ in range(7))
+    passages = [" ".join(word() for _ in range(n)) for n in (38, 46, 50, 52, 87)]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(draw.randrange(60))) for _ in range(3)]
+        rows.append((i, f"{parts[0]} {draw.choice(passages)} {parts[1]}{draw.choice(passages)}{parts[2]}"))
+    rows += [(100 + i, rows[0][1]) for i in range(50)] + [(200, "ab " * 500), (201, "x" * 2000), (0, rows[3][1])]
+    got = rows_of(suffix_dedup(spark, frame(spark, rows), hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(suffix(rows), key=repr)
+
+
 def test_near_copies_of_copies(spark):
     """Stars, guests and cells: families whose copies differ by nothing up to a third, and mixtures of two families."""
     draw = random.Random(5)
