@@ -2,15 +2,18 @@
 
 Blocks are rows (suite, block, column number from 1, value). The statistic is the sum over blocks of column number
 times rank in the block. Its exact distribution under k!^B equally likely arrangements is a convolution of the
-blocks' own distributions; blocks with equal rank patterns have equal ones, so blocks are first counted by
-pattern (few patterns whatever the number of blocks), and the counted patterns of a suite are folded with
-exact integers. Numerator and denominator have hundreds of digits and are given as text.
+blocks' own distributions; blocks with equal sets of ranks have equal ones, so blocks are first counted by
+pattern (few patterns whatever the number of blocks). As a polynomial the whole distribution is a product of few
+powers g**n, and f = product(g**n) satisfies f' / f = sum(n g' / g): this gives each coefficient from the last few
+ones by small factors, so the tail is summed in exact integers while only those few are held. Numerator and
+denominator have hundreds of digits and are given as text.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections import Counter
+import math
+from collections import Counter, deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,27 +43,53 @@ def block_outcomes(ranks: tuple[int, ...]) -> Counter[int]:
     return Counter(sum(j * r for j, r in enumerate(p, 1)) for p in itertools.permutations(ranks))
 
 
-def convolve(a: Counter[int], b: Counter[int]) -> Counter[int]:
-    out: Counter[int] = Counter()
-    for x, m in a.items():
-        for y, n in b.items():
-            out[x + y] += m * n
+def _product(a: list[int], b: list[int]) -> list[int]:
+    out = [0] * (len(a) + len(b) - 1)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            out[i + j] += x * y
     return out
 
 
+def _first_coefficients(powers: list[tuple[list[int], int]], many: int) -> int:
+    """The sum of the ``many`` lowest coefficients of the product of the powers (polynomial, exponent)."""
+    whole = [1]
+    for g, _ in powers:
+        whole = _product(whole, g)
+    slope = [0] * (len(whole) - 1)
+    for i, (g, n) in enumerate(powers):
+        part = [n * k * x for k, x in enumerate(g)][1:] or [0]
+        for j, (other, _) in enumerate(powers):
+            part = _product(part, other) if j != i else part
+        slope = [a + b for a, b in itertools.zip_longest(slope, part, fillvalue=0)]
+    lowest = math.prod(g[0] ** n for g, n in powers)
+    recent = deque([lowest], maxlen=len(whole))  # the last coefficients, the newest first
+    total = lowest if many > 0 else 0
+    for m in range(1, many):
+        # m whole[0] f[m] = sum over i of (slope[i-1] - (m - i) whole[i]) f[m - i]
+        value = sum((slope[i] - (m - i - 1) * (whole[i + 1] if i + 1 < len(whole) else 0)) * f for i, f in enumerate(recent) if i < len(slope))
+        value //= m * whole[0]
+        recent.appendleft(value)
+        total += value
+    return total
+
+
 def tail(counted: dict[tuple[int, ...], int]) -> tuple[int, int]:
     """Arrangements with at least the observed statistic, and all arrangements."""
-    whole: Counter[int] = Counter({0: 1})
-    observed = 0
-    for ranks, blocks in sorted(counted.items()):
-        observed += blocks * sum(j * r for j, r in enumerate(ranks, 1))
-        power, left = block_outcomes(ranks), blocks
-        while left:  # by squaring
-            if left & 1:
-                whole = convolve(whole, power)
-            left >>= 1
-            power = convolve(power, power) if left else power
-    return sum(n for x, n in whole.items() if x >= observed), sum(whole.values())
+    observed = sum(n * sum(j * r for j, r in enumerate(ranks, 1)) for ranks, n in counted.items())
+    alike: Counter[tuple[int, ...]] = Counter()
+    for ranks, n in counted.items():
+        alike[tuple(sorted(ranks))] += n
+    outcomes = [(block_outcomes(ranks), n) for ranks, n in sorted(alike.items())]
+    total = math.prod(sum(o.values()) ** n for o, n in outcomes)
+    step = math.gcd(*(x - min(o) for o, _ in outcomes for x in o)) or 1
+    powers = [([o.get(x, 0) for x in range(min(o), max(o) + 1, step)], n) for o, n in outcomes]
+    highest = sum(n * max(o) for o, n in outcomes)
+    lowest = sum(n * min(o) for o, n in outcomes)
+    above, below = (highest - observed) // step + 1, (observed - lowest) // step
+    if above <= below:
+        return _first_coefficients([(g[::-1], n) for g, n in powers], above), total
+    return total - _first_coefficients(powers, below), total
 
 
 def exact_test(df: DataFrame, suite: list[str], block: str, column: str, value: str | Column) -> DataFrame:
