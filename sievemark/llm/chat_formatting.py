@@ -16,7 +16,8 @@ Rows, not whole conversations, are serialised: a conversation has no bound, a ca
 
 Status: ``orphan`` (a result without a call), ``cyclic``, ``invalid`` (see ``problems``), ``unanswered``, ``ok``.
 A null conv_id or call_id can't be linked and gets status ``unlinked``. Null arguments are invalid. References to unknown
-calls are problems and don't order. An empty table gives an empty result. Other columns are ignored.
+calls are problems and don't order. Arguments that aren't JSON, or that JSON can't write again (1e999, a lone
+surrogate), are ``invalid`` with the problem ``$: not JSON`` and null in the line. An empty table gives an empty result. Other columns are ignored.
 
 ``whole`` adds rows for what linking leaves over, so that nothing of the input is missing: status ``duplicate`` for each
 text that repeats a call or result (``copies`` says how often, the kept one not counted; 1 in all other rows) and, in
@@ -31,6 +32,7 @@ exchange: a user's turn calls ``respond`` with its text, and the assistant's tur
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -42,6 +44,8 @@ from ..session import cut
 
 #: Turns whose calls are numbered together.
 CHUNK_TURNS = 256
+#: Brackets from which a value is written on trial, as it may be nested too deeply to be written.
+DEEP = 200
 RESPOND = {"respond": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string", "minLength": 1}}, "additionalProperties": False}}
 _CALLS = "conv_id long, call_id string, turn long, name string, arguments string, refs array<string>, content string, is_call boolean"
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -98,10 +102,24 @@ def _refuse(constant: str) -> None:
     raise ValueError(constant)
 
 
+def _finite(number: str) -> float:
+    value = float(number)
+    if math.isinf(value):
+        raise ValueError(number)
+    return value
+
+
 def parsed(arguments: str | None) -> tuple[Any, bool]:
-    """The value of a JSON text, and whether it is one."""
+    """The value of a JSON text, and whether it is one.
+
+    Texts that can't be written again as canonical UTF-8 JSON aren't taken as JSON: numbers beyond doubles (1e999),
+    lone surrogates (\\ud800), NaN, and values nested too deeply.
+    """
     try:
-        return json.loads(arguments, parse_constant=_refuse), True
+        value = json.loads(arguments, parse_constant=_refuse, parse_float=_finite)
+        if "\\u" in arguments or arguments.count("[") + arguments.count("{") >= DEEP:
+            canonical(value).encode()
+        return value, True
     except (TypeError, ValueError, RecursionError):
         return None, False
 

@@ -15,7 +15,8 @@ the task.
 The text of a page is its main blocks in page order, joined by one line feed. In a block character references are
 decoded, white space (also the no-break space and other Unicode spaces) becomes one space, and ends are trimmed;
 blocks left empty are no blocks. ``<br>`` counts as white space. A null or empty page, or one without main blocks, gives
-an empty text. Repeated rows are extracted alike. An empty table gives an empty result. Columns other than page_id,
+an empty text. Names (classes, ids, roles) count as features for the innermost ``NAMED`` ancestors that have any; a tag
+whose quotes never close ends at its first ``>``. Time is linear in the page, whatever its markup. Repeated rows are extracted alike. An empty table gives an empty result. Columns other than page_id,
 url and html are ignored.
 """
 
@@ -37,7 +38,10 @@ STEPS = 160
 PENALTY = 0.05
 #: Ancestor contexts whose scores a task remembers.
 KNOWN = 1 << 14
-_TOKEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_TOKEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+#: Innermost elements with names whose names are features of a block.
+NAMED = 64
 #: name[=value], one after another, so that nothing is looked for within values; a value without its end quote goes to the end.
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>][^\s>]*)))?")
 _WORD = re.compile(r"[a-z]+")
@@ -56,10 +60,14 @@ _BARRIERS = frozenset("ul ol menu dl table".split())
 
 @dataclass
 class Block:
-    """A leaf block: its text, the tags and name words of its ancestors, the innermost name words, and how much of it is in links."""
+    """A leaf block: its text, the tags and name words of its ancestors, the innermost name words, and how much of it is in links.
+
+    ``tags`` are the block-level ancestors' tags, ``last`` the two innermost of them in order.
+    """
 
     text: str
-    path: tuple[str, ...]
+    tags: frozenset[str]
+    last: tuple[str, ...]
     names: frozenset[str]
     nearest: tuple[str, ...] = ()
     linked: int = 0
@@ -69,14 +77,21 @@ class Block:
 class _Open:
     tag: str
     block: bool
-    names: tuple[str, ...] = ()
+    tags: frozenset[str]
+    last: tuple[str, ...]
+    named: bool = False
     silent: bool = False
 
 
 @dataclass
 class _Reader:
+    """Open elements as a stack, with the places of each tag and of block-level elements in it: nothing walks the stack."""
+
     blocks: list[Block] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=dict)
+    block_places: list[int] = field(default_factory=list)
+    named: list[tuple[str, ...]] = field(default_factory=list)
     pieces: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
 
@@ -89,20 +104,29 @@ class _Reader:
             if self.links:
                 self.linked.append(raw)
 
+    def nearest(self, tags: frozenset[str] | set[str]) -> int:
+        """The place of the innermost open element of one of these tags, or -1."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=-1)
+
     def drop(self, k: int) -> None:
         """Close the open elements from number ``k``."""
-        for x in self.stack[k:]:
+        while len(self.stack) > k:
+            x = self.stack.pop()
+            self.places[x.tag].pop()
+            if x.block:
+                self.block_places.pop()
+            if x.named:
+                self.named.pop()
             self.silent -= x.silent
             self.links -= x.tag == "a"
-        del self.stack[k:]
 
     def flush(self) -> None:
         if self.pieces:
             text = clean("".join(self.pieces))
             if text:
-                named = [x.names for x in self.stack if x.names]
-                names = frozenset(n for own in named for n in own)
-                self.blocks.append(Block(text, tuple(x.tag for x in self.stack if x.block), names, named[-1] if named else (), len(clean("".join(self.linked))) if self.linked else 0))
+                names = frozenset(n for own in self.named[-NAMED:] for n in own)
+                tags, last = (self.stack[-1].tags, self.stack[-1].last) if self.stack else (frozenset(), ())
+                self.blocks.append(Block(text, tags, last, names, self.named[-1] if self.named else (), len(clean("".join(self.linked))) if self.linked else 0))
         self.pieces, self.linked = [], []
 
     def start(self, tag: str, attributes: str) -> None:
@@ -112,7 +136,8 @@ class _Reader:
             if tag == "hr":
                 self.flush()
             return
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             self.flush()
             if tag != "body":
                 self.close_until({"p"}, _BARRIERS | {"td", "th", "div", "article", "section", "li", "blockquote"})
@@ -120,32 +145,33 @@ class _Reader:
                 self.close_until(_CLOSES[tag], _BARRIERS)
         names, hidden = names_of(attributes) if attributes.strip() else ((), False)
         silent = tag in SILENT or hidden
-        self.stack.append(_Open(tag, tag in BLOCKS, names, silent))
+        tags, last = (self.stack[-1].tags, self.stack[-1].last) if self.stack else (frozenset(), ())
+        if block:
+            tags, last = tags if tag in tags else tags | {tag}, (*last[-1:], tag)
+            self.block_places.append(len(self.stack))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if names:
+            self.named.append(names)
+        self.stack.append(_Open(tag, block, tags, last, bool(names), silent))
         self.silent += silent
         self.links += tag == "a"
 
     def close_until(self, tags: set[str], barriers: frozenset[str] | set[str]) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].tag in tags:
-                self.flush()
-                self.drop(k)
-                return
-            if self.stack[k].tag in barriers:
-                return
+        k = self.nearest(tags)
+        if k >= 0 and k > self.nearest(barriers - tags):
+            self.flush()
+            self.drop(k)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.pieces.append(" ")
             return
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].tag == tag:
-                if any(x.block for x in self.stack[k:]):
-                    self.flush()
-                self.drop(k)
-                return
-            if self.stack[k].block and tag not in BLOCKS and tag not in SILENT:
-                return  # an inline end tag doesn't reach out of its block
-        if tag in BLOCKS:
+        k, block = self.nearest({tag}), self.block_places[-1] if self.block_places else -1
+        if k >= 0 and (k >= block or tag in BLOCKS or tag in SILENT):  # an inline end tag doesn't reach out of its block
+            if block >= k:
+                self.flush()
+            self.drop(k)
+        elif tag in BLOCKS:
             self.flush()
 
 
@@ -170,16 +196,48 @@ def names_of(attributes: str) -> tuple[tuple[str, ...], bool]:
     return tuple(words), hidden
 
 
+class _TagEnds:
+    """Where tags end, in time linear in the page: no place outside quotes is looked at twice without an end."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.failed: set[int] = set()
+
+    def find(self, at: int) -> int:
+        """The > of the tag whose attributes start at ``at``; within quotes only if they stay open; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        passed, place = [], at
+        while place not in self.failed:
+            passed.append(place)
+            m = _STOP.search(self.page, place)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            if m.start() >= self.last[m[0]]:
+                break
+            place = self.page.find(m[0], m.end()) + 1
+        self.failed.update(passed)
+        return self.page.find(">", at)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in page order."""
     if not page:
         return []
-    reader = _Reader()
+    reader, ends = _Reader(), _TagEnds(page)
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
-        if m is None:
+        close = -1 if m is None or m[2] is None else ends.find(m.end())
+        if m is None or (m[2] is not None and close < 0):
             rest = page[at:]
+            while (m := _TOKEN.search(page, at)) and m[2] is not None:  # tags that the page's end cuts short
+                at = m.end()
+            if m is not None:
+                rest = page[n - len(rest) : m.start()]
             cut = rest.rfind("<")
             # a tag that the end of the page cuts short is markup
             reader.text(rest[:cut] if cut >= 0 and re.match(r"<[a-zA-Z/!?]", rest[cut:] + " ") and ">" not in rest[cut:] else rest)
@@ -192,28 +250,32 @@ def leaf_blocks(page: str | None) -> list[Block]:
             end = page.find(">", m.end())
             at = n if end < 0 else end + 1
         else:
-            at = m.end()
-            slash, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            tag = name.lower()
-            if slash:
+            at = close + 1
+            tag = m[2].lower()
+            if m[1]:
                 reader.end(tag)
             else:
-                reader.start(tag, attributes)
+                reader.start(tag, page[m.end() : close])
                 if tag in RAW:
-                    close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-                    at = n if close is None else close.start()
+                    raw_end = _raw_end(tag).search(page, at)
+                    at = n if raw_end is None else raw_end.start()
     reader.flush()
     return reader.blocks
 
 
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}[\s/>]", re.I)
+
+
 def _step(value: float, bounds: tuple[float, ...]) -> int:
     return sum(value >= b for b in bounds)
 
 
-def context_features(path: tuple[str, ...], names: frozenset[str], nearest: tuple[str, ...]) -> list[str]:
+def context_features(tags: frozenset[str], last: tuple[str, ...], names: frozenset[str], nearest: tuple[str, ...]) -> list[str]:
     """Names of the features of a block's ancestors."""
-    found = {f"in:{t}" for t in path} | {f"named:{w}" for w in names} | {f"nearest:{w}" for w in nearest}
-    return sorted(found | {"own:" + (path[-1] if path else "none"), "end:" + "/".join(path[-2:])})
+    found = {f"in:{t}" for t in tags} | {f"named:{w}" for w in names} | {f"nearest:{w}" for w in nearest}
+    return sorted(found | {"own:" + (last[-1] if last else "none"), "end:" + "/".join(last)})
 
 
 def text_features(block: Block, place: int, n: int) -> tuple[str, ...]:
@@ -234,7 +296,7 @@ def text_features(block: Block, place: int, n: int) -> tuple[str, ...]:
 
 def features_of(blocks: list[Block]) -> list[list[str]]:
     """Names of the features of every block."""
-    return [[*context_features(b.path, b.names, b.nearest), *text_features(b, i, len(blocks))] for i, b in enumerate(blocks)]
+    return [[*context_features(b.tags, b.last, b.names, b.nearest), *text_features(b, i, len(blocks))] for i, b in enumerate(blocks)]
 
 
 @dataclass
@@ -247,7 +309,7 @@ class Field:
     known: dict = field(default_factory=dict)
 
     def score(self, block: Block, place: int, n: int) -> float:
-        context = (block.path, block.names, block.nearest)
+        context = (block.tags, block.last, block.names, block.nearest)
         value = self.known.get(context)
         if value is None:
             value = self.bias + sum(self.weights.get(x, 0.0) for x in context_features(*context))

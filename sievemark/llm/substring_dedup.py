@@ -12,7 +12,7 @@ document whose window also starts in a smaller document is covered.
 No window is lost: every estimate is at least the true count.
 
 Nulls and texts without words give rows with zero words and the hash of the empty string. Repeated rows each
-get a row; documents of one doc_id never cover each other, and rows of one doc_id are taken to have one text.
+get a row; rows of one doc_id never cover each other, and are told apart by their texts where these differ.
 A null doc_id covers nothing and keeps all words. Columns other than doc_id and text are ignored.
 """
 
@@ -34,8 +34,8 @@ GRAM_WORDS = 7
 #: Text for each owner of a range of window hashes; an eighth of its windows travel as a rule, all at most.
 OWNER_BYTES = 6 << 20
 _FLUSH = 1 << 19
-_SENT_NAMES = ["owner", "h1", "h2", "docs", "starts", "done", "low", "high"]
-_SENT = "owner int, h1 binary, h2 binary, docs binary, starts binary, done binary, low binary, high binary"
+_SENT_NAMES = ["owner", "h1", "h2", "docs", "tags", "starts", "done", "marks", "low", "high"]
+_SENT = "owner int, h1 binary, h2 binary, docs binary, tags binary, starts binary, done binary, marks binary, low binary, high binary"
 
 
 def _windows(data: np.ndarray, starts: np.ndarray, size: int, gram: int):
@@ -67,38 +67,38 @@ def _unplanes(coded: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(coded, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _pack(doc: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes]:
-    return _planes(np.diff(doc, prepend=0)), _planes(np.diff(start, prepend=np.int32(0)))
+def _pack(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return _planes(np.diff(doc, prepend=0)), _planes(np.diff(tag, prepend=0)), _planes(np.diff(start, prepend=np.int32(0)))
 
 
-def _unpack(doc: bytes, start: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(_unplanes(doc, "<i8")), np.cumsum(_unplanes(start, "<i4"), dtype=np.int32)
+def _unpack(doc: bytes, tag: bytes, start: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(_unplanes(doc, "<i8")), np.cumsum(_unplanes(tag, "<i8")), np.cumsum(_unplanes(start, "<i4"), dtype=np.int32)
 
 
 def _messages(found: list[tuple[np.ndarray, ...]], owners: int) -> pa.RecordBatch:
     """Candidate windows of some slices: open ones for the owners of their hashes, settled ones as ranges."""
-    h1, h2, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((start, doc, h2, h1))
-    h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
+    h1, h2, doc, tag, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((start, tag, doc, h2, h1))
+    h1, h2, doc, tag, start = h1[order], h2[order], doc[order], tag[order], start[order]
     # runs of one window; only occurrences in the run's smallest document are open
     new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
     settled = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     rest = np.flatnonzero(settled)
-    rest = rest[np.lexsort((start[rest], doc[rest]))]
-    d, s = doc[rest], start[rest]
-    cut = np.flatnonzero(np.append(True, (np.diff(d) != 0) | (np.diff(s) > 1))) if len(rest) else rest
+    rest = rest[np.lexsort((start[rest], tag[rest], doc[rest]))]
+    d, t, s = doc[rest], tag[rest], start[rest]
+    cut = np.flatnonzero(np.append(True, (np.diff(d) != 0) | (np.diff(t) != 0) | (np.diff(s) > 1))) if len(rest) else rest
     end = np.append(cut[1:], len(rest)) - 1 if len(rest) else rest
     open_ = np.flatnonzero(~settled)
     owner = (h1[open_] >> np.uint64(32)).astype(np.int64) * owners >> 32
-    by = np.lexsort((start[open_], doc[open_], owner))
+    by = np.lexsort((start[open_], tag[open_], doc[open_], owner))
     open_, owner = open_[by], owner[by]
     edges = np.flatnonzero(np.diff(owner, prepend=-1))
     rows = []
     for k, (a, b) in enumerate(zip(edges.tolist(), [*edges[1:].tolist(), len(owner)], strict=True)):
         mine = open_[a:b]
-        told = (d[cut], s[cut], s[end]) if k == 0 else (d[:0], s[:0], s[:0])
-        rows.append((int(owner[a]), h1[mine].tobytes(), h2[mine].tobytes(), *_pack(doc[mine], start[mine]), *(x.tobytes() for x in told)))
-    types = (pa.int32(), *[pa.binary()] * 7)
+        told = (d[cut], t[cut], s[cut], s[end]) if k == 0 else (d[:0], t[:0], s[:0], s[:0])
+        rows.append((int(owner[a]), h1[mine].tobytes(), h2[mine].tobytes(), *_pack(doc[mine], tag[mine], start[mine]), *(x.tobytes() for x in told)))
+    types = (pa.int32(), *[pa.binary()] * 9)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_SENT_NAMES)
 
 
@@ -106,7 +106,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], sketch: cm.Sketch, size: int,
     found: list[tuple[np.ndarray, ...]] = []
     held = 0
     for batch in batches:
-        ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), dtype=np.int64)
+        ids, tags = (np.asarray(batch.column(x).to_numpy(zero_copy_only=False), dtype=np.int64) for x in ("doc_id", "tag"))
         for row, data, starts in bs.slices(batch.column("text")):
             _, _, words, owner, at, low, grams = _windows(data, starts, size, gram)
             at = at[sketch.classes(grams[low[at]]) > 0] if len(at) else at
@@ -114,7 +114,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], sketch: cm.Sketch, size: int,
                 continue
             first = bs.per_document(owner, len(starts) - 1)
             h2 = (bs.window_hashes(words, size, 3)[at] >> np.uint64(32)).astype(np.uint32)
-            found.append((bs.window_hashes(words, size, 2)[at], h2, ids[row + owner[at]], (at - first[owner[at]]).astype(np.int32)))
+            found.append((bs.window_hashes(words, size, 2)[at], h2, ids[row + owner[at]], tags[row + owner[at]], (at - first[owner[at]]).astype(np.int32)))
             held += len(at)
             if held >= _FLUSH:
                 yield _messages(found, owners)
@@ -127,27 +127,36 @@ def _meet(table: pa.Table) -> pa.Table:
     """The windows of one owner: ranges of those that also start in a smaller document."""
     h1 = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("h1").to_pylist()])
     h2 = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("h2").to_pylist()])
-    pairs = [_unpack(d, s) for d, s in zip(table.column("docs").to_pylist(), table.column("starts").to_pylist(), strict=True)]
-    doc, start = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    parts = [_unpack(*x) for x in zip(*(table.column(c).to_pylist() for c in ("docs", "tags", "starts")), strict=True)]
+    doc, tag, start = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((doc, h2, h1))
-    h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
+    h1, h2, doc, tag, start = h1[order], h2[order], doc[order], tag[order], start[order]
     new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
     late = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    told = [np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("done", np.int64), ("low", np.int32), ("high", np.int32))]
-    columns = (np.concatenate((doc[late], told[0])), np.concatenate((start[late], told[1])), np.concatenate((start[late], told[2])))
-    return pa.table([pa.array(c) for c in columns], names=["doc_id", "start", "stop"])
+    told = [np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("done", np.int64), ("marks", np.int64), ("low", np.int32), ("high", np.int32))]
+    columns = [np.concatenate((x[late], y)) for x, y in zip((doc, tag, start, start), told, strict=True)]
+    return pa.table([pa.array(c) for c in columns], names=["doc_id", "tag", "start", "stop"])
 
 
 def covered_windows(spark: SparkSession, docs: DataFrame, size: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
-    """(doc_id, start, stop): ranges of windows, by first word, that also start in a document of a smaller doc_id."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, tag, start, stop): ranges of windows, by first word, that also start in a document of a smaller doc_id.
+
+    ``docs`` has doc_id, text and tag, which tells texts of one doc_id apart.
+    """
     total = cm.text_bytes(docs)
     cells = cm.cells_for(total // 24, 8, bits=1)
     owners = max(1, -(-total // OWNER_BYTES))
     sent = cm.sketch_keys(docs.select("text"), lambda batch: _minimizers(batch, size, gram), cells, 2)
     shared = spark.sparkContext.broadcast(cm.collect(cm.merge(sent, (2,)), cells, 2, bits=1))
     rows = docs.where(F.col("doc_id").isNotNull()).mapInArrow(lambda batches: _candidates(batches, shared.value, size, gram, owners), _SENT)
-    return rows.groupBy("owner").applyInArrow(_meet, "doc_id long, start int, stop int")
+    return rows.groupBy("owner").applyInArrow(_meet, "doc_id long, tag long, start int, stop int")
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, text and tag: a hash of the text if any doc_id has several texts, else zero, which packs to nothing."""
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b")
+    return docs.select("doc_id", "text", (F.lit(0).cast("long") if several.isEmpty() else mark).alias("tag"))
 
 
 def _kept(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
@@ -174,8 +183,9 @@ def _kept(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, size: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
     """One row per document: words, words removed, and the SHA-256 of the words kept, joined by one space."""
-    found = covered_windows(spark, docs, size, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    joined = docs.select("doc_id", "text").join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("ranges", F.array().cast("array<struct<start:int,stop:int>>")).alias("ranges"))
+    docs = _tagged(docs)
+    found = covered_windows(spark, docs, size, gram).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    joined = docs.join(found, ["doc_id", "tag"], "left").select("doc_id", "text", F.coalesce("ranges", F.array().cast("array<struct<start:int,stop:int>>")).alias("ranges"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

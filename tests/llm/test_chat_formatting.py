@@ -139,3 +139,18 @@ def test_whole_query_against_sql(spark, sf_dir, tmp_path):
     engine.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
     assert Counter(got) == Counter(engine.sql(ORACLE_SQL["op4_chat_whole"]).fetchall())
     assert any(r[5] == "duplicate" for r in got) and any(r[5] == "message" for r in got)
+
+
+def test_json_that_cannot_be_written_again(spark):
+    texts = ['{"text":1e999}', '{"text":"\\ud800"}', '{"text":NaN}', "[" * 900 + "]" * 900, "[" * 50000 + "]" * 50000, '{"text":"\\ud83d\\ude00"}']
+    for t in texts[:5]:
+        assert c.parsed(t) == (None, False) or json.loads(c.canonical(c.parsed(t)[0])) == json.loads(t)
+    assert c.parsed(texts[5]) == ({"text": "\U0001f600"}, True)
+    calls = [{"tool_calls": [{"id": str(k), "name": "respond", "arguments": t}]} for k, t in enumerate(texts)]
+    turns = [(1, k, "assistant", json.dumps(x)) for k, x in enumerate(calls)] + [(2, k, "user", t) for k, t in enumerate(texts)] + [(3, 0, "tool", '{"tool_call_id":"a","content":1e999}')]
+    rows = c.format_turns(spark, spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), whole=True).collect()
+    assert len(rows) >= len(turns)
+    status = {(r.conv_id, r.call_id): (r.status, list(r.problems)) for r in rows}
+    assert status[1, "0"] == status[1, "1"] == ("invalid", ["$: not JSON"]) and status[1, "5"][0] == "unanswered"
+    for r in rows:
+        json.loads(r.line)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -53,7 +55,7 @@ def test_viterbi_and_likelihood_match_enumeration():
         def score(self, block, place, n):
             return float(scores[0, place])
 
-    best = Fixed({}, 0.0, transitions).labels([h.Block("x", (), frozenset())] * 6)
+    best = Fixed({}, 0.0, transitions).labels([h.Block("x", frozenset(), (), frozenset())] * 6)
     assert tuple(map(int, best)) == max(every, key=value)
 
 
@@ -83,3 +85,18 @@ def test_only_hidden_attributes_hide():
     assert h.names_of(' data-id="no" class=mainText id=\'x\'') == (("main", "text", "x"), False)
     page = '<article title="the hidden door"><p>one <a href="/hidden/page.html">two</a> <b data-hidden="false">three</b></p><p style="overflow: hidden ; x">four</p><p hidden>no</p></article>'
     assert [b.text for b in h.leaf_blocks(page)] == ["one two three", "four"]
+
+
+def test_hostile_markup_takes_linear_time():
+    """Each of these takes a second or two; what a quadratic reader makes of them takes hours."""
+    begin = time.time()
+    n = 100_000
+    assert [b.text for b in h.leaf_blocks("<p>one</p>" + "<a " * (1 << 18))][:1] == ["one"]
+    assert [b.text for b in h.leaf_blocks("<p>one</p>" + '<a ">' * n + "<p>two")][0] == "one"
+    assert h.leaf_blocks("<p>one</p>" + "<a '\"" * n + ">" + "<p>two</p>")[-1].text == "two"
+    deep = h.leaf_blocks("<div>x" * n + "</div>y" * n)
+    assert len(deep) == 2 * n - 1 or len(deep) == 2 * n
+    assert deep[-1].tags <= {"div"} and deep[5].last == ("div", "div")
+    assert len(h.leaf_blocks("<u><div>" * n + "</u></section>x" * n)) == n
+    assert len(h.leaf_blocks("<div class='a%d'>x" * 2000 % tuple(range(2000)))) == 2000
+    assert time.time() - begin < 120

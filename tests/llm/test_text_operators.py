@@ -64,7 +64,7 @@ CASES = {
     "exact": (exact_classes, exact, ("doc_id", "keep_id", "group_size", "kept", "text_sha256"), REPEATED + [(None, "one two three"), (None, "only null")]),
     "near": (near_classes, near, ("doc_id", "n_shingles", "component_id"), [*REPEATED, (None, "one two three"), (None, None), (3, "one two three"), (19, "a b c d"), (19, LONG)]),
     "suffix": (suffix_dedup, suffix, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), REPEATED),
-    "substring": (substring_dedup, substring, ("doc_id", "n_words", "n_removed", "kept_sha256"), REPEATED),
+    "substring": (substring_dedup, substring, ("doc_id", "n_words", "n_removed", "kept_sha256"), [*REPEATED, (18, "short"), (9, PASSAGE), (None, PASSAGE), (7, "x " + LONG)]),
 }
 
 
