@@ -4,11 +4,13 @@ The windows of ``size`` consecutive words of every benchmark item (the whole ite
 patterns, by length. A block is two consecutive words (one word for patterns of one word). The shift table holds
 for every block of a pattern how far the search may move on when it meets the block at the end of its window;
 any other block allows the longest move, so the search looks at about one block in ``size - 1``. Where the shift
-is zero, the window's suffix hash picks a bucket of patterns, and their words are compared with the window's.
-The search runs in lanes, many places of a slice of documents at once.
+is zero, the hash of the window's last block (its suffix) and of its first block (its prefix) pick a bucket of
+patterns, and their words are compared with the window's. The search runs in lanes, many places of a slice of
+documents at once.
 
 The benchmark is read in parts of at most ``PART_BYTES`` of text; each part is one broadcast and one search, so
-what is broadcast has a bound and a larger benchmark takes more searches. Documents are neither shuffled nor
+what is broadcast has a bound and a larger benchmark takes more searches. Tables are packed arrays over the words of the
+part, about ten times its text. Documents are neither shuffled nor
 joined: each task reports its own documents' hits; with several parts the hits of a document are merged by doc_id.
 
 Words are runs of digits, a-z (after lower-casing A-Z) and non-ASCII characters. A null or empty text has none.
@@ -28,78 +30,92 @@ from pyspark.sql import functions as F
 from . import bytescan as bs
 
 WINDOW_WORDS = 13
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 _LANE = 192
 _HITS = "doc_id long, tag long, n_words long, words array<int>, item_ids array<string>"
 
 
+class Stream:
+    """The words of all items of a part, one after another."""
+
+    def __init__(self, items: list[tuple[str, str | None]]) -> None:
+        parts, offset = [], 0
+        for row, data, starts in bs.slices(pa.array([t for _, t in items], pa.large_string())):
+            data = bs.LOWER[data]
+            a, b = bs.word_bounds(data, bs.LETTER_WORDS)
+            parts.append((data, (a + offset).astype(np.int32), (b + offset).astype(np.int32), bs.span_hashes(data, a, b), (row + bs.documents_of(starts, a)).astype(np.int32)))
+            offset += len(data)
+        data, self.starts, self.ends, self.hashes, self.owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.raw = data.tobytes()
+        self.names = [name for name, _ in items]
+
+    def text(self, first: int, words: int) -> bytes:
+        return b" ".join([self.raw[s:e] for s, e in zip(self.starts[first : first + words].tolist(), self.ends[first : first + words].tolist(), strict=True)])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("hashes", "owner")}  # used to build tables only
+
+
+def bucket_of(suffix: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """The bucket of windows with these last and first blocks."""
+    return bs.mix(suffix ^ bs.mix(prefix))
+
+
 class Patterns:
-    """Tables of the patterns of one length."""
+    """Tables of the patterns of one length: places ``at`` of a stream of words, ascending."""
 
-    def __init__(self, words: int, found: dict[bytes, set[str]]) -> None:
-        self.words = words
+    def __init__(self, words: int, stream: Stream, at: np.ndarray) -> None:
+        self.words, self.stream = words, stream
         self.block = min(2, words)
         self.longest = words - self.block + 1
-        self.texts = sorted(found)
-        self.items = [sorted(found[t]) for t in self.texts]
-        hashes, bounds = _hashed(self.texts)
-        blocks = bs.window_hashes(hashes, self.block, 7)
-        shifts: dict[int, int] = {}
-        suffixes: dict[int, list[int]] = {}
-        whole = bs.window_hashes(hashes, words, 8)
-        for k in range(len(self.texts)):
-            base = bounds[k]
-            for j, h in enumerate(blocks[base : base + self.longest].tolist()):
-                shifts[h] = min(shifts.get(h, self.longest), self.longest - 1 - j)
-            suffixes.setdefault(int(whole[base]), []).append(k)
-        keys = np.array(sorted(shifts), dtype=np.uint64)
-        self.keys, self.shifts = keys, np.array([shifts[k] for k in keys.tolist()], dtype=np.int64)
-        self.suffixes = suffixes
-        self.whole = np.array(sorted(suffixes), dtype=np.uint64)
+        # the shift of a block: from its last place in any pattern, the pattern that starts first
+        blocks = bs.window_hashes(stream.hashes, self.block, 7)
+        every = np.arange(len(blocks))
+        begin = at[np.minimum(np.searchsorted(at, every - self.longest + 1), len(at) - 1)]
+        inside = np.flatnonzero((begin <= every) & (every - begin < self.longest))
+        self.keys, of = np.unique(blocks[inside], return_inverse=True)
+        self.shifts = np.full(len(self.keys), self.longest, dtype=np.int16)
+        np.minimum.at(self.shifts, of, (self.longest - 1 - (inside - begin[inside])).astype(np.int16))
+        # equal patterns share an entry of their bucket
+        bucket = bucket_of(blocks[at + words - self.block], blocks[at])
+        one, two = (bs.window_hashes_at(stream.hashes, at, words, salt) for salt in (8, 9))
+        order = np.lexsort((stream.owner[at], two, one, bucket))
+        bucket, one, two, at, item = bucket[order], one[order], two[order], at[order], stream.owner[at][order]
+        same = (bucket[1:] == bucket[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+        entry = np.flatnonzero(np.append(True, ~same))
+        self.buckets, self.firsts = bucket[entry], at[entry].astype(np.int32)
+        kept = np.flatnonzero(np.append(True, ~same | (item[1:] != item[:-1])))
+        self.items = item[kept]
+        self.bounds = np.append(np.searchsorted(kept, entry), len(kept)).astype(np.int32)
 
     def shift(self, blocks: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(blocks), self.longest, np.int64)
         at = np.minimum(np.searchsorted(self.keys, blocks), len(self.keys) - 1)
         return np.where(self.keys[at] == blocks, self.shifts[at], self.longest)
 
-
-def _hashed(texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
-    """Word hashes of all texts, and where each text's begin."""
-    parts, bounds, words = [], [], 0
-    for _, data, starts in bs.slices(pa.array([t.decode() for t in texts], pa.large_string())):
-        a, b = bs.word_bounds(data, bs.LETTER_WORDS)
-        bounds += (bs.per_document(bs.documents_of(starts, a), len(starts) - 1)[:-1] + words).tolist()
-        words += len(a)
-        parts.append(bs.span_hashes(data, a, b))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), bounds
+    def names(self, entry: int) -> list[str]:
+        return [self.stream.names[k] for k in self.items[self.bounds[entry] : self.bounds[entry + 1]].tolist()]
 
 
 def patterns_of(items: list[tuple[str, str | None]], size: int) -> list[Patterns]:
     """Pattern tables of (item_id, text) rows, one for each length of pattern."""
-    by_length: dict[int, dict[bytes, set[str]]] = {}
-    for item, text in items:
-        words = split_words(text or "")
-        if words:
-            length = min(size, len(words))
-            found = by_length.setdefault(length, {})
-            for i in range(len(words) - length + 1):
-                found.setdefault(b" ".join(words[i : i + length]), set()).add(item)
-    return [Patterns(length, found) for length, found in sorted(by_length.items())]
-
-
-def split_words(text: str) -> list[bytes]:
-    data = bs.LOWER[np.frombuffer(text.encode(), np.uint8)]
-    a, b = bs.word_bounds(data, bs.LETTER_WORDS)
-    raw = data.tobytes()
-    return [raw[s:e] for s, e in zip(a.tolist(), b.tolist(), strict=True)]
+    if not items:
+        return []
+    stream = Stream(items)
+    counts = np.bincount(stream.owner, minlength=len(items))
+    first = np.cumsum(counts) - counts
+    out = []
+    for length in sorted({min(size, n) for n in counts.tolist() if n}):
+        n = len(stream.owner) - size + 1
+        at = np.flatnonzero(stream.owner[:n] == stream.owner[size - 1 :]) if length == size else first[counts == length]
+        out.append(Patterns(length, stream, at))
+    return out
 
 
 def _search(patterns: Patterns, words: np.ndarray, owner: np.ndarray, raw: bytes, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """(first word, pattern) of every occurrence in a slice."""
     m, block = patterns.words, patterns.block
     n = len(words) - m + 1
-    if n <= 0 or not patterns.texts:
+    if n <= 0:
         return []
     blocks = bs.window_hashes(words, block, 7)
     # each lane owns _LANE windows, told by their first words
@@ -117,13 +133,12 @@ def _search(patterns: Patterns, words: np.ndarray, owner: np.ndarray, raw: bytes
     places = places[owner[places] == owner[places + m - 1]]
     if not len(places):
         return []
-    whole = bs.window_hashes_at(words, places, m, 8)
-    at = np.minimum(np.searchsorted(patterns.whole, whole), len(patterns.whole) - 1)
-    match = patterns.whole[at] == whole
+    bucket = bucket_of(blocks[places + m - block], blocks[places])
+    low, high = (np.searchsorted(patterns.buckets, bucket, side) for side in ("left", "right"))
     found = []
-    for p, h in zip(places[match].tolist(), whole[match].tolist(), strict=True):
+    for p, x, y in zip(*(v[high > low].tolist() for v in (places, low, high)), strict=True):
         window = b" ".join([raw[s:e] for s, e in zip(a[p : p + m].tolist(), b[p : p + m].tolist(), strict=True)])
-        found += [(p, k) for k in patterns.suffixes[h] if patterns.texts[k] == window]
+        found += [(p, k) for k in range(x, y) if patterns.stream.text(patterns.firsts[k], m) == window]
     return found
 
 
@@ -144,7 +159,7 @@ def _hits(batches: Iterator[pa.RecordBatch], tables: list[Patterns]) -> Iterator
                 for p, k in _search(patterns, words, owner, raw, a, b):
                     d = int(owner[p])
                     words_of.setdefault(d, set()).update(range(p - int(first[d]), p - int(first[d]) + patterns.words))
-                    items_of.setdefault(d, set()).update(patterns.items[k])
+                    items_of.setdefault(d, set()).update(patterns.names(k))
             hit_words += [sorted(words_of.get(d, ())) for d in range(len(starts) - 1)]
             item_lists += [sorted(items_of.get(d, ())) for d in range(len(starts) - 1)]
         yield pa.RecordBatch.from_arrays(

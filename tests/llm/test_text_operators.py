@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from brute import contamination as brute_contamination
 from brute import exact, mixing_targets, near, stupid_backoff, substring, suffix
 from pyspark.sql import functions as F
 
-from sievemark.llm.decontamination import contamination, decontaminate
+from sievemark.llm.decontamination import contamination, decontaminate, patterns_of
 from sievemark.llm.exact_dedup import exact_classes, exact_dedup
 from sievemark.llm.lm_scoring import BACKOFF, ORDER, lm_scores
 from sievemark.llm.mixing import mix
@@ -138,6 +139,29 @@ def test_contamination(spark, documents, sf_dir):
     assert not any(r[2] for r in rows_of(contamination(spark, odd, none), *columns))
 
 
+def test_pattern_tables():
+    """Shifts and buckets of packed tables against their definitions, and their size."""
+    draw = random.Random(3)
+    items = [(str(k), " ".join(f"w{draw.randrange(60)}" for _ in range(draw.randrange(30)))) for k in range(80)] + [("x", None), ("y", items_text := " ".join(f"w{k}" for k in range(20))), ("z", items_text)]
+    for p in patterns_of(items, 13):
+        want, found = {}, {}
+        for name, text in items:
+            words = (text or "").split()
+            if min(13, len(words)) != p.words or not words:
+                continue
+            for i in range(len(words) - p.words + 1):
+                own = words[i : i + p.words]
+                found.setdefault(" ".join(own).encode(), set()).add(name)
+                for j in range(p.longest):
+                    block = tuple(own[j : j + p.block])
+                    want[block] = min(want.get(block, p.longest), p.longest - 1 - j)
+        assert {p.stream.text(f, p.words): set(p.names(k)) for k, f in enumerate(p.firsts)} == found
+        assert len(p.firsts) == len(found) and len(p.keys) == len(want) and sorted(p.shifts.tolist()) == sorted(want.values())
+    large = [(str(k), " ".join(f"w{draw.randrange(50000)}" for _ in range(200))) for k in range(1700)]
+    text = sum(len(t) for _, t in large)
+    assert text > 2_000_000 and len(pickle.dumps(patterns_of(large, 13))) < 12 * text
+
+
 def test_mixing(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(i, t, [None, "b", "a", "Z"][i % 4]) for i, t in ODD] + [(6, LONG, "a")], "doc_id long, text string, source string")
