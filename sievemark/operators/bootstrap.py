@@ -11,18 +11,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_draw
+from ..session import cut
+from .ranking import running_total
 
 
 def draws(spark: SparkSession, replicates: int, n: int, seed: int) -> DataFrame:
     """rep, draw, place: ``n`` places from 0 below n for each replicate."""
-    reps = spark.range(replicates).select(F.col("id").alias("rep"))
-    rows = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("draw")) if n else reps.where("false").withColumn("draw", F.lit(0))
+    rows = spark.range(replicates * n).select(F.floor(F.col("id") / F.lit(max(n, 1))).alias("rep"), (F.col("id") % F.lit(max(n, 1))).cast("int").alias("draw"))
     return rows.withColumn("place", hash_draw(n, F.lit(seed), "rep", "draw"))
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
-    """The distinct values of ``key`` with places from 0 in ascending order."""
-    return df.select(key).distinct().withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)
+    """The distinct values of ``key`` with places from 0 in ascending order; no task sorts all of them, if they are numbers."""
+    if dict(df.dtypes)[key] == "string":
+        return df.select(key).distinct().withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)
+    return running_total(cut(df.select(key).distinct()), [], key, {"place": F.lit(1).cast("long")}).select(key, "place")
 
 
 def samples(scores: DataFrame, replicates: int, seed: int, cell: str = "cell", source: str = "source") -> DataFrame:

@@ -105,6 +105,16 @@ def exact_test(df: DataFrame, suite: list[str], block: str, column: str, value:
     return statistic(counted, suite).join(tails, suite)
 
 
+def verdict(tests: DataFrame, audits: DataFrame, suite: str, alpha: float = 0.05) -> DataFrame:
+    """suite and its label: withheld, or supported where all hidden orders (or the only one) increase with p below alpha."""
+    plain = (F.col("direction") == "increasing") & (F.col("p") < alpha)
+    robust = (F.col("directions") == "increasing") & (F.col("decisions") == "true")
+    met = tests.select(suite, "direction", "p").join(audits.select(suite, "audit", "directions", "decisions"), suite)
+    # fixed values: labels of the panel
+    named = F.when(F.col("audit") == "WITHHELD", "WITHHELD_CEILING").when(F.when(F.col("audit") == "ROBUST", robust).otherwise(plain), "DIRECTIONAL_SUPPORTED").otherwise("DIRECTIONAL_NOT_SUPPORTED")
+    return met.select(suite, named.alias("verdict"))
+
+
 def ceiling_audit(df: DataFrame, suite: str, block: str, column: str, value: str, ceiling: str, alpha: float = 0.05) -> DataFrame:
     """One row per suite: ranges of L and p over the hidden orders of ceiling columns.
 

@@ -1,9 +1,10 @@
 """Matrix-permutation (QAP) tests of a pair matrix against another.
 
 Matrices are rows (i, j, predictor, target) over a few items. The statistic is Spearman's correlation over chosen
-pairs; rows and columns of the predictor are relabelled together. The chosen pairs' ranks are a multiset that no relabelling
-changes when the predictor is symmetric or all ordered pairs are chosen, so the sum of rank products orders relabellings exactly. The rank
-matrix is one small row that goes to all tasks; permutations are numbers spread over tasks.
+pairs, under relabellings of the predictor's items. Ranks are computed once, as whole numbers, and only looked up
+under a relabelling: sums of their products then order the relabellings without rounding. The rank
+matrix is one small row that goes to all tasks; permutations are numbers spread over tasks. A triangle of a predictor
+that isn't symmetric is refused, as its ranks would change under relabelling.
 """
 
 from __future__ import annotations
@@ -51,6 +52,11 @@ def norm_corrected(matrix: DataFrame, norms: DataFrame, value: str = "value", me
 
 def _rank_row(matrix: DataFrame, n: int, which: str) -> DataFrame:
     """One row: the n x n matrix of the predictor's doubled ranks over chosen pairs, and chosen pairs with the target's."""
+    if which != "ordered":
+        turned = matrix.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("predictor").alias("_other"))
+        apart = F.abs(F.col("predictor") - F.col("_other")) > 1e-8 + 1e-5 * F.abs(F.col("_other"))
+        if not matrix.join(turned, ["i", "j"]).where(apart).isEmpty():
+            raise ValueError(f"pairs of the {which} triangle need a symmetric predictor")
     cell = F.struct("i", "j", "predictor", "target")
     chosen = {"upper": F.col("i") < F.col("j"), "lower": F.col("i") > F.col("j"), "ordered": F.col("i") != F.col("j")}[which]
     # a symmetric predictor has one rank for both orders of a pair
@@ -71,10 +77,11 @@ def _rank_row(matrix: DataFrame, n: int, which: str) -> DataFrame:
 
 
 def _fixed() -> list[Column]:
-    """Observed sum, centre and rho."""
+    """Observed sum, centre, scale (a sum less the centre, over the scale, is its rho) and rho."""
     seen = F.aggregate(F.zip_with("rp", "rt", lambda a, b: a.cast("long") * b), F.lit(0).cast("long"), lambda s, x: s + x)
     n_pairs = F.size("rp")
-    return [seen.alias("o"), (n_pairs * (n_pairs + 1) * (n_pairs + 1)).cast("long").alias("centre"), rho_of(F.col("rp"), F.col("rt")).alias("rho")]
+    spread = lambda r: F.aggregate(F.transform(r, lambda x: (x.cast("double") - n_pairs - 1) * (x.cast("double") - n_pairs - 1)), F.lit(0.0), lambda s, x: s + x)
+    return [F.sqrt(spread("rp") * spread("rt")).alias("scale"), seen.alias("o"), (n_pairs * (n_pairs + 1) * (n_pairs + 1)).cast("long").alias("centre"), rho_of(F.col("rp"), F.col("rt")).alias("rho")]
 
 
 def _sums(permutations: DataFrame, row: DataFrame, n: int) -> DataFrame:
@@ -110,7 +117,7 @@ def _every_sum(row: DataFrame, n: int) -> DataFrame:
 
 
 def qap_exact(matrix: DataFrame, n: int, which: str = "upper") -> DataFrame:
-    """rho, relabellings with no smaller and with no smaller absolute statistic, all n! of them, and both p."""
+    """rho, relabellings with no smaller and with no smaller absolute statistic, all n! of them, both p, and the null's moments and quantiles."""
     return _summary(_every_sum(_rank_row(matrix, n, which), n), 0)
 
 
@@ -127,5 +134,8 @@ def qap_monte_carlo(matrix: DataFrame, n: int, draws: int, seed: int, which: str
 
 def _summary(sums: DataFrame, extra: int) -> DataFrame:
     far = F.abs(F.col("s") - F.col("centre")) >= F.abs(F.col("o") - F.col("centre"))
-    out = sums.agg(F.first("rho").alias("rho"), F.count_if(F.col("s") >= F.col("o")).alias("count"), F.count_if(far).alias("count_abs"), F.count(F.lit(1)).alias("total"))
-    return out.select("rho", "count", "count_abs", "total", *[((F.col(c) + extra) / (F.col("total") + extra)).alias(p) for c, p in (("count", "p"), ("count_abs", "p_abs"))])
+    of = F.try_divide(F.col("s") - F.col("centre"), F.col("scale"))
+    null = [F.avg(of).alias("null_mean"), F.stddev_pop(of).alias("null_sd"), F.percentile(of, 0.95).alias("null_q95"), F.percentile(of, 0.99).alias("null_q99")]
+    out = sums.agg(F.first("rho").alias("rho"), F.count_if(F.col("s") >= F.col("o")).alias("count"), F.count_if(far).alias("count_abs"), F.count(F.lit(1)).alias("total"), *null)
+    names = ["null_mean", "null_sd", "null_q95", "null_q99"]
+    return out.select("rho", "count", "count_abs", "total", *names, *[((F.col(c) + extra) / (F.col("total") + extra)).alias(p) for c, p in (("count", "p"), ("count_abs", "p_abs"))])

@@ -127,16 +127,41 @@ def disjoint_gate(spark, sf_dir):
     return gates.disjoint(rows.where("side = 0"), rows.where("side = 1"), "cohorts", ["human_sha256"])
 
 
-@query(f"WITH {EXCHANGES_SQL} SELECT 'leak' AS gate, 'leak' AS rule, conv_id || '|' || turn AS key, '' AS detail FROM exchanges WHERE length(source_text) > 0 AND contains(rewritten, source_text)")
+@query(f"WITH {EXCHANGES_SQL} SELECT 'leak' AS gate, 'leak' AS rule, conv_id || '|' || turn AS key, '' AS detail FROM exchanges WHERE length(source_text) > 0 AND contains(CASE WHEN conv_id % 7 = 0 THEN rewritten || source_text ELSE rewritten END, source_text)")
 def leak_gate(spark, sf_dir):
-    rows = exchanges(spark, sf_dir)
-    return gates.leaks(rows.select("conv_id", "turn", "rewritten"), rows.select("conv_id", "turn", "source_text"), "leak", ["conv_id", "turn"], "rewritten", "source_text")
-
-
-@query(f"WITH {MANIFEST_SQL} SELECT 'queue' AS gate, 'source id' AS rule, 'main|' || source_id AS key, '' AS detail FROM manifest WHERE false")
+    """The source's text is put into the answers of every seventh conversation, so that there are leaks to find."""
+    rows = exchanges(spark, sf_dir).withColumn("prompt", F.when(F.col("conv_id") % 7 == 0, F.concat("rewritten", "source_text")).otherwise(F.col("rewritten")))
+    return gates.leaks(rows.select("conv_id", "turn", "prompt"), rows.select("conv_id", "turn", "source_text"), "leak", ["conv_id", "turn"], "prompt", "source_text")
+
+
+#: Main rows with faults put in, so that each rule has rows to find: (column, divisor of compact_index, Spark, SQL).
+_QUEUE_FAULTS = [
+    ("split_origin", 11, "'dev'"),
+    ("topic_sha256", 13, "'0'"),
+    ("high_words", 17, "low_words - 1"),
+    ("target_words", 19, "NULL"),
+    ("source_id", 23, "concat('x', source_id)"),
+]
+_QUEUE_COLUMNS = ["source_id", "compact_index", "split_origin", "cohort", "human_sha256", "topic", "topic_sha256", "target_words", "low_words", "high_words"]
+_QUEUE_SQL = f"""WITH {MANIFEST_SQL},
+m AS (SELECT source_id, compact_index, split_origin, 'main' AS cohort, human_sha256, topic, topic_sha256, human_word_count AS target_words,
+             ceil(human_word_count * 0.9::DOUBLE)::INTEGER AS low_words, floor(human_word_count * 1.1::DOUBLE)::INTEGER AS high_words FROM manifest),
+f AS (SELECT {", ".join(next((f"CASE WHEN compact_index % {n} = 0 THEN {v} ELSE {c} END AS {c}" for k, n, v in _QUEUE_FAULTS if k == c), c) for c in _QUEUE_COLUMNS)} FROM m),
+q AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE compact_index % 29 = 0),
+r AS (SELECT concat_ws('|', coalesce(cohort, 'null'), coalesce(source_id, 'null')) AS key, * FROM q)
+SELECT 'queue' AS gate, 'required' AS rule, key, '' AS detail FROM r WHERE {" OR ".join(f"{c} IS NULL" for c in _QUEUE_COLUMNS)}
+UNION ALL SELECT 'queue', 'unique', key, count(*)::VARCHAR FROM r GROUP BY key HAVING count(*) > 1
+UNION ALL SELECT 'queue', 'source id', key, '' FROM r WHERE (source_id = 'arxiv2k:' || CASE WHEN length(compact_index::VARCHAR) < 4 THEN lpad(compact_index::VARCHAR, 4, '0') ELSE compact_index::VARCHAR END) IS NOT TRUE
+UNION ALL SELECT 'queue', 'sha256 of topic', key, coalesce(topic_sha256, 'null') FROM r WHERE (sha256(topic) = topic_sha256) IS NOT TRUE
+UNION ALL SELECT 'queue', 'bounds', key, '' FROM r WHERE (low_words <= target_words AND target_words <= high_words) IS NOT TRUE
+UNION ALL SELECT 'queue', 'split', key, '' FROM r WHERE (split_origin IN ('train', 'val', 'test')) IS NOT TRUE"""
+
+
+@query(_QUEUE_SQL)
 def queue_gate(spark, sf_dir):
-    rows = manifest(spark, sf_dir).where("text IS NOT NULL").select("source_id", "compact_index", "split_origin", F.lit("main").alias("cohort"), "human_sha256", "topic", "topic_sha256", F.col("human_word_count").alias("target_words"), "low_words", F.greatest("high_words", "human_word_count").alias("high_words"))
-    return gates.queue(rows)
+    rows = manifest(spark, sf_dir).withColumns({"cohort": F.lit("main"), "target_words": F.col("human_word_count")}).select(*_QUEUE_COLUMNS)
+    rows = rows.select(*(next((F.expr(f"CASE WHEN compact_index % {n} = 0 THEN {v} ELSE {c} END").alias(c) for k, n, v in _QUEUE_FAULTS if k == c), F.col(c)) for c in _QUEUE_COLUMNS))
+    return gates.queue(rows.union(rows.where("compact_index % 29 = 0")))
 
 
 @query("SELECT sha256(string_agg(d, ',' ORDER BY bucket)) AS lock_sha256 FROM (SELECT bucket, sha256(string_agg(line, ',' ORDER BY line)) AS d FROM (SELECT line, ('0x' || substr(line, 1, 8))::BIGINT % 256 AS bucket FROM (SELECT sha256('{\"path\":\"' || doc_id || '\",\"digest\":\"' || sha256(text) || '\"}') AS line FROM documents WHERE text IS NOT NULL)) GROUP BY 1)")
@@ -396,14 +421,18 @@ def _qap_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return cut(halves[0].select("i", "j", F.round("value", 9).alias("predictor")).join(halves[1].select("i", "j", F.round("value", 9).alias("target")), ["i", "j"])), labels.count()
 
 
+def _qap_columns():
+    return [_r("rho", 9), "count", "count_abs", "total", *(_r(c) for c in ("null_mean", "null_sd", "null_q95", "null_q99")), "p", "p_abs"]
+
+
 @query()
 def qap_exact(spark, sf_dir):
-    return qap.qap_exact(*_qap_input(spark, sf_dir)).withColumn("rho", F.round("rho", 9))
+    return qap.qap_exact(*_qap_input(spark, sf_dir)).select(*_qap_columns())
 
 
 @query()
 def qap_monte_carlo(spark, sf_dir):
-    return qap.qap_monte_carlo(*_qap_input(spark, sf_dir), 100_000, CLUSTER_SEED).withColumn("rho", F.round("rho", 9))
+    return qap.qap_monte_carlo(*_qap_input(spark, sf_dir), 100_000, CLUSTER_SEED).select(*_qap_columns())
 
 
 # --- shifts and detectors ----------------------------------------------------------------------------------------
@@ -534,13 +563,13 @@ def bleu4(spark, sf_dir):
 
 
 def _first_sql(x: str) -> str:
-    return f"list_slice(string_split({normal_sql(f'lower({x})')}, ' '), 1, 3)"
+    return f"list_slice(string_split({normal_sql(f'lower({x})')}, ' '), 1, 12)"
 
 
 @query(f"WITH {EXCHANGES_SQL} SELECT count(*) AS pairs, count(*) FILTER (WHERE {_first_sql('source_text')} = {_first_sql('rewritten')}) AS aligned FROM exchanges")
 def first_words_alignment_audit(spark, sf_dir):
     rows = exchanges(spark, sf_dir)
-    same = text.first_words("source_text", 3) == text.first_words("rewritten", 3)
+    same = text.first_words("source_text") == text.first_words("rewritten")
     return rows.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(same).alias("aligned"))
 
 

@@ -65,6 +65,23 @@ def read_parameters(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
 
 
+def write_result(df: DataFrame, path: str) -> None:
+    """A result of one row as one indented JSON document, written by Spark, so that any store works."""
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+    rows.coalesce(1).write.text(path)
+
+
+def first_present(parameters: dict, *paths: str):
+    """The value at the first of some dotted paths that a result document has, as its key names changed over time."""
+    for path in paths:
+        value = parameters
+        for key in path.split("."):
+            value = value.get(key) if isinstance(value, dict) else None
+        if value is not None:
+            return value
+    raise KeyError(paths)
+
+
 def flattened(parameters: dict, prefix: str = "") -> list[tuple[str, str]]:
     """(path, JSON value) of every leaf of a document."""
     out: list[tuple[str, str]] = []
