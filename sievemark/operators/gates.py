@@ -137,8 +137,19 @@ def panel(endpoints: DataFrame, cells: DataFrame, gate: str = "panel") -> DataFr
     """Exactly the wanted cells, and every cell with the sources, human hashes and splits of the whole panel."""
     own = ["suite", "cell"]
     sources = endpoints.select("source_id", "human_sha256", "split_origin").distinct()
-    everything = cells.select(*own).distinct().crossJoin(F.broadcast(sources.select("source_id").distinct()))
-    return gather(coverage(cells, endpoints, gate, own), coverage(everything, endpoints, f"{gate} sources", [*own, "source_id"]), unique(sources, f"{gate} identities", ["source_id"]))
+    # a source's cells are at most those that the panel wants, a short list
+    wanted = cells.agg(F.collect_set(F.struct(*own)).alias("wanted"))
+    known = endpoints.join(cells.select(*own).distinct(), own, "left_semi").select("source_id", F.struct(*own).alias("cell"))
+    has = endpoints.select("source_id").distinct().join(known.groupBy("source_id").agg(F.collect_set("cell").alias("has")), "source_id", "left")
+    absent = has.join(F.broadcast(wanted)).select("source_id", F.explode(F.array_except("wanted", F.coalesce("has", F.array().cast(wanted.schema["wanted"].dataType)))).alias("c"))
+    stray = endpoints.join(cells.select(*own).distinct(), own, "left_anti").select(*own, "source_id").distinct()
+    every = [*own, "source_id"]
+    return gather(
+        coverage(cells, endpoints, gate, own),
+        _rows(absent.select(*(F.col(f"c.{x}").alias(x) for x in own), "source_id"), f"{gate} sources", "missing", _key(every)),
+        _rows(stray, f"{gate} sources", "unexpected", _key(every)),
+        unique(sources, f"{gate} identities", ["source_id"]),
+    )
 
 
 def files(found: DataFrame, pinned: DataFrame, gate: str = "files") -> DataFrame:

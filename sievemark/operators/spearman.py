@@ -31,10 +31,15 @@ def suites(df: DataFrame, suite: str, x: str, y: str) -> DataFrame:
 
 
 def permutation_counts(ranked: DataFrame, suite: list[str], n: int) -> DataFrame:
-    """Over all n! arrangements of ry: how many give no more, and no less, than the observed sum."""
+    """Over all n! arrangements of ry: how many give no more, and no less, than the observed sum.
+
+    The arrangements, at most 8!, go to all tasks; suites stay where they are.
+    """
+    if n > 8:
+        raise ValueError("exact tests take up to eight cells")
     spark = ranked.sparkSession
     every = spark.range(math.factorial(n)).select(permutation(F.col("id"), n).alias("p"))
-    met = every.crossJoin(F.broadcast(ranked.where(F.size("rx") == n)))
+    met = ranked.where(F.size("rx") == n).crossJoin(F.broadcast(every))
     moved = dot_long(F.col("rx"), F.transform("p", lambda i: F.element_at("ry", i + 1)))
     seen = dot_long(F.col("rx"), F.col("ry"))
     return met.select(*suite, moved.alias("_moved"), seen.alias("_seen")).groupBy(*suite).agg(F.count_if(F.col("_moved") <= F.col("_seen")).alias("less"), F.count_if(F.col("_moved") >= F.col("_seen")).alias("greater"), F.count(F.lit(1)).alias("total"))

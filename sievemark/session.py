@@ -50,9 +50,12 @@ def plain_constraints(spark: SparkSession) -> Iterator[None]:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
-    A folder is set here only where the session names none, as in tests.
+    A folder is set here only where the session names none, as in tests on one machine; a cluster has to name one.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
