@@ -49,6 +49,7 @@ _BUNDLE = 1 << 20
 _RUNS = "anchor long, lead int, body binary, doc_ids array<long>, tags array<long>, starts array<int>"
 #: First row, bytes and starts of a slice, and its runs: (group, place of the anchor, first byte, end, text).
 _Picked = tuple[int, bytes, np.ndarray, list[tuple[int, int, int, int, int]]]
+_RANGES = "doc_id long, tag long, ranges array<struct<start: int, stop: int>>"
 _FOUND = "doc_id long, tag long, start int, stop int"
 
 
@@ -355,7 +356,7 @@ def _judge_pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
 
 
 def repeated_ranges(spark: SparkSession, docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, tag, start, stop): ranges of window starts, in bytes, of windows that occur twice or more.
+    """(doc_id, tag, ranges): ranges (start, stop) of window starts, in bytes, of windows that occur twice or more.
 
     ``docs`` has doc_id, text and tag, which tells texts of one doc_id apart.
     """
@@ -369,7 +370,7 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, size: int = SIZE, gram
             yield from _rows(batch, _runs(batch, shared.value, size, gram))
 
     by_anchor = docs.mapInArrow(runs, _RUNS).withColumn("n", F.size("doc_ids")).repartition("anchor").sortWithinPartitions("anchor")
-    judged = by_anchor.mapInArrow(lambda batches: _judge(batches, size), _FOUND)
+    judged = by_anchor.mapInArrow(lambda batches: _judge(batches, size), _FOUND).select("doc_id", "tag", F.array(F.struct("start", "stop")).alias("ranges"))
     if not sketch.reaches(2):
         return judged
 
@@ -381,18 +382,43 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, size: int = SIZE, gram
     cores = spark.sparkContext.broadcast(cm.collect(cm.merge(sent), cells, 2))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            yield from _rows(batch, _pieces(batch, shared.value, cores.value, size, gram))
+            for rows in _rows(batch, _pieces(batch, shared.value, cores.value, size, gram)):
+                number += 1
+                yield rows.append_column("slice", pa.array(np.full(rows.num_rows, number)))
 
     key = ("anchor", "lead", "body")
-    hot = cut(docs.mapInArrow(pieces, _RUNS).withColumns({"one": F.xxhash64(*key), "two": F.xxhash64(F.lit(1), *key)}))
+    hot = cut(docs.mapInArrow(pieces, f"{_RUNS}, slice long").withColumns({"one": F.xxhash64(*key), "two": F.xxhash64(F.lit(1), *key)}))
     single = hot.groupBy("anchor", "one", "two").agg(F.first("lead").alias("lead"), F.first("body").alias("body"), F.sum(F.size("doc_ids")).alias("n"))
     ranges = single.select(*key, "one", "two", "n").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _judge_pieces(batches, size), "one long, two long, start int, stop int")
-    met = hot.select("one", "two", F.explode(F.arrays_zip("doc_ids", "tags", "starts")).alias("at")).join(ranges, ["one", "two"])
-    found = met.select(F.col("at.doc_ids").alias("doc_id"), F.col("at.tags").alias("tag"), (F.col("at.starts") + F.col("start")).alias("start"), (F.col("at.starts") + F.col("stop")).alias("stop"))
+    # occurrences stay packed in the rows of their slice; a slice gives one row for each of its texts
+    met = hot.select("one", "two", "slice", "doc_ids", "tags", "starts").join(ranges.groupBy("one", "two").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), ["one", "two"])
+    found = met.drop("one", "two").groupBy("slice").applyInArrow(_by_text, _RANGES)
     return judged.union(found)
 
 
+def _by_text(table: pa.Table) -> pa.Table:
+    """Ranges of the runs of one slice, as ranges of its texts, overlapping and touching ones joined."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    for docs, tags, starts, ranges in zip(*(table.column(c).to_pylist() for c in ("doc_ids", "tags", "starts", "ranges")), strict=True):
+        at = np.array(starts, dtype=np.int64)
+        parts += [(np.array(docs, dtype=np.int64), np.array(tags, dtype=np.int64), at + r["start"], at + r["stop"]) for r in ranges]
+    doc, tag, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.lexsort((low, tag, doc))
+    out: dict[tuple[int, int], list[dict[str, int]]] = {}
+    for d, t, a, b in zip(*(x[by].tolist() for x in (doc, tag, low, high)), strict=True):
+        own = out.setdefault((d, t), [])
+        if own and a <= own[-1]["stop"] + 1:
+            own[-1]["stop"] = max(own[-1]["stop"], b)
+        else:
+            own.append({"start": a, "stop": b})
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    return pa.table({"doc_id": pa.array([k[0] for k in out], pa.int64()), "tag": pa.array([k[1] for k in out], pa.int64()), "ranges": pa.array(list(out.values()), kind)})
+
+
 def _kept(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
     marks = batch.column("ranges")
     offsets = marks.offsets.to_numpy()
@@ -422,7 +448,7 @@ def _kept(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row per document: bytes, bytes removed, maximal removed runs, SHA-256 of the bytes kept."""
     docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
-    found = repeated_ranges(spark, docs, size, gram, hot).groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("mark")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    found = repeated_ranges(spark, docs, size, gram, hot).groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("mark")).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     joined = docs.join(found, (F.coalesce("doc_id", F.lit(-1)) == F.col("id")) & (F.col("tag") == F.col("mark")), "left")
     joined = joined.select("doc_id", "text", F.coalesce("ranges", F.array().cast("array<struct<start:int,stop:int>>")).alias("ranges"))
 
