@@ -1,14 +1,16 @@
 """Tool-call linking: calls and results joined by identifier, ordered topologically, validated and serialised.
 
-``link_calls`` takes calls (conv_id, call_id, turn, name, arguments, refs) and results (conv_id, call_id, turn,
+``link_calls`` takes calls (conv_id, call_id, turn, name, arguments, refs, maybe after) and results (conv_id, call_id, turn,
 content), where ``arguments`` is JSON text and ``refs`` names calls whose results the call uses.
 
 * Link: one row for each (conv_id, call_id); of repeated calls or results the one of the smallest turn, then text,
   counts. Results meet calls in a hash join on both columns; results without a call stay as orphans.
 * Order: level 0 has the calls without references, level n those whose references are all below n and one at
-  n - 1. Levels come in rounds over the edge table, as many as the deepest chain of references; calls on or behind a
-  cycle get no level. ``place`` numbers a conversation's calls from 0 by level, turn and call_id. It comes from two
-  levels of running counts, so a conversation that holds a third of all rows isn't sorted in one task.
+  n - 1. Chains of calls with one reference each are shortened by half in every round, so their rounds grow with the
+  logarithm of their length; then come rounds over the calls with several references, as many as follow each other on
+  the deepest path. Calls on or behind a cycle get no level. ``place`` numbers a conversation's calls from 0 by level,
+  turn and call_id. It comes from three levels of running counts, so a conversation that holds a third of all rows
+  isn't sorted in one task.
 * Validate: ``arguments`` against the schema of the call's name (a subset of JSON Schema, see ``problems_of``).
 * Serialise: one line of canonical JSON for each row: sorted keys, no spaces, UTF-8 as it is.
 
@@ -26,7 +28,9 @@ says more than its calls or result hold, with its role and whole text in the lin
 
 ``plain_calls`` reads a table of turns (conv_id, turn, role, text). A turn whose text is a JSON object with
 ``tool_calls`` (or ``tool_call_id``) gives those calls (that result). Other turns are read as the simplest
-exchange: a user's turn calls ``respond`` with its text, and the assistant's turn after it is the result.
+exchange: a user's turn calls ``respond`` with its text, and the assistant's turn after it is the result. Such a call
+comes after the one two turns before it, if there is one: calls may name a call in ``after``, which orders them as a
+reference does but is no problem where it isn't known.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ CHUNK_TURNS = 256
 #: Brackets from which a value is written on trial, as it may be nested too deeply to be written.
 DEEP = 200
 RESPOND = {"respond": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string", "minLength": 1}}, "additionalProperties": False}}
-_CALLS = "conv_id long, call_id string, turn long, name string, arguments string, refs array<string>, content string, is_call boolean"
+_CALLS = "conv_id long, call_id string, turn long, name string, arguments string, refs array<string>, after string, content string, is_call boolean"
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -126,7 +130,7 @@ def parsed(arguments: str | None) -> tuple[Any, bool]:
 
 def _messages(role: str | None, conv: int | None, turn: int | None, text: str | None) -> list[tuple]:
     """Calls and results of one turn; a message, with null for ``is_call``, if they don't hold all that it says."""
-    message = (conv, None, turn, None, None, [], canonical({"content": text, "role": role}), None)
+    message = (conv, None, turn, None, None, [], None, canonical({"content": text, "role": role}), None)
     value = parsed(text)[0] if text and text.lstrip()[:1] == "{" else None
     if isinstance(value, dict) and isinstance(value.get("tool_calls"), list):
         out = []
@@ -136,18 +140,19 @@ def _messages(role: str | None, conv: int | None, turn: int | None, text: str |
             refs = own.get("refs")
             arguments = own.get("arguments")
             arguments = arguments if isinstance(arguments, str) else canonical(arguments) if arguments is not None else None
-            out.append((conv, _text(own.get("id")), turn, _text(own.get("name")), arguments, [str(r) for r in refs] if isinstance(refs, list) else [], None, True))
+            out.append((conv, _text(own.get("id")), turn, _text(own.get("name")), arguments, [str(r) for r in refs] if isinstance(refs, list) else [], None, None, True))
             whole = whole and own is x and set(x) <= {"id", "name", "arguments", "refs"} and (refs is None or isinstance(refs, list)) and (arguments is None or parsed(arguments)[1])
         return out if whole else [*out, message]
     if isinstance(value, dict) and "tool_call_id" in value:
         content = value.get("content")
-        result = (conv, _text(value["tool_call_id"]), turn, None, None, [], content if isinstance(content, str) or content is None else canonical(content), False)
+        result = (conv, _text(value["tool_call_id"]), turn, None, None, [], None, content if isinstance(content, str) or content is None else canonical(content), False)
         return [result] if set(value) <= {"tool_call_id", "content"} else [result, message]
     known = conv is not None and turn is not None
     if role == "user":
-        return [(conv, f"{conv}:{turn}" if known else None, turn, "respond", canonical({"text": text}), [], None, True)]
+        after = f"{conv}:{turn - 2}" if known else None
+        return [(conv, f"{conv}:{turn}" if known else None, turn, "respond", canonical({"text": text}), [], after, None, True)]
     if role == "assistant":
-        return [(conv, f"{conv}:{turn - 1}" if known else None, turn, None, None, [], text, False)]
+        return [(conv, f"{conv}:{turn - 1}" if known else None, turn, None, None, [], None, text, False)]
     return [message]
 
 
@@ -159,8 +164,8 @@ def plain_calls(turns: DataFrame) -> DataFrame:
     """Calls, results (``is_call``) and messages (null) of a table of turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_())
-        names = ["conv_id", "call_id", "turn", "name", "arguments", "refs", "content", "is_call"]
+        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_())
+        names = ["conv_id", "call_id", "turn", "name", "arguments", "refs", "after", "content", "is_call"]
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("role", "conv_id", "turn", "text")), strict=True)
             found = [x for row in rows for x in _messages(*row)]
@@ -170,36 +175,69 @@ def plain_calls(turns: DataFrame) -> DataFrame:
     return turns.selectExpr("role", "CAST(conv_id AS long) conv_id", "CAST(turn AS long) turn", "text").mapInArrow(run, _CALLS)
 
 
+def _anchors(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, anchor, far) of calls with one reference: the first call behind it that has none or several.
+
+    ``far`` is the number of references between. Pointers to pointers are followed at once, so a chain of n calls takes
+    about log2(n) rounds; chains that are still open then run in circles, and are left out.
+    """
+    key = ["conv_id", "call_id"]
+    single = edges.groupBy(*key).agg(F.min("ref").alias("anchor"), F.count(F.lit(1)).alias("refs")).where("refs = 1").drop("refs")
+    single = cut(single)
+    open_ = single.select("conv_id", F.col("call_id").alias("anchor"), F.lit(True).alias("more"))
+    pointers = cut(single.join(open_, ["conv_id", "anchor"], "left").select(*key, "anchor", F.lit(1).alias("far"), F.coalesce("more", F.lit(False)).alias("more")))
+    for _ in range(pointers.count().bit_length()):
+        left = pointers.where("more")
+        if left.isEmpty():
+            break
+        ahead = pointers.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("to"), F.col("far").alias("further"), F.col("more").alias("still"))
+        left = left.join(ahead, ["conv_id", "anchor"]).select(*key, F.col("to").alias("anchor"), (F.col("far") + F.col("further")).alias("far"), F.col("still").alias("more"))
+        pointers = cut(pointers.where("NOT more").union(left))
+    return pointers.where("NOT more").drop("more")
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls that no cycle holds back, by rounds over the edges."""
+    """(conv_id, call_id, level) of the calls that no cycle holds back."""
     key = ["conv_id", "call_id"]
-    edges = calls.select(*key, F.explode(F.array_distinct("refs")).alias("ref"))
+    edges = calls.select(*key, F.explode(F.array_distinct(F.concat("refs", F.array("after")))).alias("ref"))
     known = calls.select("conv_id", F.col("call_id").alias("ref"))
     edges = cut(edges.join(known, ["conv_id", "ref"], "left_semi"))
-    bound = edges.select(*key).distinct()
-    done = calls.select(*key).join(bound, key, "left_anti").withColumn("level", F.lit(0))
-    rounds = 0
-    while not edges.isEmpty():
-        # edges to calls of the last level are settled; calls without other edges are of the next level
-        last = done.where(F.col("level") == rounds).select("conv_id", F.col("call_id").alias("ref"))
-        left = cut(edges.join(last, ["conv_id", "ref"], "left_anti"))
-        ready = cut(edges.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti"))
+    anchors = _anchors(edges)
+    done = calls.select(*key).join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0))
+
+    # calls with several references, whose chains in between are now single edges
+    several = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("refs")).where("refs > 1").drop("refs")
+    single = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("refs")).where("refs = 1").select("conv_id", F.col("call_id").alias("ref"), F.lit(True).alias("chained"))
+    ends = anchors.select("conv_id", F.col("call_id").alias("ref"), "anchor", "far")
+    joined = edges.join(several, key).join(single, ["conv_id", "ref"], "left").join(ends, ["conv_id", "ref"], "left")
+    # behind a circle there is no anchor, and such an edge is never settled
+    anchor = F.when(F.col("chained"), F.col("anchor")).otherwise(F.col("ref"))
+    left = cut(joined.select(*key, anchor.alias("anchor"), F.coalesce("far", F.lit(0)).alias("far")))
+    while not left.isEmpty():
+        level = left.join(done.select("conv_id", F.col("call_id").alias("anchor"), "level"), ["conv_id", "anchor"], "left")
+        ready = level.groupBy(*key).agg(F.max(F.col("level") + F.col("far") + 1).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("ready"))
+        ready = cut(ready.where("ready").drop("ready"))
         if ready.isEmpty():
             break
-        rounds += 1
-        done = cut(done.union(ready.withColumn("level", F.lit(rounds))))
-        edges = left
-    return done
+        done = cut(done.union(ready))
+        left = cut(left.join(ready, key, "left_anti"))
+    ends = done.select("conv_id", F.col("call_id").alias("anchor"), "level")
+    return done.union(anchors.join(ends, ["conv_id", "anchor"]).select(*key, (F.col("level") + F.col("far")).alias("level")))
 
 
 def _places(ordered: DataFrame) -> DataFrame:
-    """``place`` by level, turn and call_id in each conversation, by chunks and then over chunks."""
+    """``place`` by level, turn and call_id in each conversation: in chunks, over the chunks of a band of levels, over bands."""
     chunk = F.struct("level", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK_TURNS).alias("part"))
     df = ordered.withColumn("_chunk", chunk)
     own = Window.partitionBy("conv_id", "_chunk").orderBy(F.col("turn").asc_nulls_first(), "call_id")
     df = df.withColumn("_nth", F.row_number().over(own) - 1)
-    before = Window.partitionBy("conv_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ordered.groupBy("conv_id", chunk.alias("_chunk")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    band = F.floor(F.col("_chunk.level") / CHUNK_TURNS).alias("_band")
+    sizes = cut(ordered.groupBy("conv_id", chunk.alias("_chunk")).agg(F.count(F.lit(1)).alias("_n"))).select("*", band)
+    so_far = lambda by, at: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bands = sizes.groupBy("conv_id", "_band").agg(F.sum("_n").alias("_n"))
+    bands = bands.select("conv_id", "_band", so_far(["conv_id"], "_band").alias("_low"))
+    sizes = sizes.withColumn("_before", so_far(["conv_id", "_band"], "_chunk")).join(bands, ["conv_id", "_band"])
+    sizes = sizes.select("conv_id", "_chunk", (F.col("_before") + F.col("_low")).alias("_before"))
     return df.join(sizes, ["conv_id", "_chunk"]).withColumn("place", F.col("_before") + F.col("_nth")).drop("_chunk", "_nth", "_before")
 
 
@@ -250,9 +288,10 @@ def link_calls(spark: SparkSession, calls: DataFrame, results: DataFrame, schema
     ``whole``: and one per text that repeats a call or result.
     """
     key = ["conv_id", "call_id"]
-    body = ["turn", "name", "arguments", "refs"]
+    body = ["turn", "name", "arguments", "refs", "after"]
     linked = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    calls = calls.withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
+    after = F.col("after") if "after" in calls.columns else F.lit(None).cast("string")
+    calls = calls.withColumns({"refs": F.coalesce("refs", F.array().cast("array<string>")), "after": after})
     first = cut(calls.where(linked).groupBy(*key).agg(F.min(F.struct(*body)).alias("c"), F.count(F.lit(1)).alias("n")))
     own = first.select(*key, *(F.col(f"c.{x}").alias(x) for x in body))
     answers = results.where(linked).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n"))
@@ -272,7 +311,7 @@ def link_calls(spark: SparkSession, calls: DataFrame, results: DataFrame, schema
         rows = rows.unionByName(more.select(*columns))
     rows = rows.withColumns({"repeated": no, "copies": F.lit(1).cast("long")})
     if whole:
-        again = _repeats(calls.where(linked), first, body).drop("refs").withColumns(blank | {"content": none.cast("string"), "is_call": yes, "answered": no})
+        again = _repeats(calls.where(linked), first, body).drop("refs", "after").withColumns(blank | {"content": none.cast("string"), "is_call": yes, "answered": no})
         echoes = _repeats(results.where(linked), answers.withColumnRenamed("r", "c"), ["turn", "content"])
         echoes = echoes.withColumns(blank | {"name": none.cast("string"), "arguments": none.cast("string"), "is_call": no, "answered": no})
         for more in (again, echoes):

@@ -98,14 +98,16 @@ FROM d WINDOW w AS (PARTITION BY body)
 """
 
 _CHAT = """
-WITH c AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY 1, 2),
+WITH u AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY 1, 2),
+runs AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM u),
+c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS level FROM runs),
 r AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
 linked AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn - 1) AS asked, coalesce(c.turn, r.turn) AS turn,
-         c.conv_id IS NOT NULL AS is_call, r.conv_id IS NOT NULL AS answered, c.text AS text, r.text AS answer
+         c.conv_id IS NOT NULL AS is_call, r.conv_id IS NOT NULL AS answered, c.text AS text, r.text AS answer, c.level::INTEGER AS level
   FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn - 1)
-SELECT conv_id, conv_id || ':' || asked AS call_id, turn, CASE WHEN is_call THEN 0 END::INTEGER AS level,
-       CASE WHEN is_call THEN row_number() OVER (PARTITION BY conv_id, is_call ORDER BY turn) - 1 END AS place,
+SELECT conv_id, conv_id || ':' || asked AS call_id, turn, level,
+       CASE WHEN is_call THEN row_number() OVER (PARTITION BY conv_id, is_call ORDER BY level, turn) - 1 END AS place,
        CASE WHEN NOT is_call THEN 'orphan' WHEN coalesce(text, '') = '' THEN 'invalid' WHEN answered THEN 'ok' ELSE 'unanswered' END AS status,
        CASE WHEN NOT is_call THEN '' WHEN text IS NULL THEN '$.text: type' WHEN text = '' THEN '$.text: minLength' ELSE '' END AS problems,
        '{"arguments":' || CASE WHEN is_call THEN '{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || '}' ELSE 'null' END

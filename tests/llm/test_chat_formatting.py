@@ -70,6 +70,26 @@ def test_links_levels_and_places(spark):
         assert r.status == ("cyclic" if key not in places else "invalid" if bad else "ok" if key in answers else "unanswered")
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """Chains, chains behind calls of several references, behind circles, and soft references, against plain Python."""
+    n = 1500
+    calls = [(1, f"c{k}", k, "note", "{}", [f"c{k - 1}"] if k else []) for k in range(n)]
+    calls += [(2, f"c{k}", k, "note", "{}", [f"c{k - 1}", f"c{k - 9}"] if k % 9 == 0 and k else [f"c{k - 1}"] if k else []) for k in range(40)]
+    calls += [(3, "a", 1, "note", "{}", ["b"]), (3, "b", 2, "note", "{}", ["a"]), (3, "c", 3, "note", "{}", ["b"]), (3, "d", 4, "note", "{}", ["c", "e"]), (3, "e", 5, "note", "{}", []), (3, "f", 6, "note", "{}", ["d"]), (3, "g", 7, "note", "{}", ["e", "e"])]
+    rounds = []
+    kept = c.cut
+    monkeypatch.setattr(c, "cut", lambda df: rounds.append(1) or kept(df))
+    results = spark.createDataFrame([], RESULTS)
+    got = c.link_calls(spark, spark.createDataFrame(calls, CALLS), results, SCHEMAS).collect()
+    places = brute(calls, [])[2]
+    assert {(r.conv_id, r.call_id): (r.level, r.place) for r in got} == {(x[0], x[1]): places.get((x[0], x[1]), (None, None)) for x in calls}
+    assert max(r.level for r in got if r.conv_id == 1) == n - 1
+    assert len(rounds) < 40
+    soft = [(1, "x", 1, "note", "{}", [], "gone"), (1, "y", 2, "note", "{}", [], "x"), (1, "z", 3, "note", "{}", ["gone"], "y")]
+    got = c.link_calls(spark, spark.createDataFrame(soft, CALLS + ", after string"), results, SCHEMAS).collect()
+    assert {r.call_id: (r.level, r.place, r.status) for r in got} == {"x": (0, 0, "unanswered"), "y": (1, 1, "unanswered"), "z": (2, 2, "invalid")}
+
+
 def test_schemas():
     schema = SCHEMAS["find"]
     assert c.problems_of({"q": "abc", "n": 3, "tags": ["a"]}, schema) == []
@@ -139,6 +159,7 @@ def test_whole_query_against_sql(spark, sf_dir, tmp_path):
     engine.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
     assert Counter(got) == Counter(engine.sql(ORACLE_SQL["op4_chat_whole"]).fetchall())
     assert any(r[5] == "duplicate" for r in got) and any(r[5] == "message" for r in got)
+    assert any((r[3] or 0) > 1 for r in got)
 
 
 def test_json_that_cannot_be_written_again(spark):
