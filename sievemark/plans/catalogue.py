@@ -485,18 +485,6 @@ def standardize_train_only(spark, sf_dir):
     return additive.standardise(parts, "vec_id % 10 < 7").groupBy("vec_id").agg(F.round(F.sum(F.col("v") * F.col("v")), 6).alias("squares"))
 
 
-_DETECTOR_SQL = """parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings WHERE label < 2),
-s AS (SELECT dim, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS s FROM parts WHERE vec_id % 10 < 7 GROUP BY 1),
-z AS (SELECT vec_id, label, dim, (v - m) / s AS v FROM parts JOIN s USING (dim)),
-w AS (SELECT dim, avg(v) FILTER (WHERE label = 1) - avg(v) FILTER (WHERE label <> 1) AS w FROM z WHERE vec_id % 10 < 7 GROUP BY 1)"""
-
-
-@query(f"WITH {_DETECTOR_SQL} SELECT vec_id, label, round(sum(v * w), 6) AS score FROM z JOIN w USING (dim) GROUP BY 1, 2")
-def detector_scores(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where("label < 2")
-    return detector.shift_scores(rows, ["vec_id", "label"], "embedding", "vec_id % 10 < 7", "label = 1").select("vec_id", "label", _r("score"))
-
-
 _CELL_DETECTOR_SQL = """parts AS (SELECT vec_id, label, label // 2 AS cell, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
 s AS (SELECT cell, dim, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS s FROM parts WHERE vec_id % 10 < 7 GROUP BY 1, 2),
 z AS (SELECT vec_id, label, cell, dim, (v - m) / s AS v FROM parts JOIN s USING (cell, dim)),
@@ -514,6 +502,11 @@ def detector_scores_cells(spark, sf_dir):
     return out.select("vec_id", "label", "cell", _r("score"))
 
 
+@query(f"WITH {_CELL_DETECTOR_SQL} SELECT vec_id, label, round(sum(v * w), 6) AS score FROM z JOIN w USING (cell, dim) GROUP BY 1, 2, cell")
+def detector_scores(spark, sf_dir):
+    return detector_scores_cells(spark, sf_dir).drop("cell")
+
+
 @query()
 def logistic_detector_grid(spark, sf_dir):
     """A detector for each cell, and the scores of all its rows; null where a cell lacks a class to fit or select by."""
@@ -532,14 +525,14 @@ def logistic_detector_grid(spark, sf_dir):
 # --- pairs of texts ----------------------------------------------------------------------------------------------
 
 
-_FOLDED = "left(regexp_replace({}, '[^\\x00-\\x7F]', '?', 'g'), 300)"
+_FOLDED = "regexp_replace({}, '[^\\x00-\\x7F]', '?', 'g')"
 
 
 @query(f"WITH {EXCHANGES_SQL}, f AS (SELECT conv_id, turn, {_FOLDED.format('source_text')} AS a, {_FOLDED.format('rewritten')} AS b FROM exchanges) SELECT conv_id, turn, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 9) AS similarity FROM f")
 def edit_similarity(spark, sf_dir):
-    """Openings of 300 characters, non-ASCII ones folded to one mark, as the other engine counts bytes."""
-    head = lambda c: F.substring(F.regexp_replace(c, r"[^\x00-\x7F]", "?"), 1, 300)
-    return exchanges(spark, sf_dir).select("conv_id", "turn", F.round(text.edit_similarity(head("source_text"), head("rewritten")), 9).alias("similarity"))
+    """Whole texts, non-ASCII characters folded to one mark, as the other engine counts bytes."""
+    folded = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    return exchanges(spark, sf_dir).select("conv_id", "turn", F.round(text.edit_similarity(folded("source_text"), folded("rewritten")), 9).alias("similarity"))
 
 
 @query()
