@@ -164,3 +164,13 @@ def covered(n: int, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     np.add.at(change, starts, 1)
     np.add.at(change, np.minimum(starts + size, n), -1)
     return np.cumsum(change[:n]) > 0
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of a column, lowest ones first: the high ones are mostly zero and compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def unplanes(coded: bytes, kind: str) -> np.ndarray:
+    """The inverse of ``planes`` for a column of type ``kind``."""
+    return np.ascontiguousarray(np.frombuffer(coded, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()

@@ -2,9 +2,13 @@
 
 A partition describes its keys by cell numbers, grouped in blocks of 65,536 cells; blocks are merged by adding
 counts. The merged sketch keeps a frequency class for every cell and gives a key the smallest class of its
-cells, so a key's class is never below the class of its true count. The number of cells follows the expected
-number of keys until the sketch takes ``MAX_BYTES``, which bounds what is broadcast. With more keys than that the
-classes only become larger: callers lose speed, never keys.
+cells, so a key's class is never below the class of its true count.
+
+A merged sketch is used in one of two ways. ``collect`` and ``Sketch``: it is broadcast, and its number of cells
+follows the expected number of keys until it takes ``MAX_BYTES``. With more keys than that the classes only become
+larger: callers lose speed, never keys. ``questions``, ``answers`` and ``repeated``: it is never brought together.
+Chunks of the input send their cells to the owners of cell ranges, and get a bit back for each; cells grow with the
+corpus without a limit, and an owner's range stays ``OWNER_CELLS``.
 """
 
 from __future__ import annotations
@@ -16,11 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytescan as bs
+
 BLOCK = 1 << 16
 MAX_BYTES = 1 << 25
 MESSAGE_SCHEMA = "block int, part int, cells binary"
 MERGED_SCHEMA = "block int, classes binary"
 _SALTS = 16
+#: Cells of one owner: what a group of ``answers`` counts in, 16 MB.
+OWNER_CELLS = 1 << 22
+ASKED_SCHEMA = "owner int, chunk int, cells binary, twice binary"
+TOLD_SCHEMA = "chunk int, owner int, repeated binary"
 
 
 def cells_for(keys: int, per_key: float = 4.0, bits: int = 2, most: int = MAX_BYTES) -> int:
@@ -142,6 +152,55 @@ def collect(merged: DataFrame, cells: int, depth: int, bits: int = 2) -> Sketch:
     return Sketch(packed, cells, depth)
 
 
+def growing_cells(keys: int, per_key: float) -> int:
+    """The number of cells for about ``keys`` keys, however many: a power of two."""
+    return 1 << (max(BLOCK, int(keys * per_key)) - 1).bit_length()
+
+
+def _by_owner(at: np.ndarray) -> list[tuple[int, int, int]]:
+    """(owner, first, end) of each owner's run of ascending cells."""
+    owner = at // OWNER_CELLS
+    edges = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
+    return [(int(owner[a]), a, b) for a, b in zip(edges, [*edges[1:], len(at)], strict=True)]
+
+
+def questions(chunk: int, keys: np.ndarray, cells: int, depth: int) -> pa.Table:
+    """A chunk's sketch, cut up by owners: its distinct cells, and which of them it counts twice or more."""
+    at, counts = np.unique(np.concatenate(cell_numbers(keys, cells, depth)), return_counts=True)
+    runs = _by_owner(at)
+    offsets = (at % OWNER_CELLS).astype("<u4")
+    return pa.table(
+        [
+            pa.array([o for o, _, _ in runs], pa.int32()),
+            pa.array([chunk] * len(runs), pa.int32()),
+            pa.array([bs.planes(np.diff(offsets[a:b], prepend=offsets.dtype.type(0))) for _, a, b in runs], pa.binary()),
+            pa.array([np.packbits(counts[a:b] > 1, bitorder="little").tobytes() for _, a, b in runs], pa.binary()),
+        ],
+        names=["owner", "chunk", "cells", "twice"],
+    )
+
+
+def answers(table: pa.Table) -> pa.Table:
+    """The merged cells of one owner's range: for each chunk's cells, whether they count two or more in all."""
+    counts = np.zeros(OWNER_CELLS, dtype=np.uint32)
+    asked = []
+    for cells, twice in zip(table.column("cells").to_pylist(), table.column("twice").to_pylist(), strict=True):
+        at = np.cumsum(bs.unplanes(cells, "<u4"), dtype=np.int64)
+        counts[at] += np.uint32(1) + np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at), bitorder="little")
+        asked.append(at.astype(np.uint32))
+    told = [np.packbits(counts[at] > 1, bitorder="little").tobytes() for at in asked]
+    return pa.table([table.column("chunk"), table.column("owner"), pa.array(told, pa.binary())], names=["chunk", "owner", "repeated"])
+
+
+def repeated(keys: np.ndarray, told: pa.Table, cells: int, depth: int) -> np.ndarray:
+    """Which keys of a chunk all owners put at two or more; ``keys`` are those of ``questions``, in any order."""
+    at, place = np.unique(np.concatenate(cell_numbers(keys, cells, depth)), return_inverse=True)
+    bitmaps = dict(zip(told.column("owner").to_pylist(), told.column("repeated").to_pylist(), strict=True))
+    flags = [np.unpackbits(np.frombuffer(bitmaps[o], np.uint8), count=b - a, bitorder="little") for o, a, b in _by_owner(at)]
+    many = np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool)
+    return many[place].reshape(depth, -1).all(axis=0)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, to size a sketch or the number of exchange groups."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -6,11 +6,15 @@ import math
 import pickle
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from brute import contamination as brute_contamination
 from brute import exact, mixing_targets, near, stupid_backoff, substring, suffix
 from pyspark.sql import functions as F
 
+from sievemark.llm import bytescan, countmin
 from sievemark.llm.decontamination import contamination, decontaminate, patterns_of
 from sievemark.llm.exact_dedup import exact_classes, exact_dedup
 from sievemark.llm.lm_scoring import BACKOFF, ORDER, lm_scores
@@ -210,3 +214,45 @@ def test_filters_keep_columns_and_clean_rows(spark):
     nobody = spark.createDataFrame([(None, PASSAGE), (None, "clean text here"), (7, PASSAGE), (7, "another clean text")], "doc_id long, text string")
     assert sorted(r.text for r in decontaminate(spark, nobody, items).collect()) == ["another clean text", "clean text here"]
     assert {r.doc_id for r in decontaminate(spark, odd, items).collect()} == {r[0] for r in brute_contamination(ODD, ITEMS) if not r[5]}
+
+
+@pytest.mark.parametrize("chunks", [1, 7])
+def test_substring_dedup_over_chunks(spark, monkeypatch, chunks):
+    """Shared passages, copies and rows without a doc_id, with texts dealt over several chunks and windows over several owners."""
+    draw = random.Random(chunks)
+    passages = [" ".join(f"p{k}x{j}" for j in range(n)) for k, n in enumerate((12, 13, 14, 30, 80))]
+    rows = []
+    for i in range(200):
+        own = [" ".join(f"w{draw.randrange(5000)}" for _ in range(draw.randrange(40))) for _ in range(2)]
+        rows.append((i, f"{own[0]} {draw.choice(passages)} {own[1]} {draw.choice(passages)}"))
+    rows += [(300 + i, rows[5][1]) for i in range(40)] + [(None, rows[3][1])] * 5
+    size = sum(len(t) for _, t in rows)
+    monkeypatch.setattr("sievemark.llm.substring_dedup.CHUNK_BYTES", -(-size // chunks))
+    monkeypatch.setattr("sievemark.llm.substring_dedup.OWNER_BYTES", -(-size // (2 * chunks)))
+    for given in (rows, rows + rows[:30] * 3):
+        got = rows_of(substring_dedup(spark, frame(spark, given)), "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert got == sorted(substring(given), key=repr)
+
+
+def test_sketch_of_owners():
+    """Owners of cell ranges add what chunks sketch: no key that occurs twice is missed, and few others are taken for one."""
+    draw = np.random.default_rng(4)
+    once, twice = np.split(draw.integers(0, 1 << 63, 30000, dtype=np.uint64), [29000])
+    chunks = [np.concatenate((part, twice)) for part in np.array_split(once, 3)] + [np.repeat(once[:1], 5)]
+    cells = countmin.growing_cells(1 << 20, 8)
+    assert cells == 1 << 23
+    asked = pa.concat_tables([countmin.questions(c, keys, cells, 2) for c, keys in enumerate(chunks)])
+    owners = sorted(set(asked.column("owner").to_pylist()))
+    assert owners == [0, 1]
+    told = pa.concat_tables([countmin.answers(asked.filter(pc.equal(asked.column("owner"), o))) for o in owners])
+    for c, keys in enumerate(chunks):
+        mine = draw.permutation(keys)
+        many = countmin.repeated(mine, told.filter(pc.equal(told.column("chunk"), c)), cells, 2)
+        true = np.isin(mine, twice) | (mine == once[0])
+        assert many[true].all() and many[~true].mean() < 0.01 if (~true).any() else many.all()
+
+
+def test_planes():
+    for kind in ("<i4", "<i8", "<u4"):
+        for values in (np.zeros(0, kind), np.arange(-3, 300).astype(kind)):
+            assert (bytescan.unplanes(bytescan.planes(values), kind) == values).all()
