@@ -6,8 +6,8 @@ cells, so a key's class is never below the class of its true count.
 
 A merged sketch is used in one of two ways. ``collect`` and ``Sketch``: it is broadcast, and its number of cells
 follows the expected number of keys until it takes ``MAX_BYTES``. With more keys than that the classes only become
-larger: callers lose speed, never keys. ``questions``, ``answers`` and ``repeated``: it is never brought together.
-Chunks of the input send their cells to the owners of cell ranges, and get a bit back for each; cells grow with the
+larger: callers lose speed, never keys. ``questions``, ``answers`` and ``classes``: it is never brought together.
+Chunks of the input send their cells to the owners of cell ranges, and get a class back for each; cells grow with the
 corpus without a limit, and an owner's range stays ``OWNER_CELLS``.
 """
 
@@ -29,8 +29,8 @@ MERGED_SCHEMA = "block int, classes binary"
 _SALTS = 16
 #: Cells of one owner: what a group of ``answers`` counts in, 16 MB.
 OWNER_CELLS = 1 << 22
-ASKED_SCHEMA = "owner int, chunk int, cells binary, twice binary"
-TOLD_SCHEMA = "chunk int, owner int, repeated binary"
+ASKED_SCHEMA = "owner int, chunk int, cells binary, counts binary"
+TOLD_SCHEMA = "chunk int, owner int, classes binary"
 
 
 def cells_for(keys: int, per_key: float = 4.0, bits: int = 2, most: int = MAX_BYTES) -> int:
@@ -165,40 +165,50 @@ def _by_owner(at: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def questions(chunk: int, keys: np.ndarray, cells: int, depth: int) -> pa.Table:
-    """A chunk's sketch, cut up by owners: its distinct cells, and which of them it counts twice or more."""
+    """A chunk's sketch, cut up by owners: its distinct cells and their counts, up to 65,535."""
     at, counts = np.unique(np.concatenate(cell_numbers(keys, cells, depth)), return_counts=True)
     runs = _by_owner(at)
-    offsets = (at % OWNER_CELLS).astype("<u4")
+    offsets, counts = (at % OWNER_CELLS).astype("<u4"), np.minimum(counts, 65535).astype("<u2")
     return pa.table(
         [
             pa.array([o for o, _, _ in runs], pa.int32()),
             pa.array([chunk] * len(runs), pa.int32()),
             pa.array([bs.planes(np.diff(offsets[a:b], prepend=offsets.dtype.type(0))) for _, a, b in runs], pa.binary()),
-            pa.array([np.packbits(counts[a:b] > 1, bitorder="little").tobytes() for _, a, b in runs], pa.binary()),
+            pa.array([bs.planes(counts[a:b]) for _, a, b in runs], pa.binary()),
         ],
-        names=["owner", "chunk", "cells", "twice"],
+        names=["owner", "chunk", "cells", "counts"],
     )
 
 
-def answers(table: pa.Table) -> pa.Table:
-    """The merged cells of one owner's range: for each chunk's cells, whether they count two or more in all."""
+def answers(table: pa.Table, bounds: tuple[int, ...] = (2, 16, 256)) -> pa.Table:
+    """The merged cells of one owner's range: for each chunk's cells the classes of their counts in all, two bits each.
+
+    ``bounds`` are the smallest counts of classes 1, 2 and 3, 65,535 at most.
+    """
     counts = np.zeros(OWNER_CELLS, dtype=np.uint32)
     asked = []
-    for cells, twice in zip(table.column("cells").to_pylist(), table.column("twice").to_pylist(), strict=True):
+    for cells, n in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist(), strict=True):
         at = np.cumsum(bs.unplanes(cells, "<u4"), dtype=np.int64)
-        counts[at] += np.uint32(1) + np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at), bitorder="little")
+        counts[at] += bs.unplanes(n, "<u2")
         asked.append(at.astype(np.uint32))
-    told = [np.packbits(counts[at] > 1, bitorder="little").tobytes() for at in asked]
-    return pa.table([table.column("chunk"), table.column("owner"), pa.array(told, pa.binary())], names=["chunk", "owner", "repeated"])
+    told = []
+    for at in asked:
+        c = np.zeros(-(-len(at) // 4) * 4, dtype=np.uint8)
+        c[: len(at)] = _classes(counts[at], bounds)
+        c = c.reshape(-1, 4)
+        told.append((c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).tobytes())
+    return pa.table([table.column("chunk"), table.column("owner"), pa.array(told, pa.binary())], names=["chunk", "owner", "classes"])
 
 
-def repeated(keys: np.ndarray, told: pa.Table, cells: int, depth: int) -> np.ndarray:
-    """Which keys of a chunk all owners put at two or more; ``keys`` are those of ``questions``, in any order."""
+def classes(keys: np.ndarray, told: pa.Table, cells: int, depth: int) -> np.ndarray:
+    """The class of every key of a chunk, the smallest of its cells'; ``keys`` are those of ``questions``, in any order."""
     at, place = np.unique(np.concatenate(cell_numbers(keys, cells, depth)), return_inverse=True)
-    bitmaps = dict(zip(told.column("owner").to_pylist(), told.column("repeated").to_pylist(), strict=True))
-    flags = [np.unpackbits(np.frombuffer(bitmaps[o], np.uint8), count=b - a, bitorder="little") for o, a, b in _by_owner(at)]
-    many = np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool)
-    return many[place].reshape(depth, -1).all(axis=0)
+    packed = dict(zip(told.column("owner").to_pylist(), told.column("classes").to_pylist(), strict=True))
+    parts = [np.zeros(0, np.uint8)]
+    for owner, a, b in _by_owner(at):
+        four = np.frombuffer(packed[owner], np.uint8)
+        parts.append((four[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).ravel()[: b - a])
+    return np.concatenate(parts)[place].reshape(depth, -1).min(axis=0)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

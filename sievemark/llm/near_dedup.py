@@ -5,8 +5,9 @@ form one node from the start. Two nodes link when their sets' Jaccard similarity
 is when they differ in at most a ninth of the sum of their sizes (for four fifths).
 
 Candidates come from prefixes. All sets are ordered alike, rarest shingles first; linked sets share a shingle in
-their first n - ceil(n * num / den) + 1 ones. How rare a shingle is comes from a merged count-min sketch, which
-never puts it below its true count. Shingles that occur once can't be shared, so a set with enough of them in
+their first n - ceil(n * num / den) + 1 ones. How rare a shingle is comes from a count-min sketch, which never puts it
+below its true count. The sketch grows with the corpus: chunks of documents send their cells to owners of ranges of
+cells and are told the classes of the merged counts; nothing is broadcast. Shingles that occur once can't be shared, so a set with enough of them in
 its prefix sends nothing, and other sets send the rest of their prefix with positions: an inverted index.
 
 Index lists aren't paired off.
@@ -44,6 +45,7 @@ from pyspark.sql import functions as F
 from ..session import cut, plain_constraints
 from . import bytescan as bs
 from . import countmin as cm
+from .chunks import deal, repeat
 from .components import components
 
 SHINGLE = 5
@@ -54,10 +56,10 @@ FAN = 1024
 STEPS = 24
 #: Documents whose ids, 8 bytes each, may be broadcast to pick their texts.
 BROADCAST_IDS = 1 << 19
-#: Bytes of the sketch of shingle counts, at most; this is what is broadcast.
-SKETCH_BYTES = 1 << 26
+#: Cells of the sketch for each shingle expected.
+CELLS = 2
 _BITS = ("b0", "b1", "b2", "b3")
-_MEMBERS = "doc_id long, n_shingles long, sid binary, lead int, prefix array<long>, bits struct<b0: long, b1: long, b2: long, b3: long>"
+_MEMBERS = "doc_id long, copies long, n_shingles long, sid binary, lead int, prefix array<long>, bits struct<b0: long, b1: long, b2: long, b3: long>"
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +86,9 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, size: int = SHINGLE) -> t
     return key, bs.per_document(doc, n)
 
 
-def _tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """The shingles of every set of a slice."""
-    for _, data, starts in bs.slices(batch.column("text")):
-        yield shingle_sets(data, starts)[0]
+def _tokens(column: pa.ChunkedArray) -> np.ndarray:
+    """The shingles of every set."""
+    return np.concatenate([np.zeros(0, np.uint64), *(shingle_sets(data, starts)[0] for _, data, starts in bs.slices(column))])
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -106,15 +107,19 @@ def parities(key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, 256), axis=1).view(np.int64)
 
 
-def _members(batch: pa.RecordBatch, sketch: cm.Sketch) -> pa.RecordBatch:
+def _members(table: pa.Table, told: pa.Table, cells: int) -> pa.Table:
+    """Sizes, fingerprints and prefixes of a chunk's sets."""
+    sets = [shingle_sets(data, starts) for _, data, starts in bs.slices(table.column("text"))]
+    classes = cm.classes(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in sets)]), told, cells, 1)  # once, rare, frequent, very frequent
+    done = 0
     sizes, sids, leads, prefixes, bits = [], [], [], [], [np.zeros((0, 4), np.int64)]
-    for _, data, starts in bs.slices(batch.column("text")):
-        key, bounds = shingle_sets(data, starts)
+    for key, bounds in sets:
         n = np.diff(bounds)
         sids += _fingerprints(key, bounds)
         sizes.append(n)
         bits.append(parities(key, bounds))
-        rank = sketch.classes(key)  # once, rare, frequent, very frequent
+        rank = classes[done : done + len(key)]
+        done += len(key)
         length = n - -(-n * NUM // DEN) + 1
         lead = _sums((rank == 0).astype(np.uint64), bounds).astype(np.int64)
         for d in range(len(n)):
@@ -126,16 +131,17 @@ def _members(batch: pa.RecordBatch, sketch: cm.Sketch) -> pa.RecordBatch:
             order = np.lexsort((own, ranks))[lead[d] : length[d]]
             leads.append(int(lead[d]))
             prefixes.append(own[order].view(np.int64))
-    return pa.RecordBatch.from_arrays(
+    return pa.table(
         [
-            batch.column("doc_id"),
+            table.column("doc_id"),
+            table.column("copies"),
             pa.array(np.concatenate(sizes) if sizes else np.zeros(0), pa.int64()),
             pa.array(sids, pa.binary()),
             pa.array(leads, pa.int32()),
             pa.array(prefixes, pa.list_(pa.int64())),
             pa.StructArray.from_arrays([pa.array(x) for x in np.concatenate(bits).T], names=list(_BITS)),
         ],
-        names=["doc_id", "n_shingles", "sid", "lead", "prefix", "bits"],
+        names=["doc_id", "copies", "n_shingles", "sid", "lead", "prefix", "bits"],
     )
 
 
@@ -243,17 +249,25 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def _near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    cells = cm.cells_for(cm.text_bytes(docs) // 6, 2, most=SKETCH_BYTES)
-    sent = cm.sketch_keys(docs.select("text"), _tokens, cells, 1)
-    shared = spark.sparkContext.broadcast(cm.collect(cm.merge(sent), cells, 1))
+    size = cm.text_bytes(docs)
+    cells = cm.growing_cells(size // 6, CELLS)
+    chunks = deal(docs, size).groupBy("chunk")
 
-    def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return cm.questions(key[0].as_py(), _tokens(table.column("text")), cells, 1)
+
+    def members_of(table: pa.Table, told: pa.Table) -> pa.Table:
+        return _members(table, told, cells)
+
+    def nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _members(batch, shared.value)
+            sizes = [np.diff(shingle_sets(data, starts)[1]) for _, data, starts in bs.slices(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]))], names=["doc_id", "n_shingles"])
 
-    members = cut(docs.mapInArrow(members_of, _MEMBERS))
-    shared.destroy()
-    own = members.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "sid")).alias("s")).select("doc_id", F.col("s.sid").alias("sid"))
+    told = chunks.applyInArrow(sketch, cm.ASKED_SCHEMA).groupBy("owner").applyInArrow(lambda table: cm.answers(table), cm.TOLD_SCHEMA)
+    members = cut(chunks.cogroup(told.groupBy("chunk")).applyInArrow(members_of, _MEMBERS))
+    unnamed = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(nameless, "doc_id long, n_shingles long")
+    own = members.where("n_shingles > 0").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "sid")).alias("s")).select("doc_id", F.col("s.sid").alias("sid"))
     nodes = own.groupBy("sid").agg(F.min("doc_id").alias("node"))
     index = members.where("prefix IS NOT NULL").join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "sid"]).dropDuplicates(["doc_id"])
     index = index.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "lead", "bits", "prefix")
@@ -311,7 +325,8 @@ def _near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     inside = _verify(_within_stars(cut(within), sets, bits.drop("n")), sets)
     labels = components(cut(links.union(inside.where(_linked()).select("a", "b"))))
     named = own.join(nodes, "sid").join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    return members.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = repeat(members.select("doc_id", "n_shingles", "copies").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id").unionByName(unnamed.withColumn("component_id", F.lit(None).cast("long")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:

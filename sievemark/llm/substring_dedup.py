@@ -1,6 +1,6 @@
 """Substring dedup of word windows behind a count-min prefilter.
 
-Texts are dealt once, by hash, to chunks of about ``CHUNK_BYTES``; all passes read that one shuffle.
+Texts are dealt once, by hash, to chunks of about ``chunks.CHUNK_BYTES``; all passes read that one shuffle.
 
 Pass 1 sketches every chunk. A window of ``size`` words is sketched by its minimizer (the ``gram`` consecutive
 words with the smallest hash): equal windows have equal minimizers, so the sketch's count of the minimizer is
@@ -33,11 +33,10 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from . import countmin as cm
+from .chunks import CHUNK_BYTES, deal, repeat
 
 WINDOW_WORDS = 13
 GRAM_WORDS = 7
-#: Text of a chunk.
-CHUNK_BYTES = 8 << 20
 #: Text for each owner of a range of window hashes; an eighth of its windows travel as a rule, all at most.
 OWNER_BYTES = 12 << 20
 #: Sketch cells for each minimizer expected, and a key's cells.
@@ -116,7 +115,7 @@ def _candidates(chunk: int, table: pa.Table, told: pa.Table, cells: int, size: i
         new = np.diff(places, prepend=-1) != 0
         keys.append(grams[places[new]])
         held.append((row, words, owner, at, np.cumsum(new) - 1, bs.per_document(owner, len(starts) - 1)))
-    many = cm.repeated(np.concatenate(keys), told, cells, DEPTH)
+    many = cm.classes(np.concatenate(keys), told, cells, DEPTH) > 0
     sent, found, size_held, done = [], [], 0, 0
     for (row, words, owner, at, run, first), mine in zip(held, keys[1:], strict=True):
         at = at[many[done + run]]
@@ -152,19 +151,6 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table(columns, names=[x.split()[0] for x in _TOLD.split(", ")])
 
 
-def _dealt(docs: DataFrame, chunks: int) -> DataFrame:
-    """doc_id, text, tag, copies and chunk of the rows with a doc_id; tag tells texts of one doc_id apart.
-
-    Where no doc_id is repeated, tag is zero, which packs to nothing. Else repeated rows are counted before they are dealt.
-    """
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    if own.groupBy("doc_id").count().where("count > 1").isEmpty():
-        own = own.select("doc_id", "text", F.lit(0).cast("long").alias("tag"), F.lit(1).cast("long").alias("copies"))
-    else:
-        own = own.groupBy("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")).agg(F.count(F.lit(1)).alias("copies"))
-    return own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(chunks)).cast("int"))
-
-
 def _ranges(told: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
     """First and last starts of covered windows by (doc_id, tag)."""
     late = [_unpack(*x) for x in zip(*(told.column(c).to_pylist() for c in ("docs", "tags", "starts")), strict=True)]
@@ -203,8 +189,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, size: int = WINDOW_WOR
     total = cm.text_bytes(docs)
     cells = cm.growing_cells(total // 24, CELLS)
     owners = max(1, -(-total // OWNER_BYTES))
-    dealt = _dealt(docs, max(1, -(-total // CHUNK_BYTES)))
-    chunks = dealt.groupBy("chunk")
+    chunks = deal(docs, total, CHUNK_BYTES).groupBy("chunk")
 
     def sketch(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return cm.questions(key[0].as_py(), _minimizers(table.column("text"), size, gram), cells, DEPTH)
@@ -215,17 +200,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, size: int = WINDOW_WOR
     def kept(table: pa.Table, told: pa.Table) -> pa.Table:
         return pa.table([table.column("doc_id"), *_kept(table, _ranges(told), size), table.column("copies")], names=["doc_id", "n_words", "n_removed", "kept_sha256", "copies"])
 
-    told = chunks.applyInArrow(sketch, cm.ASKED_SCHEMA).groupBy("owner").applyInArrow(cm.answers, cm.TOLD_SCHEMA)
+    told = chunks.applyInArrow(sketch, cm.ASKED_SCHEMA).groupBy("owner").applyInArrow(lambda table: cm.answers(table), cm.TOLD_SCHEMA)
     sent = chunks.cogroup(told.groupBy("chunk")).applyInArrow(candidates, _SENT)
     found = sent.groupBy("owner").applyInArrow(_meet, _TOLD)
     rows = chunks.cogroup(found.groupBy("chunk")).applyInArrow(kept, f"{_KEPT}, copies long")
-    # a row for each copy, in steps, so that no array holds many
-    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1).cast("long"), "copies", F.lit(4096).cast("long"))))
-    rows = rows.withColumn("copy", F.explode(F.sequence("step", F.least(F.col("step") + 4095, "copies"))))
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_kept(batch, {}, size)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     nameless = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("tag")).mapInArrow(whole, _KEPT)
-    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(nameless)
+    return repeat(rows).unionByName(nameless)
