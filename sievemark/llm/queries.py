@@ -15,9 +15,11 @@ from .lm_scoring import lm_scores
 from .mixing import mix
 from .near_dedup import near_classes
 from .prefix_trie import prefix_trie
+from .secret_scan import ACCESS, ASSIGN, ASSIGN_LEAST, BARE, HEX, LEAST_DIFFERENT, WIDE, secret_scan
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import graded_labels, toxicity
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark, _table(spark, sf_dir, "conversations"))
 
 
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(spark, _table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark, _table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -89,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_secret_scans": op12_secret_scans,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: Words of the two contracts, and texts with A-Z in lower case only, as DuckDB writes them.
@@ -216,8 +228,31 @@ SELECT conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0
 FROM nodes JOIN sums USING (depth, node) LEFT JOIN up USING (depth, node) LEFT JOIN kids USING (depth, node) LEFT JOIN ends USING (depth, node)
 """
 
-#: op1 and op3 train models, op5 leaves the order of blocks open and op8 has too many windows: tests/llm hold these to
-#: brute force, and op1 and op3 to held-out rows.
+_quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+_SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, lang, coalesce(text, '') AS text FROM documents),
+k AS (SELECT * FROM (VALUES (0, 'assign', {_quoted(ASSIGN)}, 2, {ASSIGN_LEAST}), (1, 'access', {_quoted(ACCESS)}, 0, 1), (2, 'hex', {_quoted(HEX)}, 0, 1), (3, 'owned', {_quoted(BARE)}, 0, 1)) AS k(kind, name, pattern, part, least)),
+f AS (SELECT row, kind, name, part, least, pattern, source, lang,
+             CASE kind WHEN 0 THEN regexp_extract_all(text, {_quoted(ASSIGN)}) WHEN 1 THEN regexp_extract_all(text, {_quoted(ACCESS)}) WHEN 2 THEN regexp_extract_all(text, {_quoted(HEX)}) ELSE regexp_extract_all(text, {_quoted(BARE)}) END AS found,
+             CASE kind WHEN 0 THEN string_split_regex(text, {_quoted(ASSIGN)}) WHEN 1 THEN string_split_regex(text, {_quoted(ACCESS)}) WHEN 2 THEN string_split_regex(text, {_quoted(HEX)}) ELSE string_split_regex(text, {_quoted(BARE)}) END AS parts
+      FROM d, k),
+m AS (SELECT row, kind, name, least, source, lang, unnest(found) AS m, unnest(parts[1:len(found)]) AS p, unnest(range(len(found))) AS i FROM f WHERE len(found) > 0),
+v AS (SELECT *, (sum(length(p) + length(m)) OVER (PARTITION BY row, kind ORDER BY i) - length(m))::BIGINT AS start, CASE kind WHEN 0 THEN regexp_extract(m, {_quoted(ASSIGN)}, 2) ELSE m END AS value FROM m),
+c AS (SELECT row, kind, name, source, lang, start, start + length(m) AS stop, value FROM v
+      WHERE length(value) >= least AND (kind < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {LEAST_DIFFERENT}))),
+o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM c GROUP BY 1),
+s AS (SELECT c.*, owners FROM c JOIN o USING (value)
+      WHERE kind < 3 OR (owners = 1 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.row = c.row AND b.kind < 3 AND b.start < c.stop AND c.start < b.stop))),
+r AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+             string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans,
+             count(*) FILTER (WHERE owners = 1) AS n_owned, count(*) FILTER (WHERE owners >= {WIDE}) AS n_example FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_owned, 0) AS n_owned, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN r USING (row)
+"""
+
+#: op1 and op3 train models, op5 leaves the order of blocks open, op8 has too many windows and op13 needs eigenvectors:
+#: tests/llm hold these to brute force, and op1 and op3 to held-out rows.
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": _EXACT,
     "op4_chat_formatting": _CHAT,
@@ -227,4 +262,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_decontamination": _CONTAMINATION,
     "op10_substring_dedup": _SUBSTRING,
     "op11_prefix_trie": _TRIE,
+    "op12_secret_scans": _SECRETS,
 }
