@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 
 #: Turns whose calls are numbered together.
 CHUNK_TURNS = 256
@@ -183,16 +183,16 @@ def _anchors(edges: DataFrame) -> DataFrame:
     """
     key = ["conv_id", "call_id"]
     single = edges.groupBy(*key).agg(F.min("ref").alias("anchor"), F.count(F.lit(1)).alias("refs")).where("refs = 1").drop("refs")
-    single = cut(single)
+    single = written(single)
     open_ = single.select("conv_id", F.col("call_id").alias("anchor"), F.lit(True).alias("more"))
-    pointers = cut(single.join(open_, ["conv_id", "anchor"], "left").select(*key, "anchor", F.lit(1).alias("far"), F.coalesce("more", F.lit(False)).alias("more")))
+    pointers = written(single.join(open_, ["conv_id", "anchor"], "left").select(*key, "anchor", F.lit(1).alias("far"), F.coalesce("more", F.lit(False)).alias("more")))
     for _ in range(pointers.count().bit_length()):
         left = pointers.where("more")
         if left.isEmpty():
             break
         ahead = pointers.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("to"), F.col("far").alias("further"), F.col("more").alias("still"))
         left = left.join(ahead, ["conv_id", "anchor"]).select(*key, F.col("to").alias("anchor"), (F.col("far") + F.col("further")).alias("far"), F.col("still").alias("more"))
-        pointers = cut(pointers.where("NOT more").union(left))
+        pointers = written(pointers.where("NOT more").union(left))
     return pointers.where("NOT more").drop("more")
 
 
@@ -201,7 +201,7 @@ def levels(calls: DataFrame) -> DataFrame:
     key = ["conv_id", "call_id"]
     edges = calls.select(*key, F.explode(F.array_distinct(F.concat("refs", F.array("after")))).alias("ref"))
     known = calls.select("conv_id", F.col("call_id").alias("ref"))
-    edges = cut(edges.join(known, ["conv_id", "ref"], "left_semi"))
+    edges = written(edges.join(known, ["conv_id", "ref"], "left_semi"))
     anchors = _anchors(edges)
     done = calls.select(*key).join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0))
 
@@ -212,15 +212,15 @@ def levels(calls: DataFrame) -> DataFrame:
     joined = edges.join(several, key).join(single, ["conv_id", "ref"], "left").join(ends, ["conv_id", "ref"], "left")
     # behind a circle there is no anchor, and such an edge is never settled
     anchor = F.when(F.col("chained"), F.col("anchor")).otherwise(F.col("ref"))
-    left = cut(joined.select(*key, anchor.alias("anchor"), F.coalesce("far", F.lit(0)).alias("far")))
+    left = written(joined.select(*key, anchor.alias("anchor"), F.coalesce("far", F.lit(0)).alias("far")))
     while not left.isEmpty():
         level = left.join(done.select("conv_id", F.col("call_id").alias("anchor"), "level"), ["conv_id", "anchor"], "left")
         ready = level.groupBy(*key).agg(F.max(F.col("level") + F.col("far") + 1).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("ready"))
-        ready = cut(ready.where("ready").drop("ready"))
+        ready = written(ready.where("ready").drop("ready"))
         if ready.isEmpty():
             break
-        done = cut(done.union(ready))
-        left = cut(left.join(ready, key, "left_anti"))
+        done = written(done.union(ready))
+        left = written(left.join(ready, key, "left_anti"))
     ends = done.select("conv_id", F.col("call_id").alias("anchor"), "level")
     return done.union(anchors.join(ends, ["conv_id", "anchor"]).select(*key, (F.col("level") + F.col("far")).alias("level")))
 
