@@ -133,6 +133,54 @@ def result_cell(endpoints: DataFrame, queued: DataFrame, contract: DataFrame, ga
     )
 
 
+def positions(rows: DataFrame, gate: str, place: str, many: int, rules: dict[str, Column]) -> DataFrame:
+    """Rules of a file by position: as many rows as wanted, numbered without gaps, and what each place has to hold."""
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(place).alias("places"), F.min(place).alias("least"), F.max(place).alias("most"))
+    whole = (F.col("n") == many) & (F.col("places") == many) & ((F.col("least") == 0) | (F.lit(many) == 0)) & ((F.col("most") == many - 1) | (F.lit(many) == 0))
+    return gather(predicate(total, gate, "rows", ["n"], whole), compiled(rows, gate, [place], rules))
+
+
+def zipped(left: DataFrame, right: DataFrame, gate: str, place: str, rules: dict[str, Column]) -> DataFrame:
+    """Two files row by row: places that one of them lacks, and rules over the columns of both (the right's as ``_other``)."""
+    met = left.withColumn("_left", F.lit(True)).join(right.select(F.col(place), F.struct(*[c for c in right.columns if c != place]).alias("_other")), place, "full")
+    both = met.where(F.col("_left") & F.col("_other").isNotNull())
+    return gather(_rows(met.where(F.col("_left").isNull()), gate, "left", _key([place])), _rows(met.where(F.col("_other").isNull()), gate, "right", _key([place])), compiled(both, gate, [place], rules))
+
+
+def matched_texts(rows: DataFrame, humans: DataFrame, gate: str, index: str, text: str, needed: str) -> DataFrame:
+    """Rows that name a human text by its index: one row each, all texts covered, the text itself repeated, ``needed`` not blank.
+
+    ``humans`` has the index and the text as ``text``. Texts meet by index and are compared whole; they are found the
+    other way too: an index whose text stands at another index is told with it.
+    """
+    own = humans.select(F.col(index), F.col("text").alias("_text"))
+    met = rows.join(own, index, "left")
+    wrong = met.where(F.col("_text").isNotNull() & ~F.col(text).eqNullSafe(F.col("_text"))).select(index, sha256_text(text).alias("_sha"))
+    at = humans.groupBy(sha256_text("text").alias("_sha")).agg(F.min(index).alias("_at"))
+    moved = wrong.join(at, "_sha", "left")
+    return gather(
+        unique(rows, gate, [index]),
+        coverage(humans, rows, gate, [index]),
+        _rows(moved, gate, "text", _key([index]), F.coalesce(F.col("_at").cast("string"), F.lit("nowhere"))),
+        predicate(rows, gate, f"{needed} blank", [index], F.length(F.trim(needed)) > 0),
+    )
+
+
+def compiled(rows: DataFrame, gate: str, key: list[str], rules: dict[str, Column] | dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Violations of all row rules in one scan: each row lists the rules that don't hold, and the list is exploded.
+
+    A rule is a condition, or a condition and the detail that is told. A condition that is null doesn't hold.
+    """
+    if not rules:
+        return rows.sparkSession.createDataFrame([], "gate string, rule string, key string, detail string")
+    told = []
+    for name, rule in rules.items():
+        holds, detail = rule if isinstance(rule, tuple) else (rule, F.lit(""))
+        told.append(F.when(~F.coalesce(holds, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.coalesce(detail.cast("string"), F.lit("null")).alias("detail"))))
+    broken = rows.select(_key(key).alias("key"), F.explode(F.array_compact(F.array(*told))).alias("b"))
+    return broken.select(F.lit(gate).alias("gate"), "b.rule", "key", "b.detail")
+
+
 def panel(endpoints: DataFrame, cells: DataFrame, gate: str = "panel") -> DataFrame:
     """Exactly the wanted cells, and every cell with the sources, human hashes and splits of the whole panel."""
     own = ["suite", "cell"]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json, git_blob_sha1
+from ..session import cut
 
+# fixed values: fields of the files, by name
 HUMAN = "source_id string, compact_index int, raw_row_index int, raw_label int, split_origin string, human_text string, human_sha256 string, human_word_count int, topic string, topic_sha256 string, low_words int, high_words int"
 QUEUE = "source_id string, compact_index int, split_origin string, cohort string, human_sha256 string, topic string, topic_sha256 string, target_words int, low_words int, high_words int"
 ENDPOINT = (
@@ -37,6 +39,52 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(header=True, escape='"').csv(path)
 
 
+#: Splits of files, about 100 bytes each, whose first row numbers may be broadcast; more of them meet rows in a join.
+BROADCAST_SPLITS = 1 << 20
+
+
+def numbered_rows(read: DataFrame) -> DataFrame:
+    """Rows of a file source with ``file``, ``row`` in the file and ``place`` over all files by name, from 0.
+
+    A first pass counts the rows of every split, the counts are summed up in the order of files and offsets, and a
+    second pass adds them to the places within a split. Rows aren't sorted or moved. What a reader skips (headers,
+    blank lines of CSV) has no number. The two passes have to plan the same splits: files mustn't change between them.
+    """
+    rows = read.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    splits = rows.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    splits = cut(splits)
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file", "_block", "_first", before(Window.partitionBy("file").orderBy("_block")).alias("_row"))
+    of_file = splits.groupBy("file").agg(F.sum("_n").alias("_n"))
+    # a row for each file
+    offsets = offsets.join(of_file.select("file", before(Window.orderBy("file")).alias("_place")), "file")
+    offsets = F.broadcast(offsets) if splits.count() <= BROADCAST_SPLITS else offsets
+    own = F.col("_at") - F.col("_first") + F.col("_row")
+    return rows.join(offsets, ["file", "_block"]).select(*[F.col(c) for c in read.columns], "file", own.alias("row"), (own + F.col("_place")).alias("place"))
+
+
+def first_rows(numbered: DataFrame, n: int) -> DataFrame:
+    """The first n rows over all files, by number, as a reader with a limit takes them."""
+    return numbered.where(F.col("place") < n)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Objects of a schema with ``file`` and ``line`` from 1, and the lines (file, line, place, reason, value) that aren't.
+
+    Blank lines count but give no row. Reasons: ``broken`` (no JSON, or a name twice), ``not an object``, ``fields``
+    (a field isn't of its type). All lines are told, not only the first.
+    """
+    lines = numbered_rows(spark.read.text(path)).where(~F.col("value").rlike(r"\A\s*\z"))
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    reason = F.when(kind.isNull(), "broken").when(~kind.startswith("OBJECT"), "not an object").when(F.col("_parsed._bad").isNotNull(), "fields")
+    told = lines.withColumn("_parsed", parsed).withColumn("reason", reason)
+    line = (F.col("row") + 1).alias("line")
+    fields = [f.name for f in told.schema["_parsed"].dataType.fields if f.name != "_bad"]
+    good = told.where("reason IS NULL").select(*(F.col("_parsed")[f].alias(f) for f in fields), "file", line)
+    return good, told.where("reason IS NOT NULL").select("file", line, "place", "reason", "value")
+
+
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole JSON files, one row each, with their path."""
     return spark.read.schema(schema).options(multiLine=True, mode="FAILFAST").json(path).withColumn("path", F.col("_metadata.file_path"))
