@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sha256_text, word_count
+from . import locks
 
 COLUMNS = ("gate", "rule", "key", "detail")
 
@@ -217,15 +218,9 @@ def locked(current: DataFrame, lock: DataFrame, gate: str = "lock") -> DataFrame
     return gather(coverage(lock, current, gate, ["path"]), equal_fields(current.join(lock.select("path"), "path", "left_semi"), lock, gate, ["path"], ["digest"]))
 
 
-def lock_digest(rows: DataFrame, path: str = "path", digest: str = "digest", buckets: int = 256) -> DataFrame:
-    """One digest of all (path, digest) rows: hashes of hash buckets, each of its sorted rows, hashed in order.
-
-    The buckets bound what one task sorts; the same rows give the same digest whatever their order and partitions.
-    """
-    line = F.sha2(F.to_json(F.struct(F.col(path).alias("path"), F.col(digest).alias("digest"))), 256)
-    place = F.pmod(F.conv(F.substring(line, 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    each = rows.select(line.alias("line"), place.alias("bucket")).groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ","), 256).alias("d"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ","), 256).alias("lock_sha256"))
+def lock_digest(rows: DataFrame, path: str = "path", digest: str = "digest") -> DataFrame:
+    """The root (lock_sha256) of the Merkle tree over all (path, digest) rows, whatever their order and partitions."""
+    return locks.build(rows, path, digest).root().select("lock_sha256")
 
 
 def descent(aurocs: DataFrame, threshold: int) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import list_hash, render, sha256_text, source_id, word_bounds, word_count
+from ..functions.text import render, sha256_text, source_id, word_bounds, word_count
 from ..session import cut
+from . import locks
 from .ranking import running_total
 
 
@@ -73,9 +74,8 @@ def first_match(rows: DataFrame, lookup: DataFrame, on: str, value: str, order:
 
 
 def ordered_ids(rows: DataFrame, group: list[str], item: str, order: str) -> DataFrame:
-    """group, n and the hash of its ids in order; a group is a cell's list of sources, which a contract bounds."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("i")))), lambda x: x["i"])
-    return rows.groupBy(*group).agg(ids.alias("ids")).select(*group, F.size("ids").alias("n"), list_hash(F.col("ids")).alias("ids_sha256"))
+    """group, n and the hash of its ids in order; lists may be of any length."""
+    return locks.ordered_lists(rows, group, item, order)
 
 
 def last_value(rows: DataFrame, key: list[str], value: str, order: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from ..operators import additive, auroc, bootstrap, cluster, detector, gates, manifests, page, qap, ranking, spearman, text_similarity, views
 from ..session import cut
-from .tables import AUROC_SQL, BLOCKS_SQL, CELLS, EXCHANGES_SQL, HUMAN_CELL, MANIFEST_SQL, PAIRS_SQL, SCORES_SQL, SPLIT_SQL, WHITESPACE_SQL, blocks, exchanges, manifest, normal_sql, pairs, scores, table, words_sql
+from .tables import AUROC_SQL, BLOCKS_SQL, CELLS, EXCHANGES_SQL, HUMAN_CELL, MANIFEST_SQL, PAIRS_SQL, SCORES_SQL, SPLIT_SQL, WHITESPACE_SQL, blocks, exchanges, manifest, merkle_sql, normal_sql, pairs, scores, table, words_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,9 +164,9 @@ def queue_gate(spark, sf_dir):
     return gates.queue(rows.union(rows.where("compact_index % 29 = 0")))
 
 
-@query("SELECT sha256(string_agg(d, ',' ORDER BY bucket)) AS lock_sha256 FROM (SELECT bucket, sha256(string_agg(line, ',' ORDER BY line)) AS d FROM (SELECT line, ('0x' || substr(line, 1, 8))::BIGINT % 256 AS bucket FROM (SELECT sha256('{\"path\":\"' || doc_id || '\",\"digest\":\"' || sha256(text) || '\"}') AS line FROM documents WHERE text IS NOT NULL)) GROUP BY 1)")
+@query(f"WITH r AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS digest FROM documents), {merkle_sql('r')} SELECT hash AS lock_sha256 FROM l6")
 def canonical_lock_hash(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), text.sha256_text("text").alias("digest"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), text.sha256_text("text").alias("digest"))
     return gates.lock_digest(rows)
 
 

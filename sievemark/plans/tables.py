@@ -79,3 +79,15 @@ EXCHANGES_SQL = """exchanges AS (
   WHERE u.role = 'user' AND a.role = 'assistant' AND u.text IS NOT NULL AND a.text IS NOT NULL)"""
 PAIRS_SQL = f"""{EXCHANGES_SQL},
 pairs AS (SELECT (turn % 4)::VARCHAR AS generator, conv_id, ({words_sql("source_text")})::BIGINT AS asked, length({normal_sql("rewritten")})::BIGINT AS answered FROM exchanges)"""
+
+
+def merkle_sql(rows: str, levels: int = 6) -> str:
+    """CTEs l0 (place, hash, path) to the root's level of the tree over ``rows`` (path, digest), and f1, f2, ... (place, family) between them.
+
+    A level of one row stays as it is, so that the last one is the root up to 16 ** levels rows.
+    """
+    out = f"""l0 AS (SELECT row_number() OVER (ORDER BY path, hash) - 1 AS place, hash, path FROM (SELECT path, sha256('leaf:{{"path":"' || path || '","digest":' || coalesce('"' || digest || '"', 'null') || '}}') AS hash FROM {rows}))"""
+    for k in range(1, levels + 1):
+        out += f",\nf{k} AS (SELECT place // 16 AS place, string_agg(hash, ',' ORDER BY place) AS family FROM l{k - 1} WHERE (SELECT count(*) FROM l{k - 1}) > 1 GROUP BY 1)"
+        out += f",\nl{k} AS (SELECT place, sha256('node:' || family) AS hash FROM f{k} UNION ALL SELECT place, hash FROM l{k - 1} WHERE (SELECT count(*) FROM l{k - 1}) = 1)"
+    return out

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sievemark.plans import contract_queries, source_queries  # noqa: F401
+from sievemark.plans import contract_queries, integrity_queries, source_queries  # noqa: F401
 from sievemark.plans.catalogue import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
