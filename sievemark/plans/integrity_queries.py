@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import locks
+from ..operators import cells, locks
+from ..session import cut
 from .catalogue import query
-from .tables import merkle_sql, table
+from .tables import MANIFEST_SQL, manifest, merkle_sql, normal_sql, table
 
 _LOCKED = "r AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS digest FROM documents)"
 
@@ -36,3 +37,112 @@ def lock_changes(spark, sf_dir):
     rows = _locked(spark, sf_dir)
     later = rows.withColumn("digest", F.when(F.col("path").cast("long") % 97 == 5, "0").otherwise(F.col("digest")))
     return locks.changed(locks.build(rows), locks.build(later))
+
+
+#: Endpoints of the manifest's sources in a cell for each language, with faults: (column, divisor, remainder, value).
+_FAULTS = [
+    ("contract_sha256", 31, 1, "'0'"),
+    ("run_id", 37, 2, "'other'"),
+    ("cohort", 41, 3, "'pilot'"),
+    ("phase", 43, 4, "'smoke'"),
+    ("model_hf_id", 47, 5, "'m/other'"),
+    ("model_revision", 53, 6, "NULL"),
+    ("human_sha256", 59, 7, "'0'"),
+    ("topic_sha256", 61, 8, "'0'"),
+    ("split_origin", 67, 9, "'dev'"),
+    ("attempt", 71, 10, "1"),
+    ("status", 73, 11, "'rejected'"),
+    ("output_tokens", 79, 12, "7"),
+    ("output_token_ids", 83, 13, "array_one"),
+    ("exact_token_count", 89, 14, "false"),
+    ("normalized_output", 97, 15, "''"),
+    ("raw_output_sha256", 29, 16, "'0'"),
+    ("normalized_output_sha256", 23, 17, "'0'"),
+    ("prompt_sha256", 19, 18, "'0'"),
+    ("file", 101, 19, "'attempt-01.json'"),
+]
+_TOKENS = 8
+_VALUES = {
+    "contract_sha256": "o_contract", "run_id": "'run'", "cohort": "'main'", "phase": "'main'", "model_hf_id": "concat('m/', cell)", "model_revision": "'r1'", "human_sha256": "o_human", "topic_sha256": "o_topic",
+    "compact_index": "i", "split_origin": "o_split", "attempt": "0", "status": "'accepted'", "output_tokens": f"{_TOKENS}", "output_token_ids": "array_many", "exact_token_count": "true",
+    "raw_output": "raw", "normalized_output": "normal", "raw_output_sha256": "o_raw", "normalized_output_sha256": "o_normal", "prompt_sha256": "o_prompt", "file": "'attempt-00.json'",
+}
+
+
+def _with_faults(arrays: dict[str, str]) -> str:
+    out = []
+    for name, value in _VALUES.items():
+        fault = next((f"CASE WHEN i % {n} = {r} THEN {v} ELSE {value} END" for c, n, r, v in _FAULTS if c == name), value)
+        for k, v in arrays.items():
+            fault = fault.replace(k, v)
+        out.append(f"{fault} AS {name}")
+    return ", ".join(out)
+
+
+_SUITE = "'scale'"
+_CONTRACT = """concat('{"account_alias":"a1","cell":"', cell, '","cohort":"main","config_sha256":"c0","model_hf_id":"m/', cell, '","model_revision":"r1","phase":"main","run_id":"run","suite":"scale"}')"""
+_SPLITS = {"train": 352, "val": 69, "test": 79}
+
+
+def _rule(rule: str, condition: str, detail: str = "''", gate: str = "endpoint", rows: str = "e", key: str = "k") -> str:
+    return f"SELECT '{gate}' AS gate, '{rule}' AS rule, {key} AS key, coalesce(({detail})::VARCHAR, 'null') AS detail FROM {rows} WHERE ({condition}) IS NOT TRUE"
+
+
+_repeated = {"contract_sha256": "o_contract", "run_id": "'run'", "cohort": "'main'", "phase": "'main'", "model_hf_id": "concat('m/', cell)", "model_revision": "'r1'", "human_sha256": "o_human", "topic_sha256": "o_topic", "split_origin": "o_split"}
+_CELLS_SQL = f"""WITH {MANIFEST_SQL},
+s AS (SELECT coalesce(lang, 'none') AS cell, source_id, compact_index AS i, human_sha256 AS o_human, topic_sha256 AS o_topic, split_origin AS o_split, coalesce(text, '') AS raw, {normal_sql("coalesce(text, '')")} AS normal, sha256('Topic: ' || coalesce(topic, '')) AS o_prompt FROM manifest),
+t AS (SELECT *, sha256(raw) AS o_raw, sha256(normal) AS o_normal, sha256({_CONTRACT}) AS o_contract FROM s),
+e AS (SELECT 'scale|' || cell || '|' || source_id AS k, t.*, {_with_faults({"array_one": "[1]", "array_many": f"range({_TOKENS})"})} FROM t WHERE i % 103 <> 20),
+d AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE i % 107 = 21),
+h AS (SELECT k, count(*) AS files, count(*) FILTER (WHERE file = 'attempt-00.json') AS first FROM d GROUP BY 1),
+l AS (SELECT cell, source_id, row_number() OVER (PARTITION BY cell ORDER BY i) - 1 AS position, i FROM t),
+p AS (SELECT cell, split_origin, count(*) AS n FROM d GROUP BY 1, 2),
+z AS (SELECT cell, split_origin, many FROM (SELECT DISTINCT cell FROM t), (VALUES {", ".join(f"('{k}', {n})" for k, n in _SPLITS.items())}) v(split_origin, many))
+{" UNION ALL ".join(_rule(c, f"{c} IS NOT DISTINCT FROM {v}", c, rows="d") for c, v in _repeated.items())}
+UNION ALL {_rule("attempt", "attempt = 0", "attempt", rows="d")} UNION ALL {_rule("status", "status = 'accepted'", "status", rows="d")} UNION ALL {_rule("tokens", f"output_tokens = {_TOKENS}", "output_tokens", rows="d")}
+UNION ALL {_rule("token ids", f"len(output_token_ids) = {_TOKENS}", "len(output_token_ids)", rows="d")} UNION ALL {_rule("exact", "exact_token_count", rows="d")} UNION ALL {_rule("empty", "length(normalized_output) > 0", rows="d")}
+UNION ALL {_rule("normal form", "normal = normalized_output", rows="d")} UNION ALL {_rule("raw hash", "sha256(raw_output) = raw_output_sha256", "raw_output_sha256", rows="d")}
+UNION ALL {_rule("normal hash", "sha256(normalized_output) = normalized_output_sha256", "normalized_output_sha256", rows="d")} UNION ALL {_rule("prompt", "prompt_sha256 = o_prompt", "prompt_sha256", rows="d")}
+UNION ALL {_rule("sole attempt", "files = 1 AND first = 1", "files", rows="h")} UNION ALL {_rule("missing", "'scale|' || cell || '|' || source_id IN (SELECT k FROM h)", key="'scale|' || cell || '|' || source_id", rows="t")}
+UNION ALL {_rule("order", "i = position", "i", gate="listed", rows="l", key="'scale|' || cell || '|' || position")}
+UNION ALL SELECT 'listed', 'main lacks', 'scale|' || c.cell || '|' || t.source_id, '' FROM t, (SELECT DISTINCT cell FROM t) c WHERE t.cell <> c.cell
+UNION ALL SELECT 'completion', 'accepted_sources', 'scale|' || cell, (count(*) - 1)::VARCHAR FROM t WHERE cell = 'en' GROUP BY cell
+UNION ALL SELECT 'completion', 'splits', 'scale|' || coalesce(p.cell, z.cell) || '|' || coalesce(p.split_origin, z.split_origin), coalesce(n, 0)::VARCHAR FROM p FULL JOIN z ON p.cell = z.cell AND p.split_origin = z.split_origin WHERE coalesce(n, 0) <> coalesce(many, 0)
+"""
+
+
+def _cell_tables(spark, sf_dir):
+    rows = manifest(spark, sf_dir).withColumns({"cell": F.coalesce("lang", F.lit("none")), "raw": F.coalesce("text", F.lit("")), "o_prompt": text.sha256_text(F.concat(F.lit("Topic: "), F.coalesce("topic", F.lit(""))))})
+    rows = rows.select(F.lit("scale").alias("suite"), "cell", "source_id", F.col("compact_index").alias("i"), F.col("human_sha256").alias("o_human"), F.col("topic_sha256").alias("o_topic"), F.col("split_origin").alias("o_split"), "raw", text.normalize_whitespace("raw").alias("normal"), "o_prompt")
+    rows = rows.withColumns({"o_raw": text.sha256_text("raw"), "o_normal": text.sha256_text("normal"), "o_contract": F.sha2(F.expr(_CONTRACT), 256)})
+    rows = cut(rows)
+    made = _split(_with_faults({"array_one": "array(1)", "array_many": f"sequence(1, {_TOKENS})"}))
+    endpoints = rows.where("i % 103 <> 20").selectExpr("suite", "cell", "source_id", "i", *(f"{x} AS {n}" for x, n in zip(made, _VALUES, strict=True)))
+    endpoints = endpoints.unionByName(endpoints.where("i % 107 = 21")).drop("i")
+    rows = rows.select("suite", "cell", "source_id", F.col("i").alias("compact_index"), F.col("o_human").alias("human_sha256"), F.col("o_topic").alias("topic_sha256"), F.col("o_split").alias("split_origin"), F.col("o_prompt").alias("prompt_sha256"), F.col("o_contract").alias("contract_sha256"))
+    own = rows.select("suite", "cell", "contract_sha256").distinct()
+    contracts = own.select("suite", "cell", F.lit("run").alias("run_id"), F.lit("a1").alias("account_alias"), F.lit("main").alias("phase"), F.lit("main").alias("cohort"), F.lit("c0").alias("config_sha256"), F.concat(F.lit("m/"), "cell").alias("model_hf_id"), F.lit("r1").alias("model_revision"), "contract_sha256")
+    wanted = contracts.drop("cohort", "contract_sha256").withColumn("phase", F.lit(None).cast("string"))
+    listed = locks.placed(rows.select("suite", "cell", "compact_index", "source_id"), ["suite", "cell", "compact_index"], "at")
+    first = listed.groupBy("suite", "cell").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    listed = listed.join(first, ["suite", "cell"]).select("suite", "cell", (F.col("at") - F.col("first")).alias("position"), "source_id")
+    queue = rows.select(F.lit("main").alias("cohort"), "source_id", "compact_index", "human_sha256", "topic_sha256", "split_origin", "prompt_sha256")
+    counts = {n: F.col("n") - F.when((F.col("cell") == "en") & (F.lit(n) == "accepted_sources"), 1).otherwise(0) for n in ("requested_sources", "completed_sources", "accepted_sources")}
+    completions = contracts.join(first, ["suite", "cell"]).withColumns(counts).withColumns({"complete": F.lit(True), "exhausted_sources": F.lit(0)})
+    return endpoints, contracts, wanted, listed, queue, completions
+
+
+def _split(columns: str) -> list[str]:
+    """The expressions of ``_with_faults``, without their names."""
+    out = []
+    for name in _VALUES:
+        own, _, columns = columns.partition(f" AS {name}")
+        out.append(own.removeprefix(", "))
+    return out
+
+
+@query(_CELLS_SQL)
+def whole_cell_gate(spark, sf_dir):
+    """Every rule of whole cells over all documents as endpoints, a cell for each language, with faults of each rule."""
+    endpoints, contracts, wanted, listed, queue, completions = _cell_tables(spark, sf_dir)
+    return cells.whole_cells(endpoints, contracts, wanted, listed, queue, completions, _TOKENS, _SPLITS)
