@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dprime
+from ..session import cut
 from .ranking import running_total
 
 
 def _histogram(scores: DataFrame, cell: str) -> DataFrame:
     sides = F.explode(F.array(F.struct(F.col("human").alias("score"), F.lit(0).alias("made")), F.struct(F.col("generated").alias("score"), F.lit(1).alias("made"))))
     rows = scores.select(cell, sides.alias("s")).select(cell, "s.*")
-    return rows.groupBy(cell, "score").agg(F.sum(1 - F.col("made")).alias("humans"), F.sum("made").alias("made"))
+    # written once, as ranges, their sums and the totals are read from it
+    return cut(rows.groupBy(cell, "score").agg(F.sum(1 - F.col("made")).alias("humans"), F.sum("made").alias("made")))
 
 
 def wins(scores: DataFrame, cell: str = "cell") -> DataFrame:

@@ -1,12 +1,18 @@
 """Bootstraps: resamples of sources shared by all cells, intervals, contrasts, differences in differences, clusters.
 
-Draw k of replicate r is a hash of (seed, r, k), so any engine and any run draws alike, and replicates are rows
-that spread over the cluster. A replicate is a weight for each source; the AUROC of a cell under the weights is
-that of the weighted histogram. A replicate's histogram has at most one row for each source and side.
+Draw k of replicate r is a hash of (seed, r, k), so any engine and any run draws alike. Replicates are spread over the
+cluster: a task draws its own, counts how often each source is drawn, and has the AUROC of every cell from running sums
+of these weights along the cell's sorted scores. So nothing of the size replicates x sources is moved. The sorted
+scores go to every task while they are few (``PLACES``); beyond that a replicate's weights meet the scores in a shuffle,
+as weighted histograms of at most one row for each source and side, with the same results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +21,12 @@ from ..session import cut
 from .ranking import running_total
 
 
+#: Scores of all cells, 40 bytes each, that may go to every task.
+PLACES = 1 << 20
+#: Weights of a block of replicates, 8 bytes each, that a task holds.
+BLOCK = 1 << 22
+
+
 def draws(spark: SparkSession, replicates: int, n: int, seed: int) -> DataFrame:
     """rep, draw, place: ``n`` places from 0 below n for each replicate."""
     rows = spark.range(replicates * n).select(F.floor(F.col("id") / F.lit(max(n, 1))).alias("rep"), (F.col("id") % F.lit(max(n, 1))).cast("int").alias("draw"))
@@ -28,18 +40,76 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
     return running_total(cut(df.select(key).distinct()), [], key, {"place": F.lit(1).cast("long")}).select(key, "place")
 
 
+def _block_aurocs(weights: np.ndarray, cells: list[tuple]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """For each cell the AUROC of every row of weights, and whether the cell has a weight at all; ties count a half."""
+    for name, place, order, low, high in cells:
+        own = weights[:, place]
+        below = np.concatenate([np.zeros((len(own), 1), np.int64), np.cumsum(own[:, order], axis=1)], axis=1)
+        twice = (own * (below[:, low] + below[:, high])).sum(axis=1)
+        total = own.sum(axis=1)
+        yield name, twice / np.maximum(2 * total * total, 1), total > 0
+
+
 def samples(scores: DataFrame, replicates: int, seed: int, cell: str = "cell", source: str = "source") -> DataFrame:
     """rep, cell, auroc of every replicate; one draw of sources serves all cells."""
+    spark = scores.sparkSession
+    scores = cut(scores.select(cell, source, "human", "generated"))
     places = numbered(scores, source)
+    rows = cut(scores.join(places, source).select(F.col(cell).cast("string").alias("cell"), "place", "human", "generated"))
     n = places.count()
-    weights = draws(scores.sparkSession, replicates, n, seed).groupBy("rep", "place").agg(F.count(F.lit(1)).alias("w"))
-    rows = scores.join(places, source).select(cell, "place", "human", "generated")
+    if rows.count() > PLACES:
+        return _shuffled_samples(rows, draws(spark, replicates, n, seed), cell)
+    held = rows.toArrow()
+    names = np.array(held.column("cell").to_pylist(), dtype=object)
+    place, human, made = (held.column(c).to_numpy() for c in ("place", "human", "generated"))
+    cells = []
+    for name in dict.fromkeys(names.tolist()):
+        own = np.flatnonzero(names == name)
+        order = np.argsort(human[own], kind="stable")
+        ranked = human[own][order]
+        cells.append((name, place[own], order, np.searchsorted(ranked, made[own], "left"), np.searchsorted(ranked, made[own], "right")))
+    block = max(1, BLOCK // max(n, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # draws of a replicate are next to each other, and a partition has whole replicates
+        held_reps: list[int] = []
+        weights = np.zeros((block, n), np.int64)
+
+        def flush() -> pa.RecordBatch:
+            out = [(np.array(held_reps)[some], name, auroc[some]) for name, auroc, some in _block_aurocs(weights[: len(held_reps)], cells)]
+            weights[:] = 0
+            held_reps.clear()
+            names = pa.array([name for reps, name, _ in out for _ in reps], pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r for r, _, _ in out])), names, pa.array(np.concatenate([x for _, _, x in out]))], names=["rep", "cell", "auroc"])
+
+        for batch in batches:
+            reps, drawn = batch.column("rep").to_numpy(), batch.column("place").to_numpy()
+            starts = np.flatnonzero(np.diff(reps, prepend=-1))
+            for a, b in zip(starts, [*starts[1:], len(reps)], strict=True):
+                if not held_reps or held_reps[-1] != reps[a]:
+                    if len(held_reps) == block:
+                        yield flush()
+                    held_reps.append(int(reps[a]))
+                weights[len(held_reps) - 1] += np.bincount(drawn[a:b], minlength=n)
+        if held_reps:
+            yield flush()
+
+    parts = min(replicates, max(spark.sparkContext.defaultParallelism, replicates * n >> 21))
+    each = spark.range(0, replicates, 1, max(parts, 1)).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    drawn = each.select("rep", hash_draw(n, F.lit(seed), "rep", "draw").alias("place"))
+    out = (drawn if n else drawn.limit(0)).mapInArrow(run, "rep long, cell string, auroc double")
+    return out.select("rep", F.col("cell").cast(scores.schema[cell].dataType).alias(cell), "auroc")
+
+
+def _shuffled_samples(rows: DataFrame, drawn: DataFrame, cell: str) -> DataFrame:
+    """The same for more scores than a task holds: weights and scores meet in a shuffle."""
+    weights = drawn.groupBy("rep", "place").agg(F.count(F.lit(1)).alias("w"))
     met = weights.join(rows, "place")
     sides = F.explode(F.array(F.struct(F.col("human").alias("score"), F.col("w").alias("h"), F.lit(0).cast("long").alias("g")), F.struct(F.col("generated").alias("score"), F.lit(0).cast("long").alias("h"), F.col("w").alias("g"))))
-    hist = met.select("rep", cell, sides.alias("s")).groupBy("rep", cell, "s.score").agg(F.sum("s.h").alias("h"), F.sum("s.g").alias("g"))
-    below = F.coalesce(F.sum("h").over(Window.partitionBy("rep", cell).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hist = met.select("rep", "cell", sides.alias("s")).groupBy("rep", "cell", "s.score").agg(F.sum("s.h").alias("h"), F.sum("s.g").alias("g"))
+    below = F.coalesce(F.sum("h").over(Window.partitionBy("rep", "cell").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     won = hist.withColumn("twice", F.col("g") * (2 * below + F.col("h")))
-    return won.groupBy("rep", cell).agg((F.sum("twice") / (2 * F.sum("h") * F.sum("g"))).alias("auroc"))
+    return won.groupBy("rep", F.col("cell").alias(cell)).agg((F.sum("twice") / (2 * F.sum("h") * F.sum("g"))).alias("auroc"))
 
 
 def interval(value: str | Column, low: float = 0.025, high: float = 0.975) -> tuple[Column, Column]:
