@@ -60,3 +60,20 @@ def ladder(aurocs: DataFrame, views: tuple[int, ...] = VIEWS) -> DataFrame:
 def view_ceilings(aurocs: DataFrame, limit: float = 0.9999) -> DataFrame:
     """view, cells at AUROC 1, cells at the plotted ceiling."""
     return aurocs.groupBy("view").agg(F.count_if(F.col("auroc") == 1).alias("exact"), F.count_if(F.col("auroc") >= limit).alias("plotted"))
+
+
+def masked_mean(tokens: DataFrame, weights: DataFrame, key: list[str], required: int, dimensions: int, token: str = "token", keep: str = "keep", vector: str = "vector") -> DataFrame:
+    """key, kept tokens, status and the mean vector of the kept tokens of every key, of ``tokens`` (key, token, keep).
+
+    A sum for each dimension is combined before it moves, so a text's tokens may be on many tasks. The divisor is the
+    required number of tokens, and a key has a vector only where just so many are kept (else ``count``) and all of them
+    have weights of the dimensions (else ``weights``). Tokens that aren't kept, boundaries and padding, change nothing.
+    """
+    own = weights.select(F.col(token), F.col(vector).alias("_v"))
+    met = tokens.where(F.coalesce(F.col(keep), F.lit(False))).select(*key, token).join(own, token, "left")
+    known = F.coalesce(F.size("_v") == dimensions, F.lit(False))
+    sums = [F.sum(F.get("_v", F.lit(d)).cast("double")).alias(f"_{d}") for d in range(dimensions)]
+    pooled = tokens.select(*key).distinct().join(met.groupBy(*key).agg(F.count(F.lit(1)).alias("kept"), F.count_if(~known).alias("_unknown"), *sums), key, "left").na.fill(0, ["kept", "_unknown"])
+    status = F.when(F.col("kept") != required, "count").when(F.col("_unknown") > 0, "weights").otherwise("ok")
+    mean = F.when(status == "ok", F.array(*(F.col(f"_{d}") / float(required) for d in range(dimensions))))
+    return pooled.select(*key, "kept", status.alias("status"), mean.alias("mean"))

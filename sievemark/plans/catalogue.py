@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import additive, auroc, bootstrap, cluster, detector, gates, manifests, page, qap, ranking, spearman, text_similarity, views
+from ..operators import additive, auroc, bootstrap, cluster, detector, gates, manifests, page, qap, quantiles, ranking, spearman, text_similarity, views
 from ..session import cut
 from .tables import AUROC_SQL, BLOCKS_SQL, CELLS, EXCHANGES_SQL, HUMAN_CELL, MANIFEST_SQL, PAIRS_SQL, SCORES_SQL, SPLIT_SQL, WHITESPACE_SQL, blocks, exchanges, manifest, merkle_sql, normal_sql, pairs, scores, table, words_sql
 
@@ -223,8 +223,9 @@ def word_count_summary(spark, sf_dir):
 
 @query(f"WITH {BLOCKS_SQL} SELECT cell, round(quantile_cont(value, 0.025), 4) AS low, round(quantile_cont(value, 0.975), 4) AS high, round(stddev_pop(value), 4) AS spread FROM blocks GROUP BY 1")
 def linear_quantiles(spark, sf_dir):
-    low, high = bootstrap.interval(F.col("value").cast("double"))
-    return blocks(spark, sf_dir).groupBy("cell").agg(F.round(low, 4).alias("low"), F.round(high, 4).alias("high"), F.round(F.stddev_pop("value"), 4).alias("spread"))
+    rows = cut(blocks(spark, sf_dir))
+    found = quantiles.linear_quantiles(rows, ["cell"], "value", {"low": 0.025, "high": 0.975})
+    return found.join(rows.groupBy("cell").agg(F.round(F.stddev_pop("value"), 4).alias("spread")), "cell").select("cell", _r("low", 4), _r("high", 4), "spread")
 
 
 # --- ranks and demeaning -----------------------------------------------------------------------------------------
