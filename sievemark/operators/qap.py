@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine, twice_ranks
 from ..functions.text import hash_draw
+from ..session import cut
 from .spearman import rho_of
 
 
@@ -94,8 +96,16 @@ def _sums(permutations: DataFrame, row: DataFrame, n: int) -> DataFrame:
     return met.select(moved.alias("s"), *_fixed())
 
 
+def _decoded(number: np.ndarray, n: int) -> np.ndarray:
+    """Relabellings, one a column, from the factorial digits of their numbers."""
+    p = np.stack([number // math.factorial(n - 1 - k) % (n - k) for k in range(n)]) if n else np.zeros((0, len(number)), dtype=np.int64)
+    for k in range(n - 2, -1, -1):
+        p[k + 1 :] += p[k + 1 :] >= p[k]
+    return p
+
+
 def _every_sum(row: DataFrame, n: int) -> DataFrame:
-    """``_sums`` over all n! relabellings, decoded by batches from the factorial digits of their numbers."""
+    """``_sums`` over all n! relabellings, decoded by batches."""
     spark = row.sparkSession
     small = row.first()
     ranks = np.array(small["ranks"] or [0], dtype=np.int64)
@@ -103,16 +113,13 @@ def _every_sum(row: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number = batch.column(0).to_numpy()
-            p = np.stack([number // math.factorial(n - 1 - k) % (n - k) for k in range(n)]) if n else np.zeros((0, len(number)), dtype=np.int64)
-            for k in range(n - 2, -1, -1):
-                p[k + 1 :] += p[k + 1 :] >= p[k]
-            s = np.zeros(len(number), dtype=np.int64)
+            p = _decoded(batch.column(0).to_numpy(), n)
+            s = np.zeros(p.shape[1], dtype=np.int64)
             for i, j, r in pairs:
                 s += ranks[p[i] * n + p[j]] * r
             yield pa.RecordBatch.from_arrays([pa.array(s)], names=["s"])
 
-    sums = spark.range(math.factorial(n)).mapInArrow(run, "s long")
+    sums = spark.range(math.factorial(n)).mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("times"))
     return sums.crossJoin(F.broadcast(row.select(*_fixed())))
 
 
@@ -121,6 +128,44 @@ def qap_exact(matrix: DataFrame, n: int, which: str = "upper") -> DataFrame:
     return _summary(_every_sum(_rank_row(matrix, n, which), n), 0)
 
 
+def delete_one(matrix: DataFrame, n: int, which: str = "upper") -> DataFrame:
+    """``qap_exact`` of each of the n matrices of n - 1 items, by ``dropped`` item, from one enumeration.
+
+    A relabelling of the others is a relabelling of all that keeps the dropped item, so each of the n! serves those
+    matrices whose item it keeps: one on average, (n - 1)! for each. Ranks are of the smaller matrix's own pairs.
+    """
+    if n < 2:
+        raise ValueError("two items at least")
+    fixed, ranks, pairs = [], {}, {}
+    for d in range(n):
+        code = lambda c, d=d: F.col(c) - (F.col(c) > d).cast("int")
+        own = matrix.where((F.col("i") != d) & (F.col("j") != d)).withColumns({"i": code("i"), "j": code("j")})
+        row = cut(_rank_row(own, n - 1, which))
+        small = row.first()
+        ranks[d] = np.array(small["ranks"] or [0], dtype=np.int64)
+        pairs[d] = [(int(x["i"]), int(x["j"]), int(x["r"])) for x in small["pairs"]]
+        fixed.append(row.select(F.lit(d).alias("dropped"), *_fixed()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = _decoded(batch.column(0).to_numpy(), n)
+            dropped, sums = [], []
+            for d in range(n):
+                own = p[:, p[d] == d]
+                own = np.delete(own, d, axis=0)
+                own -= own > d
+                s = np.zeros(own.shape[1], dtype=np.int64)
+                for i, j, r in pairs[d]:
+                    s += ranks[d][own[i] * (n - 1) + own[j]] * r
+                dropped.append(np.full(len(s), d, dtype=np.int32))
+                sums.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(dropped)), pa.array(np.concatenate(sums))], names=["dropped", "s"])
+
+    sums = matrix.sparkSession.range(math.factorial(n)).mapInArrow(run, "dropped int, s long")
+    counted = sums.groupBy("dropped", "s").agg(F.count(F.lit(1)).alias("times"))
+    return _summary(counted.join(F.broadcast(reduce(DataFrame.unionByName, fixed)), "dropped"), 0, ["dropped"])
+
+
 def random_permutations(spark: SparkSession, n: int, draws: int, seed: int) -> DataFrame:
     """Permutations by sorting hashes, the same in every run."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(hash_draw(1 << 59, F.lit(seed), "id", i).alias("h"), i.alias("i")))
@@ -132,10 +177,17 @@ def qap_monte_carlo(matrix: DataFrame, n: int, draws: int, seed: int, which: str
     return _summary(_sums(random_permutations(matrix.sparkSession, n, draws, seed), _rank_row(matrix, n, which), n), 1)
 
 
-def _summary(sums: DataFrame, extra: int) -> DataFrame:
+def _summary(sums: DataFrame, extra: int, by: list[str] | None = None) -> DataFrame:
+    """Sums are counted by value before the null's moments and quantiles are taken, as few of them differ."""
+    by = by or []
+    kept = [*by, "s", "o", "centre", "scale", "rho"]
+    sums = sums if "times" in sums.columns else sums.groupBy(*kept).agg(F.count(F.lit(1)).alias("times"))
     far = F.abs(F.col("s") - F.col("centre")) >= F.abs(F.col("o") - F.col("centre"))
-    of = F.try_divide(F.col("s") - F.col("centre"), F.col("scale"))
-    null = [F.avg(of).alias("null_mean"), F.stddev_pop(of).alias("null_sd"), F.percentile(of, 0.95).alias("null_q95"), F.percentile(of, 0.99).alias("null_q99")]
-    out = sums.agg(F.first("rho").alias("rho"), F.count_if(F.col("s") >= F.col("o")).alias("count"), F.count_if(far).alias("count_abs"), F.count(F.lit(1)).alias("total"), *null)
+    of, times = F.try_divide(F.col("s") - F.col("centre"), F.col("scale")), F.col("times")
+    mean = F.sum(of * times) / F.sum(F.when(of.isNotNull(), times))
+    spread = F.sum(of * of * times) / F.sum(F.when(of.isNotNull(), times))
+    null = [mean.alias("null_mean"), F.sqrt(F.greatest(spread - mean * mean, F.lit(0.0))).alias("null_sd"), F.percentile(of, 0.95, times).alias("null_q95"), F.percentile(of, 0.99, times).alias("null_q99")]
+    many = lambda c: F.sum(F.when(c, times).otherwise(0))
+    out = sums.groupBy(*by).agg(F.first("rho").alias("rho"), many(F.col("s") >= F.col("o")).alias("count"), many(far).alias("count_abs"), F.sum(times).alias("total"), *null)
     names = ["null_mean", "null_sd", "null_q95", "null_q99"]
-    return out.select("rho", "count", "count_abs", "total", *names, *[((F.col(c) + extra) / (F.col("total") + extra)).alias(p) for c, p in (("count", "p"), ("count_abs", "p_abs"))])
+    return out.select(*by, "rho", "count", "count_abs", "total", *names, *[((F.col(c) + extra) / (F.col("total") + extra)).alias(p) for c, p in (("count", "p"), ("count_abs", "p_abs"))])

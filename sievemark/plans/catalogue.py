@@ -436,6 +436,20 @@ def qap_monte_carlo(spark, sf_dir):
     return qap.qap_monte_carlo(*_qap_input(spark, sf_dir), 100_000, CLUSTER_SEED).select(*_qap_columns())
 
 
+@query()
+def qap_delete_one(spark, sf_dir):
+    """The exact test of every matrix of all labels but one, from one enumeration."""
+    return qap.delete_one(*_qap_input(spark, sf_dir)).select("dropped", *_qap_columns())
+
+
+@query()
+def qap_variants(spark, sf_dir):
+    """The exact test over the upper, the lower and both triangles; of a symmetric matrix they have one rho and one p."""
+    matrix, n = _qap_input(spark, sf_dir)
+    kinds = [qap.qap_exact(matrix, n, which).select(F.lit(which).alias("pairs"), *_qap_columns()) for which in ("upper", "lower", "ordered")]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
 # --- shifts and detectors ----------------------------------------------------------------------------------------
 
 _SHIFT_SQL = """parts AS (SELECT vec_id, 'm' || (label // 2) AS model, 'c' || (label % 2) AS condition, vec_id % 2 AS made, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cluster, contracts, gates, manifests, page
+from ..operators import cluster, contracts, gates, manifests, page, views
 from ..session import cut
 from .catalogue import ALPHA, CLUSTER_SEED, _r, query
-from .tables import MANIFEST_SQL, blocks, manifest, pairs, table
+from .tables import MANIFEST_SQL, blocks, manifest, normal_sql, pairs, table
 
 # fixed values: the preference and the templates of these queries
 PREFERENCE = ["purchase", "signup", "click"]
@@ -93,6 +93,31 @@ def token_window_anatomy(spark, sf_dir):
     return each.groupBy("win").agg(F.avg("v").alias("mean_value"), F.count(F.lit(1)).alias("generators")).select("win", _r("mean_value"), "generators")
 
 
+_POOLED = 12
+
+
+@query(
+    f"WITH w AS (SELECT doc_id, string_split({normal_sql('text')}, ' ')[1:{_POOLED}] AS words FROM documents WHERE text IS NOT NULL AND {normal_sql('text')} <> ''),"
+    " t AS (SELECT doc_id, ('0x' || substr(md5(unnest(words)), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS token FROM w),"
+    " v AS (SELECT vec_id AS token, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings),"
+    " n AS (SELECT doc_id, count(*) AS kept FROM t GROUP BY 1),"
+    f" m AS (SELECT doc_id, list(s ORDER BY d) AS mean FROM (SELECT doc_id, d, sum(v) / {_POOLED}.0 AS s FROM t JOIN v USING (token) GROUP BY 1, 2) GROUP BY 1)"
+    f" SELECT doc_id, kept, CASE WHEN kept = {_POOLED} THEN 'ok' ELSE 'count' END AS status, CASE WHEN kept = {_POOLED} THEN round(mean[1], 6) END AS head, CASE WHEN kept = {_POOLED} THEN round(mean[-1], 6) END AS tail, CASE WHEN kept = {_POOLED} THEN round(sqrt(list_sum(list_transform(mean, lambda x: x * x))), 6) END AS norm"
+    " FROM n LEFT JOIN m USING (doc_id)"
+)
+def masked_mean_pooling(spark, sf_dir):
+    """Documents' first words as tokens between boundaries and padding, pooled over the embeddings as a table of weights."""
+    weights = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    many = weights.count()
+    own = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.slice(text.words("text"), 1, _POOLED).alias("words")).where(F.size("words") > 0)
+    token = F.pmod(F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long"), F.lit(max(many, 1)))
+    inner = own.select("doc_id", F.explode("words").alias("w")).select("doc_id", token.alias("token"), F.lit(True).alias("keep"))
+    # boundaries and padding, which the mask leaves out
+    outer = own.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(1)).cast("array<long>")).alias("token"), F.lit(False).alias("keep"))
+    pooled = views.masked_mean(inner.unionByName(outer), weights, ["doc_id"], _POOLED, 64)
+    return pooled.select("doc_id", F.col("kept").cast("long").alias("kept"), "status", F.round(F.element_at("mean", 1), 6).alias("head"), F.round(F.element_at("mean", -1), 6).alias("tail"), F.round(F.sqrt(F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+
+
 def _bootstrapped(out, *keys: str):
     return out.select(*keys, "pairs", _r("rho"), _r("ci_low"), _r("ci_high"), _r("p"))
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import configs, text
 from ..operators import gates
 from ..session import shared_folder
 from ..sources import arrays, files
@@ -134,3 +134,33 @@ def topics_gate(spark, sf_dir):
     number = F.col("doc_id")
     rows = docs.where(number % 53 != 8).select(F.when(number % 41 == 5, number + 1).otherwise(number).alias("original_index"), F.when(number % 43 == 6, "  ").otherwise(F.col("source")).alias("topic"), F.when(number % 47 == 7, "changed").otherwise(F.col("text")).alias("original_text"))
     return gates.matched_texts(rows, docs.select(number.alias("original_index"), "text"), "topics", "original_index", "original_text", "topic")
+
+
+_CONFIG = """concat('{"run":{"id":', doc_id, ',"lang":"', coalesce(lang, 'none'), '"},"representation":{"content_tokens":', 128 + doc_id % 3, ',"views":[128,64]},"source":"', coalesce(source, ''), '"', CASE WHEN doc_id % 5 = 0 THEN ',"note":{}' ELSE '' END, '}')"""
+_SHORTER = """'{' || CASE WHEN doc_id % 5 = 0 THEN '"note":{},' ELSE '' END || '"representation":{"content_tokens":64,"mask":{"boundaries":false},"views":[128,64]},"run":{"id":' || doc_id || ',"lang":"' || coalesce(lang, 'none') || '"},"source":"' || coalesce(source, '') || '"}'"""
+_SET = {("representation", "content_tokens"): "64", ("representation", "mask", "boundaries"): "false"}
+
+
+def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.parse_json(F.expr(_CONFIG)).alias("config"))
+
+
+@query(f"SELECT doc_id, {_SHORTER} AS config FROM documents")
+def config_replace(spark, sf_dir):
+    """A run's configuration for each document, with its view shortened and a nested field made."""
+    made = configs.replaced(_configs(spark, sf_dir), ["doc_id"], "config", {p: F.lit(v) for p, v in _SET.items()})
+    return made.select("doc_id", F.to_json("config").alias("config"))
+
+
+@query(
+    "SELECT doc_id, 'representation.content_tokens' AS path, (128 + doc_id % 3)::VARCHAR AS before, '64' AS after FROM documents WHERE doc_id % 3 <> 1"
+    " UNION ALL SELECT doc_id, 'representation.mask.boundaries', NULL, 'false' FROM documents WHERE doc_id % 3 <> 1"
+    " UNION ALL SELECT doc_id, p, CASE p WHEN 'run.id' THEN doc_id::VARCHAR WHEN 'run.lang' THEN '\"' || coalesce(lang, 'none') || '\"' WHEN 'source' THEN '\"' || coalesce(source, '') || '\"' WHEN 'note' THEN '{}' WHEN 'representation.views' THEN '[128,64]' ELSE (128 + doc_id % 3)::VARCHAR END, NULL"
+    " FROM documents, (SELECT unnest(['run.id', 'run.lang', 'source', 'note', 'representation.views', 'representation.content_tokens']) AS p) WHERE doc_id % 3 = 1 AND (p <> 'note' OR doc_id % 5 = 0)"
+)
+def config_changes(spark, sf_dir):
+    """Two folders of configurations, the second shortened and without every third, compared path by path."""
+    before = _configs(spark, sf_dir)
+    after = configs.replaced(before.where("doc_id % 3 <> 1"), ["doc_id"], "config", {p: F.lit(v) for p, v in _SET.items()})
+    found = configs.differences(configs.leaves(before, ["doc_id"], "config"), configs.leaves(after, ["doc_id"], "config"), ["doc_id"])
+    return found.select("doc_id", F.array_join("path", ".").alias("path"), F.col("left").alias("before"), F.col("right").alias("after"))

@@ -188,3 +188,16 @@ def test_two_way_demeaning_and_correlations(spark):
     flat = df.withColumn("x", F.lit(1.0))
     assert cluster.spearman(flat, [], "x", "y").first().rho is None
     assert bootstrap.boot_p is not None and spark.range(10).agg(bootstrap.boot_p(F.col("id") + 1.0, 10)).first()[0] == 0.2
+
+
+@pytest.mark.parametrize("which", ["upper", "lower", "ordered"])
+def test_delete_one_is_the_exact_test_of_each_smaller_matrix(spark, which):
+    rng = random.Random(8)
+    value = {(i, j): (rng.random(), rng.random()) for i in range(5) for j in range(i)}
+    rows = [(i, j, *(value[max(i, j), min(i, j)])) for i in range(5) for j in range(5) if i != j]
+    got = {r.dropped: r.asDict() for r in qap.delete_one(spark.createDataFrame(rows, "i int, j int, predictor double, target double"), 5, which).collect()}
+    assert set(got) == set(range(5))
+    for d in (0, 2, 4):
+        own = [(i - (i > d), j - (j > d), p, t) for i, j, p, t in rows if d not in (i, j)]
+        alone = qap.qap_exact(spark.createDataFrame(own, "i int, j int, predictor double, target double"), 4, which).first().asDict()
+        assert {k: v for k, v in got[d].items() if k != "dropped"} == pytest.approx(alone) and got[d]["total"] == 24
