@@ -220,7 +220,7 @@ def locked(current: DataFrame, lock: DataFrame, gate: str = "lock") -> DataFrame
 
 def lock_digest(rows: DataFrame, path: str = "path", digest: str = "digest") -> DataFrame:
     """The root (lock_sha256) of the Merkle tree over all (path, digest) rows, whatever their order and partitions."""
-    return locks.build(rows, path, digest).root().select("lock_sha256")
+    return locks.build(rows, path, digest, keep=False).root().select("lock_sha256")
 
 
 def descent(aurocs: DataFrame, threshold: int) -> DataFrame:

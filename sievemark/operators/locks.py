@@ -118,13 +118,17 @@ def _families(level: DataFrame) -> DataFrame:
     return level.groupBy(F.floor(F.col("place") / FANOUT).alias("place")).agg(below.alias("children"))
 
 
-def build(rows: DataFrame, path: str = "path", digest: str = "digest") -> Lock:
-    """The tree over (path, digest) rows in the order of path, then of digest; repeated rows are leaves of their own."""
+def build(rows: DataFrame, path: str = "path", digest: str = "digest", keep: bool = True) -> Lock:
+    """The tree over (path, digest) rows in the order of path, then of digest; repeated rows are leaves of their own.
+
+    Levels are written, to be read often; without ``keep`` only leaves are, for where just the root is asked for.
+    """
     own = rows.select(F.col(path).cast("string").alias("path"), leaf(F.col(path).cast("string"), F.col(digest)).alias("hash"))
     levels = [written(placed(own, ["path", "hash"]).select("place", "hash", "path"))]
     n = many = levels[0].count()
     while many > 1:
-        levels.append(written(_families(levels[-1]).select("place", node(F.col("children")).alias("hash"))))
+        level = _families(levels[-1]).select("place", node(F.col("children")).alias("hash"))
+        levels.append(written(level) if keep else level)
         many = -(-many // FANOUT)
     return Lock(levels, n)
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cells, locks
+from ..operators import auroc, cells, locks, view_gates, views
 from ..session import cut
 from .catalogue import query
-from .tables import MANIFEST_SQL, manifest, merkle_sql, normal_sql, table
+from .tables import AUROC_SQL, EXCHANGES_SQL, MANIFEST_SQL, exchanges, manifest, merkle_sql, normal_sql, scores, table
 
 _LOCKED = "r AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS digest FROM documents)"
 
@@ -146,3 +146,87 @@ def whole_cell_gate(spark, sf_dir):
     """Every rule of whole cells over all documents as endpoints, a cell for each language, with faults of each rule."""
     endpoints, contracts, wanted, listed, queue, completions = _cell_tables(spark, sf_dir)
     return cells.whole_cells(endpoints, contracts, wanted, listed, queue, completions, _TOKENS, _SPLITS)
+
+
+_VIEW = 32
+_IDS_SQL = "list_transform(string_split({0}, ' '), lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT)"
+_VIEWS_SQL = f"""WITH {EXCHANGES_SQL},
+x AS (SELECT conv_id || '|' || turn AS key, conv_id, turn, CASE WHEN {normal_sql('source_text')} = '' THEN [] ELSE {_IDS_SQL.format(normal_sql('source_text'))} END AS h, CASE WHEN {normal_sql('rewritten')} = '' THEN [] ELSE {_IDS_SQL.format(normal_sql('rewritten'))} END AS g FROM exchanges),
+v AS (SELECT *, CASE WHEN len(h) >= {_VIEW} THEN CASE WHEN conv_id % 11 = 3 THEN h[2:{_VIEW + 1}] ELSE h[1:{_VIEW}] END END AS hv, CASE WHEN len(g) >= {_VIEW} THEN CASE WHEN conv_id % 13 = 4 THEN g[1:{_VIEW - 1}] ELSE g[1:{_VIEW}] END END AS gv FROM x)"""
+
+
+def _ids(column: str):
+    return F.transform(text.words(column), lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long"))
+
+
+def _view_pairs(spark, sf_dir):
+    rows = exchanges(spark, sf_dir).select("conv_id", "turn", _ids("source_text").alias("human_ids"), _ids("rewritten").alias("generated_ids"))
+    human = F.when(F.col("conv_id") % 11 == 3, F.slice("human_ids", 2, _VIEW)).otherwise(F.slice("human_ids", 1, _VIEW))
+    made = F.when(F.col("conv_id") % 13 == 4, F.slice("generated_ids", 1, _VIEW - 1)).otherwise(F.slice("generated_ids", 1, _VIEW))
+    return rows.withColumns({"human_view": F.when(F.size("human_ids") >= _VIEW, human), "generated_view": F.when(F.size("generated_ids") >= _VIEW, made)})
+
+
+@query(
+    f"{_VIEWS_SQL} SELECT 'analysis view' AS gate, 'unique' AS rule, key, count(*)::VARCHAR AS detail FROM v GROUP BY key HAVING count(*) > 1"
+    + "".join(
+        f" UNION ALL SELECT 'analysis view', '{side} tokens', key, len({c})::VARCHAR FROM v WHERE len({c}) < {_VIEW}"
+        f" UNION ALL SELECT 'analysis view', '{side} prefix', key, len({c}v)::VARCHAR FROM v WHERE {c}v IS NOT NULL AND {c}v <> {c}[1:{_VIEW}]"
+        for side, c in (("human", "h"), ("generated", "g"))
+    )
+)
+def analysis_view_gate(spark, sf_dir):
+    """Views of questions and answers, some cut at other places by number, against the first tokens of their texts."""
+    return view_gates.analysis_views(_view_pairs(spark, sf_dir), ["conv_id", "turn"], _VIEW)
+
+
+@query(f"{_VIEWS_SQL} SELECT turn % 4 AS cell, count(*) AS pairs, min(len(h))::BIGINT AS human_min, min(len(g))::BIGINT AS generated_min, min(least(len(h), len(g)))::BIGINT AS pair_min, count(*) FILTER (WHERE least(len(h), len(g)) < {_VIEW}) AS short, CASE WHEN count(*) FILTER (WHERE least(len(h), len(g)) < {_VIEW}) = 0 THEN 'ok' ELSE 'failed' END AS status FROM v GROUP BY 1")
+def view_pair_minima(spark, sf_dir):
+    """Least tokens of either side and of pairs, and pairs that are too short, by cell."""
+    rows = _view_pairs(spark, sf_dir).withColumn("cell", F.col("turn") % 4)
+    out = view_gates.pair_minima(rows, _VIEW, ["cell"])
+    return out.select("cell", "pairs", *(F.col(c).cast("long").alias(c) for c in ("human_min", "generated_min", "pair_min")), "short", "status")
+
+
+@query(
+    f"{_VIEWS_SQL}, w AS (SELECT * FROM v WHERE hv IS NOT NULL AND gv IS NOT NULL), many AS (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM w GROUP BY turn % 4))"
+    f" SELECT 'paired view' AS gate, 'generated mask' AS rule, key, len(gv)::VARCHAR AS detail FROM w WHERE len(gv) <> {_VIEW}"
+    " UNION ALL SELECT 'paired view', 'human recovered', key, '' FROM w WHERE turn % 5 = 2 AND hv[1] <> 0"
+    " UNION ALL SELECT 'paired view', 'pairs', (turn % 4)::VARCHAR, count(*)::VARCHAR FROM w GROUP BY turn % 4 HAVING count(*) <> (SELECT most FROM many)"
+)
+def paired_view_recovery_gate(spark, sf_dir):
+    """Views between boundaries as a model gets them, some with a changed id, recovered through their masks; pairs of a cell are counted."""
+    rows = _view_pairs(spark, sf_dir).where("human_view IS NOT NULL AND generated_view IS NOT NULL").withColumn("cell", F.col("turn") % 4)
+    for side in view_gates.SIDES:
+        ids, mask = views.with_boundaries(F.col(f"{side}_view"), -1, -2)
+        rows = rows.withColumns({f"{side}_ids": ids, f"{side}_mask": mask})
+    # the second place is the first token
+    rows = rows.withColumn("human_ids", F.when(F.col("turn") % 5 == 2, F.transform("human_ids", lambda x, k: F.when(k == 1, F.lit(0).cast("long")).otherwise(x))).otherwise(F.col("human_ids")))
+    rows = cut(rows)
+    most = rows.groupBy("cell").count().agg(F.max("count")).first()[0]
+    return view_gates.paired_views(rows, ["conv_id", "turn"], ["cell"], _VIEW, most or 0)
+
+
+@query(
+    f"WITH {AUROC_SQL}, r AS (SELECT cell, CASE WHEN cell = 'click' THEN auroc + 1e-9 ELSE auroc END AS auroc, twice_wins + CASE WHEN cell = 'signup' THEN 1 ELSE 0 END AS twice_wins FROM auroc WHERE cell <> 'error' UNION ALL SELECT 'refund', 0.5, 1)"
+    " SELECT 'refit' AS gate, 'missing' AS rule, cell AS key FROM r WHERE cell NOT IN (SELECT cell FROM auroc) UNION ALL SELECT 'refit', 'unexpected', cell FROM auroc WHERE cell NOT IN (SELECT cell FROM r)"
+    " UNION ALL SELECT 'refit', 'auroc', cell FROM r JOIN auroc USING (cell) WHERE r.auroc <> auroc.auroc UNION ALL SELECT 'refit', 'twice_wins', cell FROM r JOIN auroc USING (cell) WHERE r.twice_wins <> auroc.twice_wins"
+)
+def refit_gate(spark, sf_dir):
+    """AUROCs computed again against released ones, with a value a billionth off, a count one off, a cell gone and one more."""
+    now = cut(auroc.auroc(scores(spark, sf_dir)).select("cell", "auroc", "twice_wins"))
+    off = now.where("cell <> 'error'").select("cell", F.when(F.col("cell") == "click", F.col("auroc") + 1e-9).otherwise(F.col("auroc")).alias("auroc"), (F.col("twice_wins") + F.when(F.col("cell") == "signup", 1).otherwise(0)).alias("twice_wins"))
+    released = off.unionByName(spark.createDataFrame([("refund", 0.5, 1)], "cell string, auroc double, twice_wins long"))
+    return view_gates.refit(now, released, ["cell"], ["auroc", "twice_wins"]).select("gate", "rule", "key")
+
+
+@query(
+    f"WITH {MANIFEST_SQL}, f AS (SELECT source_id, compact_index, human_sha256, split_origin FROM manifest), r AS (SELECT source_id, compact_index, CASE WHEN compact_index % 23 = 5 THEN '0' ELSE human_sha256 END AS human_sha256, CASE WHEN compact_index % 29 = 6 THEN 'dev' ELSE split_origin END AS split_origin FROM f WHERE compact_index % 31 <> 7)"
+    " SELECT 'rewrite panel' AS gate, 'missing' AS rule, source_id AS key, '' AS detail FROM f WHERE compact_index % 31 = 7"
+    " UNION ALL SELECT 'rewrite panel', 'human_sha256', source_id, human_sha256 FROM r WHERE compact_index % 23 = 5 UNION ALL SELECT 'rewrite panel', 'split_origin', source_id, split_origin FROM r WHERE compact_index % 29 = 6"
+)
+def rewrite_panel_gate(spark, sf_dir):
+    """A rewrite panel's sources against the first panel's, with missing sources, other texts and other splits."""
+    first = manifest(spark, sf_dir).select("source_id", "compact_index", "human_sha256", "split_origin")
+    n = F.col("compact_index")
+    second = first.where(n % 31 != 7).withColumns({"human_sha256": F.when(n % 23 == 5, "0").otherwise(F.col("human_sha256")), "split_origin": F.when(n % 29 == 6, "dev").otherwise(F.col("split_origin"))})
+    return view_gates.same_humans(second, first, ["human_sha256", "split_origin"])

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json, git_blob_sha1
+from ..operators import gates
 from ..session import cut
 
 # fixed values: fields of the files, by name
@@ -149,3 +154,64 @@ def changed_paths(a: dict, b: dict) -> list[str]:
     """Paths at which two documents differ."""
     x, y = dict(flattened(a)), dict(flattened(b))
     return sorted(k for k in x.keys() | y.keys() if x.get(k) != y.get(k))
+
+
+_CHUNK = 1 << 20
+
+
+def directory_digests(spark: SparkSession, directory: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """name, length, regular, symlink_target, resolved_folder, sha256 and git sha1 of a directory's entries, of any size.
+
+    Names are listed by the driver; each file is read in pieces of 1 MiB by one task. The directory has to be one that
+    all executors see. What isn't a regular file, or a link to one, has no length and no digests.
+    """
+    entries = []
+    for name in sorted(set(os.listdir(directory)) - set(ignore)):
+        path = os.path.join(directory, name)
+        link = os.readlink(path) if os.path.islink(path) else None
+        entries.append((name, path, os.path.isfile(path), link, os.path.dirname(os.path.realpath(path))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, regular in zip(batch.column("path").to_pylist(), batch.column("regular").to_pylist(), strict=True):
+                if not regular:
+                    out.append((None, None, None))
+                    continue
+                size = os.path.getsize(path)
+                whole, blob = hashlib.sha256(), hashlib.sha1(f"blob {size}\0".encode())
+                with open(path, "rb") as handle:
+                    while piece := handle.read(_CHUNK):
+                        whole.update(piece)
+                        blob.update(piece)
+                out.append((size, whole.hexdigest(), blob.hexdigest()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.string(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("name", "regular", "symlink_target", "resolved_folder")), *columns], names=["name", "regular", "symlink_target", "resolved_folder", "length", "sha256", "sha1"])
+
+    rows = spark.createDataFrame(entries, "name string, path string, regular boolean, symlink_target string, resolved_folder string")
+    return rows.repartition(max(1, min(len(entries), 1024))).mapInArrow(run, "name string, regular boolean, symlink_target string, resolved_folder string, length long, sha256 string, sha1 string")
+
+
+def directory_gate(found: DataFrame, pinned: DataFrame, blobs_folder: str | None = None, extra: DataFrame | None = None, gate: str = "weights") -> DataFrame:
+    """A directory's entries against pinned files (name, length, sha256, sha1), and none besides.
+
+    A null pinned digest isn't compared, as of files whose sha1 isn't told. ``extra`` are files of the same form that
+    may be there as well. Links have to lead into ``blobs_folder`` itself.
+    """
+    allowed = pinned.withColumn("_needed", F.lit(True))
+    if extra is not None:
+        allowed = allowed.unionByName(extra.join(pinned.select("name"), "name", "left_anti").withColumn("_needed", F.lit(False)))
+    met = found.join(allowed.select("name", F.struct("length", "sha256", "sha1").alias("_pin")), "name")
+    p = lambda c: F.col("_pin")[c]
+    whole = F.col("regular")
+    rules = {
+        "regular file": whole,
+        "length": (~whole | (F.col("length") == p("length")), F.col("length")),
+        "sha256": (~whole | p("sha256").isNull() | (F.col("sha256") == p("sha256")), F.col("sha256")),
+        "sha1": (~whole | p("sha1").isNull() | (F.col("sha1") == p("sha1")), F.col("sha1")),
+    }
+    if blobs_folder is not None:
+        rules["link leads outside"] = (F.col("symlink_target").isNull() | (F.col("resolved_folder") == os.path.realpath(blobs_folder)), F.col("symlink_target"))
+    absent = gates.coverage(allowed.where("_needed"), found, gate, ["name"]).where("rule = 'missing'")
+    stray = gates.coverage(allowed, found, gate, ["name"]).where("rule = 'unexpected'")
+    return gates.gather(absent, stray, gates.compiled(met, gate, ["name"], rules))
