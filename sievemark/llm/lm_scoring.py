@@ -77,12 +77,11 @@ def _send(chunk: int, table: pa.Table, order: int, owners: int) -> pa.Table:
     width = (1 << 64) // owners + 1
     for length in range(1, order + 1):
         keys, counts = _tables(table, order, length)
-        edges = np.searchsorted(keys, np.array([min(o * width, (1 << 64) - 1) for o in range(1, owners)], dtype=np.uint64))
-        edges = [0, *edges.tolist(), len(keys)]
-        for o in range(owners):
-            a, b = edges[o], edges[o + 1]
-            if b > a:
-                rows.append((o, chunk, length, b - a, keys[a:b].tobytes(), _small(counts[a:b])))
+        # keys are in order, so an owner's are next to each other; owners without a key cost nothing
+        own = (keys // np.uint64(width)).astype(np.int64) if owners > 1 else np.zeros(len(keys), np.int64)
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=False):
+            rows.append((int(own[a]), chunk, length, b - a, keys[a:b].tobytes(), _small(counts[a:b])))
     types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["owner", "chunk", "length", "n", "keys", "counts"])
