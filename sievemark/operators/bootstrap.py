@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash_draw
 from ..session import cut
-from .ranking import running_total
+from .locks import placed
 
 
 #: Scores of all cells, 40 bytes each, that may go to every task.
@@ -34,10 +34,8 @@ def draws(spark: SparkSession, replicates: int, n: int, seed: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
-    """The distinct values of ``key`` with places from 0 in ascending order; no task sorts all of them, if they are numbers."""
-    if dict(df.dtypes)[key] == "string":
-        return df.select(key).distinct().withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)
-    return running_total(cut(df.select(key).distinct()), [], key, {"place": F.lit(1).cast("long")}).select(key, "place")
+    """The distinct values of ``key`` with places from 0 in ascending order; no task sorts all of them."""
+    return placed(df.select(key).distinct(), [key])
 
 
 def _block_aurocs(weights: np.ndarray, cells: list[tuple]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:

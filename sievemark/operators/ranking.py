@@ -77,6 +77,7 @@ def without_singletons(df: DataFrame, group: str) -> DataFrame:
 
 def factor_codes(df: DataFrame, value: str, name: str = "code") -> DataFrame:
     """Codes from 0 of the distinct values in ascending order."""
-    distinct = df.select(value).where(F.col(value).isNotNull()).distinct().withColumn("one", F.lit(1))
-    numbers = distinct.withColumn(name, F.row_number().over(Window.orderBy(value)) - 1).drop("one")
+    from .locks import placed
+
+    numbers = placed(df.select(value).where(F.col(value).isNotNull()).distinct(), [value], name).withColumn(name, F.col(name).cast("int"))
     return df.join(F.broadcast(numbers) if numbers.count() <= 100_000 else numbers, value)
