@@ -34,6 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 TRAINING_PAGES = 360
+#: Shares of written pages whose main text has containers without names, and of pages with nothing but it.
+UNNAMED = 0.25
+LONE = 0.06
 STEPS = 160
 PENALTY = 0.05
 #: Ancestor contexts whose scores a task remembers.
@@ -46,7 +49,7 @@ NAMED = 64
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>][^\s>]*)))?")
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose content is never text.
-SILENT = frozenset("script style noscript template head title textarea select option button iframe object svg math canvas audio video map datalist".split())
+SILENT = frozenset("script style noscript template head title textarea select option iframe object canvas audio video map datalist".split())
 #: Silent elements whose content isn't markup: only their own end tag closes them.
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -436,8 +439,10 @@ class _Writer:
             out.append(f"<header>{heading}</header>" if rng.random() < 0.1 else heading)
         for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 12))):
             kind = rng.random()
-            if kind < 0.55:
+            if kind < 0.52:
                 out.append(f"<p>{mark}{self.prose()}</p>")
+            elif kind < 0.55:
+                out.append(f"<p>{mark}{self.prose()} {self.inline()} {self.sentence(2, 9)}</p>")
             elif kind < 0.7:
                 out.append(f"<p><b>{mark}{self.prose()}<br>")
             elif kind < 0.76:
@@ -458,6 +463,8 @@ class _Writer:
                 out.append(self.advert())
         if rng.random() < 0.05:
             return "".join(out)
+        if rng.random() < UNNAMED:
+            return self.unnamed(out)
         outer = rng.random()
         if outer < 0.6:
             return self.tagged("article", "".join(out), *(("post", "entry", "story") if rng.random() < 0.3 else ()))
@@ -465,6 +472,26 @@ class _Writer:
             return self.tagged("main", "".join(out), *(("content", "main") if rng.random() < 0.5 else ()))
         return self.tagged("div", "".join(out), "content", "post-content", "entry-content", "article-body", "main-content", "story-body", "post", "text")
 
+    def unnamed(self, out: list[str]) -> str:
+        """Main text whose containers tell nothing: divs, sections and layout tables without names, text between tags, or text only."""
+        mark, kind = self.MARK, self.rng.random()
+        bare = [x.replace("<p>", "<div>").replace("</p>", "</div>") for x in out]
+        if kind < 0.3:
+            return "<div>" + "".join(bare) + "</div>"
+        if kind < 0.5:
+            return "".join(f"<div><div>{x}</div></div>" for x in out)
+        if kind < 0.58:
+            return "".join(f"<section>{x}</section>" for x in out)
+        if kind < 0.68:
+            return "<table><tr><td>" + "".join(out) + "</td></tr></table>"
+        if kind < 0.85:
+            return "<div>" + "<br><br>".join(f"{mark}{self.prose()}" for _ in range(self.rng.randint(1, 6))) + "</div>"
+        return "".join(f"<div>{mark}{self.prose()}</div>" for _ in range(self.rng.randint(1, 8)))
+
+    def inline(self) -> str:
+        """Elements within a sentence whose text is the sentence's."""
+        return self.rng.choice(("<math><mi>{0}</mi><mo>=</mo><mn>2</mn></math>", "<svg><text>{0}</text></svg>", "<button>{0}</button>", "<code>{0}</code>")).format(self.sentence(1, 2))
+
     def advert(self) -> str:
         name = self.rng.choice(("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad", "ad-slot", "adbox"))
         return self.tagged(self.rng.choice(("div", "div", "section", "aside")), self.rng.choice((self.prose(), f"<p>{self.prose()}</p>")), name)
@@ -500,6 +527,8 @@ class _Writer:
         rng = self.rng
         if rng.random() < 0.04:
             parts = [*self.before(), *self.after()]
+        elif rng.random() < LONE:
+            parts = [self.unnamed([f"<p>{self.MARK}{self.prose()}</p>" for _ in range(rng.randint(1, 6))])]
         else:
             body, tail = self.main(), self.after()
             if rng.random() < 0.1 and body.endswith("</article>"):
