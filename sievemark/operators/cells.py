@@ -144,4 +144,4 @@ def panel_rules(endpoints: DataFrame, contracts: DataFrame, cells: DataFrame, ga
     """
     one = contracts.agg(*(F.count_distinct(c).alias(c) for c in ("run_id", "config_sha256")))
     many = {c: (F.col(c) <= 1, F.col(c)) for c in ("run_id", "config_sha256")}
-    return gates.gather(gates.coverage(cells, contracts, f"{gate} contracts", _CELL), gates.compiled(one, gate, ["run_id", "config_sha256"], many), gates.panel(endpoints, cells, gate))
+    return gates.gather(gates.coverage(cells, contracts, f"{gate} contracts", _CELL), gates.compiled(one, f"{gate} contracts", ["run_id", "config_sha256"], many), gates.panel(endpoints, cells, gate))

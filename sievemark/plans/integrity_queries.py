@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import auroc, cells, locks, view_gates, views
+from ..operators import auroc, cells, contracts, gates, locks, view_gates, views
 from ..session import cut
-from .catalogue import query
+from .catalogue import _QUEUE_SQL, query, queue_gate
 from .tables import AUROC_SQL, EXCHANGES_SQL, MANIFEST_SQL, exchanges, manifest, merkle_sql, normal_sql, scores, table
 
 _LOCKED = "r AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS digest FROM documents)"
@@ -230,3 +230,32 @@ def rewrite_panel_gate(spark, sf_dir):
     n = F.col("compact_index")
     second = first.where(n % 31 != 7).withColumns({"human_sha256": F.when(n % 23 == 5, "0").otherwise(F.col("human_sha256")), "split_origin": F.when(n % 29 == 6, "dev").otherwise(F.col("split_origin"))})
     return view_gates.same_humans(second, first, ["human_sha256", "split_origin"])
+
+
+_WANTED = ("click", "error", "purchase", "signup", "refund")
+_PANEL_SQL = f"""WITH e AS (SELECT DISTINCT event_type AS cell, user_id::VARCHAR AS source_id, sha256(CASE WHEN user_id % 13 = 5 AND event_type = 'click' THEN 'x' ELSE user_id::VARCHAR END) AS human FROM events),
+w AS (SELECT unnest([{", ".join(f"'{c}'" for c in _WANTED)}]) AS cell),
+s AS (SELECT DISTINCT source_id FROM e)
+SELECT g AS gate, 'missing' AS rule, 'scale|' || cell AS key, '' AS detail FROM w, (SELECT unnest(['panel', 'panel contracts']) AS g) WHERE cell NOT IN (SELECT cell FROM e)
+UNION ALL SELECT g, 'unexpected', 'scale|' || cell, '' FROM (SELECT DISTINCT cell FROM e), (SELECT unnest(['panel', 'panel contracts']) AS g) WHERE cell NOT IN (SELECT cell FROM w)
+UNION ALL SELECT 'panel sources', 'missing', 'scale|' || w.cell || '|' || s.source_id, '' FROM s CROSS JOIN w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.cell = w.cell AND e.source_id = s.source_id)
+UNION ALL SELECT 'panel sources', 'unexpected', 'scale|' || cell || '|' || source_id, '' FROM e WHERE cell NOT IN (SELECT cell FROM w)
+UNION ALL SELECT 'panel identities', 'unique', source_id, count(DISTINCT human)::VARCHAR FROM e GROUP BY source_id HAVING count(DISTINCT human) > 1
+UNION ALL SELECT 'panel contracts', 'config_sha256', '1|2', '2'"""
+
+
+@query(_PANEL_SQL)
+def main_panel_gate(spark, sf_dir):
+    """Users as sources and event types as cells of a panel: wanted cells, the same sources and texts in each, one configuration."""
+    odd = (F.col("user_id") % 13 == 5) & (F.col("event_type") == "click")
+    human = F.sha2(F.when(odd, "x").otherwise(F.col("user_id").cast("string")), 256)
+    rows = table(spark, sf_dir, "events").select(F.lit("scale").alias("suite"), F.col("event_type").alias("cell"), F.col("user_id").cast("string").alias("source_id"), human.alias("human_sha256"), F.lit("train").alias("split_origin")).distinct()
+    rows = cut(rows)
+    contracts = rows.select("suite", "cell").distinct().withColumns({"run_id": F.lit("run"), "config_sha256": F.when(F.col("cell") == "signup", "c1").otherwise("c0")})
+    return cells.panel_rules(rows, contracts, spark.createDataFrame([("scale", c) for c in _WANTED], "suite string, cell string"))
+
+
+@query(f"WITH v AS (SELECT * FROM ({_QUEUE_SQL}) UNION ALL SELECT * FROM ({_PANEL_SQL})) SELECT gate, rule, count(*) AS violations, 'FAILED' AS status FROM v GROUP BY 1, 2 UNION ALL SELECT 'all', '', count(*), CASE WHEN count(*) = 0 THEN 'PASSED' ELSE 'FAILED' END FROM v")
+def gate_run_all(spark, sf_dir):
+    """The log of the queue's and the panel's gates, rule by rule."""
+    return contracts.gate_run(cut(gates.gather(queue_gate(spark, sf_dir), main_panel_gate(spark, sf_dir))))

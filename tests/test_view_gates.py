@@ -8,7 +8,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sievemark.operators import gates, manifests, view_gates, views
+from sievemark.operators import detector, gates, manifests, view_gates, views
 from sievemark.sources import files
 
 
@@ -140,3 +140,10 @@ def test_whole_documents(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"status": "no"}')
     found = files.read_documents(spark, str(tmp_path), "status string, n int").collect()
     assert sorted((os.path.basename(r.path), r.status, r.n) for r in found) == [("a.json", "ok", 3), ("b.json", "no", None)]
+
+
+def test_a_fit_without_convergence_stops(spark):
+    rows = [(k, [float(k % 7), float(k * k % 11)], k % 2 == 0, "train" if k % 3 else "val") for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, vector array<double>, made boolean, split string")
+    with pytest.raises(RuntimeError, match="no convergence"):
+        detector.logistic_grid(df, "vector", "made", "split", (1.0,), max_iterations=1)
