@@ -162,7 +162,7 @@ def _ranges(told: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarra
     order = np.lexsort((tag, doc))
     doc, tag, low, high = doc[order], tag[order], low[order].astype(np.int64), high[order].astype(np.int64)
     edges = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(tag) != 0))).tolist() if len(doc) else []
-    return {(int(doc[a]), int(tag[a])): (low[a:b], high[a:b]) for a, b in zip(edges, [*edges[1:], len(doc)], strict=True)}
+    return {(int(doc[a]), int(tag[a])): (low[a:b], high[a:b]) for a, b in zip(edges, [*edges, len(doc)][1:], strict=True)}
 
 
 def _kept(table: pa.Table | pa.RecordBatch, ranges: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], size: int) -> list[pa.Array]:
