@@ -10,17 +10,20 @@ CHUNK_BYTES = 8 << 20
 _STEP = 4096
 
 
-def deal(docs: DataFrame, size: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, text, tag, copies and chunk of the rows with a doc_id; tag tells texts of one doc_id apart.
+def deal(docs: DataFrame, size: int, chunk_bytes: int = CHUNK_BYTES, nameless: bool = False) -> DataFrame:
+    """doc_id, text, tag, copies and chunk of the rows with a doc_id (``nameless``: of all rows); tag tells texts of one doc_id apart.
 
     ``size`` is the number of bytes of all texts. Where no doc_id is repeated, tag is zero, which packs to nothing. Else
     repeated rows are counted before they are dealt, so that no chunk gets many of them.
     """
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    own = (docs if nameless else docs.where("doc_id IS NOT NULL")).select(F.col("doc_id").cast("long"), "text")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     if own.groupBy("doc_id").count().where("count > 1").isEmpty():
-        own = own.select("doc_id", "text", F.lit(0).cast("long").alias("tag"), F.lit(1).cast("long").alias("copies"))
+        none = F.lit(0).cast("long")
+        tag = F.when(F.col("doc_id").isNull(), text_hash).otherwise(none) if nameless else none
+        own = own.select("doc_id", "text", tag.alias("tag"), F.lit(1).cast("long").alias("copies"))
     else:
-        own = own.groupBy("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")).agg(F.count(F.lit(1)).alias("copies"))
+        own = own.groupBy("doc_id", "text", text_hash.alias("tag")).agg(F.count(F.lit(1)).alias("copies"))
     return own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(max(1, -(-size // chunk_bytes)))).cast("int"))
 
 

@@ -1,20 +1,14 @@
-"""Count-min sketches merged from partitions, as packed cells of one or two bits.
+"""Count-min sketches of chunks, merged by ranges of cells.
 
-A partition describes its keys by cell numbers, grouped in blocks of 65,536 cells; blocks are merged by adding
-counts. The merged sketch keeps a frequency class for every cell and gives a key the smallest class of its
-cells, so a key's class is never below the class of its true count.
+A chunk describes its keys by cells and counts, which are merged by adding. The merged sketch keeps a frequency class for
+every cell and gives a key the smallest class of its cells, so a key's class is never below the class of its true count.
 
-A merged sketch is used in one of two ways. ``collect`` and ``Sketch``: it is broadcast, and its number of cells
-follows the expected number of keys until it takes ``MAX_BYTES``. With more keys than that the classes only become
-larger: callers lose speed, never keys. ``questions``, ``answers`` and ``classes``: it is never brought together.
-Chunks of the input send their cells to the owners of cell ranges, and get a class back for each; cells grow with the
-corpus without a limit, and an owner's range stays ``OWNER_CELLS``.
+A merged sketch is never brought together. Chunks of the input send their cells to the owners of cell ranges, and get
+a class back for each; cells grow with the corpus without a limit, and an owner's range stays ``OWNER_CELLS``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,23 +16,14 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 
-BLOCK = 1 << 16
-MAX_BYTES = 1 << 25
-MESSAGE_SCHEMA = "block int, part int, cells binary"
-MERGED_SCHEMA = "block int, classes binary"
-_SALTS = 16
+#: Cells of the smallest sketch.
+LEAST_CELLS = 1 << 16
 #: Cells of one owner: what a group of ``answers`` counts in, 16 MB.
 OWNER_CELLS = 1 << 22
 ASKED_SCHEMA = "owner int, chunk int, cells binary, counts binary"
 TOLD_SCHEMA = "chunk int, owner int, classes binary"
 
 
-def cells_for(keys: int, per_key: float = 4.0, bits: int = 2, most: int = MAX_BYTES) -> int:
-    """The number of cells for about ``keys`` keys: a power of two between one block and what ``most`` bytes hold."""
-    wanted = max(BLOCK, int(keys * per_key))
-    return min(most * 8 // bits, 1 << (wanted - 1).bit_length())
-
-
 def cell_numbers(keys: np.ndarray, cells: int, depth: int) -> list[np.ndarray]:
     """The cells of every key, one array for each row of the sketch."""
     mask = np.uint64(cells - 1)
@@ -48,120 +33,20 @@ def cell_numbers(keys: np.ndarray, cells: int, depth: int) -> list[np.ndarray]:
     return out
 
 
-def messages(keys: np.ndarray, cells: int, depth: int, part: int) -> pa.RecordBatch:
-    """What one slice sends: for each block its keys' cell offsets, two bytes each, sorted."""
-    numbers = np.concatenate(cell_numbers(keys, cells, depth)) if len(keys) else np.zeros(0, np.int64)
-    numbers.sort()
-    blocks = numbers >> 16
-    edges = np.flatnonzero(np.diff(blocks, prepend=-1)) if len(blocks) else np.zeros(0, np.int64)
-    offsets = (numbers & (BLOCK - 1)).astype("<u2")
-    ends = np.append(edges[1:], len(blocks)) if len(edges) else edges
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(blocks[edges].astype(np.int32)),
-            pa.array(np.full(len(edges), part % _SALTS, np.int32)),
-            pa.array([offsets[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary()),
-        ],
-        names=["block", "part", "cells"],
-    )
-
-
-def sketch_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], cells: int, depth: int) -> DataFrame:
-    """Messages of every slice of ``df``; ``keys_of`` yields 64-bit keys of a record batch, slice by slice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        for batch in batches:
-            held: list[np.ndarray] = []
-            size = 0
-            for keys in keys_of(batch):
-                held.append(keys)
-                size += len(keys)
-                if size >= 1 << 19:
-                    yield messages(np.concatenate(held), cells, depth, part)
-                    held, size = [], 0
-            if size:
-                yield messages(np.concatenate(held), cells, depth, part)
-
-    return df.mapInArrow(run, MESSAGE_SCHEMA)
-
-
 def _classes(counts: np.ndarray, bounds: tuple[int, ...]) -> np.ndarray:
     return np.searchsorted(np.asarray(bounds), counts, side="right").astype(np.uint8)
 
 
-def merge(sent: DataFrame, bounds: tuple[int, ...] = (2, 16, 256)) -> DataFrame:
-    """Add the partitions' sketches: first within salted parts, then over the parts of a block.
-
-    ``bounds`` are the smallest counts of classes 1, 2 and 3; a single bound makes cells of one bit.
-    """
-
-    def partly(table: pa.Table) -> pa.Table:
-        counts = np.zeros(BLOCK, dtype=np.uint32)
-        for x in table.column("cells").to_pylist():
-            counts += np.bincount(np.frombuffer(x, "<u2"), minlength=BLOCK).astype(np.uint32)
-        used = np.flatnonzero(counts)
-        packed = used.astype("<u2").tobytes() + np.minimum(counts[used], 65535).astype("<u2").tobytes()
-        return pa.table({"block": table.column("block")[:1], "cells": pa.array([packed], pa.binary())})
-
-    def fully(table: pa.Table) -> pa.Table:
-        counts = np.zeros(BLOCK, dtype=np.uint32)
-        for x in table.column("cells").to_pylist():
-            at, n = np.frombuffer(x, "<u2").reshape(2, -1)
-            counts[at] += n
-        c = _classes(counts, bounds)
-        if len(bounds) == 1:
-            packed = np.packbits(c, bitorder="little")
-        else:
-            c = c.reshape(-1, 4)
-            packed = c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
-        return pa.table({"block": table.column("block")[:1], "classes": pa.array([packed.tobytes()], pa.binary())})
-
-    parts = sent.groupBy("block", "part").applyInArrow(partly, "block int, cells binary")
-    return parts.groupBy("block").applyInArrow(fully, MERGED_SCHEMA)
-
-
-class Sketch:
-    """A merged sketch that a task can ask for the class of keys."""
-
-    def __init__(self, packed: np.ndarray, cells: int, depth: int) -> None:
-        self.packed, self.cells, self.depth = packed, cells, depth
-        self.bits = len(packed) * 8 // cells
-
-    def reaches(self, least: int) -> bool:
-        """Whether any cell's class is ``least`` or more (cells of two bits)."""
-        return any(bool(((self.packed >> shift & 3) >= least).any()) for shift in (0, 2, 4, 6))
-
-    def classes(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), (1 << self.bits) - 1, dtype=np.uint8)
-        step = 3 if self.bits == 1 else 2  # a byte holds 8 or 4 cells
-        for at in cell_numbers(keys, self.cells, self.depth):
-            held = self.packed[at >> step] >> ((at & ((1 << step) - 1)) * self.bits).astype(np.uint8)
-            np.minimum(out, held & ((1 << self.bits) - 1), out=out)
-        return out
-
-
-def collect(merged: DataFrame, cells: int, depth: int, bits: int = 2) -> Sketch:
-    """The merged sketch on the driver: ``MAX_BYTES`` at most, whatever the input."""
-    packed = np.zeros(cells * bits // 8, dtype=np.uint8)
-    size = BLOCK * bits // 8
-    for row in merged.toLocalIterator():
-        packed[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(bytes(row["classes"]), np.uint8)
-    return Sketch(packed, cells, depth)
-
-
 def growing_cells(keys: int, per_key: float) -> int:
     """The number of cells for about ``keys`` keys, however many: a power of two."""
-    return 1 << (max(BLOCK, int(keys * per_key)) - 1).bit_length()
+    return 1 << (max(LEAST_CELLS, int(keys * per_key)) - 1).bit_length()
 
 
 def _by_owner(at: np.ndarray) -> list[tuple[int, int, int]]:
     """(owner, first, end) of each owner's run of ascending cells."""
     owner = at // OWNER_CELLS
     edges = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
-    return [(int(owner[a]), a, b) for a, b in zip(edges, [*edges[1:], len(at)], strict=True)]
+    return [(int(owner[a]), a, b) for a, b in zip(edges, [*edges, len(at)][1:], strict=True)]
 
 
 def questions(chunk: int, keys: np.ndarray, cells: int, depth: int) -> pa.Table:

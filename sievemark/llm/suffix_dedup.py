@@ -4,7 +4,8 @@ Every window of ``size`` bytes is anchored at its minimizer: among its ``gram``-
 (or all of them, if none is small) the leftmost one with the smallest hash. Equal windows have the same anchor
 at the same place in them, so windows meet by anchor, and the windows of one anchor occurrence travel as one
 run of bytes, about three times the text for repeated anchors and nothing for others: a merged count-min sketch
-of the anchors tells which can be repeated.
+of the anchors tells which can be repeated. Texts are dealt once, by hash, to chunks; chunks ask the owners of ranges of
+the sketch's cells, which grow with the corpus, so that no task or driver holds them all.
 
 Runs of one anchor meet in one partition. Each partition cuts them into ``BLOCK``-byte symbols on a grid that
 the anchor fixes, builds the suffix array of the symbol sequences by linear Lyndon grouping
@@ -15,13 +16,13 @@ are compared themselves.
 Anchors that the sketch puts at ``HOT`` occurrences or more would fill one partition. Their runs are cut into
 ``PIECES`` overlapping pieces by how many bytes of a window lie before the anchor; all windows of a piece share a
 core of more than 350 bytes, and pieces meet by anchor, piece and core, so that equal windows still meet. A second
-sketch drops pieces whose core occurs once. Of equal pieces one travels to its group, with the number of
-occurrences; groups go through the same suffix arrays, and the ranges found are joined to the occurrences. A window
-takes the same way wherever it occurs, and no table has a row for each window.
+sketch, asked in the same way, drops pieces whose core occurs once. Of equal pieces one travels to its group, with the
+number of occurrences; groups go through the same suffix arrays, and the ranges found are joined to the occurrences. A window
+takes the same way wherever it occurs, and no table has a row for each window. Ranges go back to the chunks, which cut their texts.
 
 A null or empty text gives zeros and the hash of no bytes. Repeated rows are documents of their own: their texts
-occur elsewhere. Rows are told apart by doc_id and text, so a doc_id may repeat with other texts. Columns other
-than doc_id and text are ignored.
+occur elsewhere. They are counted and worked on once. Rows are told apart by doc_id and text, so a doc_id may repeat
+with other texts or be null. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
 from . import bytescan as bs
 from . import countmin as cm
+from .chunks import deal, repeat
 from .lyndon_suffix_array import suffix_array
 
 SIZE = 400
@@ -46,11 +48,15 @@ HOT = 4096
 PIECES = 8
 _RARE = 31
 _BUNDLE = 1 << 20
-_RUNS = "anchor long, lead int, body binary, doc_ids array<long>, tags array<long>, starts array<int>"
-#: First row, bytes and starts of a slice, and its runs: (group, place of the anchor, first byte, end, text).
-_Picked = tuple[int, bytes, np.ndarray, list[tuple[int, int, int, int, int]]]
-_RANGES = "doc_id long, tag long, ranges array<struct<start: int, stop: int>>"
-_FOUND = "doc_id long, tag long, start int, stop int"
+#: Text of a chunk: its pieces, eight for each hot anchor, are held at once.
+CHUNK_BYTES = 4 << 20
+#: Sketch cells for each anchor expected, and a key's cells.
+CELLS, DEPTH = 8, 2
+_RUNS = "anchor long, lead int, body binary, chunk int, doc_ids array<long>, tags array<long>, starts array<int>"
+#: A slice of a chunk: first row, bytes, starts, and its anchors' hashes, places, first and last windows and texts.
+_Anchored = tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]
+_FOUND = "chunk int, doc_ids array<long>, tags array<long>, starts array<int>, ranges array<struct<start: int, stop: int>>"
+_KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _previous(values: np.ndarray, places: np.ndarray, reach: int, strict: bool) -> np.ndarray:
@@ -118,60 +124,51 @@ def anchor_runs(data: np.ndarray, starts: np.ndarray, size: int, gram: int) -> t
     return hashes[place], place, np.concatenate(firsts), np.concatenate(lasts), np.concatenate(owners)
 
 
-def _anchors(batch: pa.RecordBatch, size: int, gram: int) -> Iterator[np.ndarray]:
-    for _, data, starts in bs.slices(batch.column("text")):
-        yield anchor_runs(data, starts, size, gram)[0]
+def _anchored(table: pa.Table, size: int, gram: int) -> list[_Anchored]:
+    return [(row, data, starts, anchor_runs(data, starts, size, gram)) for row, data, starts in bs.slices(table.column("text"))]
 
 
-def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    return ids, batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
+def _all(keys: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *keys])
 
 
-def _rows(batch: pa.RecordBatch, picked: Iterator[_Picked]) -> Iterator[pa.RecordBatch]:
-    """Rows of runs given as (group, place of the anchor, first byte, end, text); equal runs of a slice share one row."""
-    ids, tags = _ids(batch)
-    for row, raw, starts, runs in picked:
+def _picked(found: list[_Anchored], classes: np.ndarray) -> list[_Anchored]:
+    """The anchors that ``classes`` marks, over all slices of a chunk."""
+    edges = np.cumsum([0] + [len(x[3][0]) for x in found]).tolist()
+    return [(row, data, starts, tuple(x[classes[a:b]] for x in runs)) for (row, data, starts, runs), a, b in zip(found, edges[:-1], edges[1:], strict=True)]
+
+
+def _rows(chunk: int, table: pa.Table, found: list[_Anchored], size: int) -> pa.Table:
+    """Rows of a chunk's runs; equal runs of a slice share one row."""
+    ids, tags = (np.asarray(table.column(x).fill_null(-1).to_numpy(), dtype=np.int64) for x in ("doc_id", "tag"))
+    out = []
+    for row, data, starts, (group, place, first, last, owner) in found:
+        raw = data.tobytes()
         seen: dict[tuple[int, int, bytes], list[int]] = {}
-        for k, (h, p, a, b, _) in enumerate(runs):
+        for k, (h, p, a, b) in enumerate(zip(group.view(np.int64).tolist(), place.tolist(), first.tolist(), (last + size).tolist(), strict=True)):
             seen.setdefault((h, p - a, raw[a:b]), []).append(k)
-        if not seen:
-            continue
-        owner = np.array([x[4] for x in runs])
-        doc, tag, start = ids[row + owner], tags[row + owner], np.array([x[2] for x in runs]) - starts[owner]
         members = list(seen.values())
         flat = np.fromiter((k for m in members for k in m), np.int64)
         offsets = pa.array(np.cumsum([0] + [len(m) for m in members]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in seen], pa.int64()),
-                pa.array([k[1] for k in seen], pa.int32()),
-                pa.array([k[2] for k in seen], pa.binary()),
-                pa.ListArray.from_arrays(offsets, pa.array(doc[flat])),
-                pa.ListArray.from_arrays(offsets, pa.array(tag[flat])),
-                pa.ListArray.from_arrays(offsets, pa.array(start[flat].astype(np.int32))),
-            ],
-            names=["anchor", "lead", "body", "doc_ids", "tags", "starts"],
-        )
-
-
-def _runs(batch: pa.RecordBatch, sketch: cm.Sketch, size: int, gram: int) -> Iterator[_Picked]:
-    """Runs of anchors that may be repeated and aren't hot."""
-    for row, data, starts in bs.slices(batch.column("text")):
-        hashes, place, lo, hi, owner = anchor_runs(data, starts, size, gram)
-        pick = sketch.classes(hashes) == 1
-        runs = zip(*(x[pick].tolist() for x in (hashes.view(np.int64), place, lo, hi + size, owner)), strict=True)
-        yield row, data.tobytes(), starts, list(runs)
-
-
-def hot_pieces(data: np.ndarray, starts: np.ndarray, sketch: cm.Sketch, size: int, gram: int, pieces: int = PIECES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        lists = (ids[row + owner[flat]], tags[row + owner[flat]], (first - starts[owner])[flat].astype(np.int32))
+        plain = zip(zip(*seen, strict=True) if seen else ((), (), ()), (pa.int64(), pa.int32(), pa.binary()), strict=True)
+        columns = [pa.array(x, t) for x, t in plain] + [pa.array([chunk] * len(seen), pa.int32())]
+        out.append(pa.table(columns + [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists], names=_RUN_TYPES.names))
+    return pa.concat_tables([_RUN_TYPES.empty_table(), *out])
+
+
+_RUN_TYPES = pa.schema(
+    [("anchor", pa.int64()), ("lead", pa.int32()), ("body", pa.binary()), ("chunk", pa.int32())]
+    + [("doc_ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))]
+)
+
+
+def hot_pieces(data: np.ndarray, runs: tuple[np.ndarray, ...], size: int, gram: int, pieces: int = PIECES) -> tuple[np.ndarray, ...]:
     """Pieces of hot runs: group, place of the anchor, first and last window, text.
 
     A piece holds the windows with ``low`` to ``high`` bytes before the anchor; its core is what they have in common.
     """
-    hashes, place, lo, hi, owner = anchor_runs(data, starts, size, gram)
-    pick = sketch.classes(hashes) >= 2
-    hashes, place, lo, hi, owner = (x[pick] for x in (hashes, place, lo, hi, owner))
+    hashes, place, lo, hi, owner = runs
     bounds = np.linspace(0, size - gram + 1, min(pieces, size - gram + 1) + 1).astype(np.int64)
     out = []
     for k in range(len(bounds) - 1):
@@ -180,17 +177,7 @@ def hot_pieces(data: np.ndarray, starts: np.ndarray, sketch: cm.Sketch, size: in
         at = np.flatnonzero(first <= last)
         core = bs.span_hashes(data, place[at] - low, place[at] - high + size)
         out.append((bs.mix(hashes[at] ^ bs.mix(core + np.uint64(k))), place[at], first[at], last[at], owner[at]))
-    group, place, first, last, owner = (np.concatenate(x) for x in zip(*out, strict=True))
-    return group, place, first, last, owner
-
-
-def _pieces(batch: pa.RecordBatch, sketch: cm.Sketch, cores: cm.Sketch, size: int, gram: int) -> Iterator[_Picked]:
-    """Pieces of hot runs whose core may be repeated."""
-    for row, data, starts in bs.slices(batch.column("text")):
-        group, place, first, last, owner = hot_pieces(data, starts, sketch, size, gram)
-        pick = cores.classes(group) >= 1
-        runs = zip(*(x[pick].tolist() for x in (group.view(np.int64), place, first, last + size, owner)), strict=True)
-        yield row, data.tobytes(), starts, list(runs)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _intervals(text: np.ndarray, whole: int) -> np.ndarray:
@@ -327,133 +314,107 @@ def _bundles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[dic
         yield settle()
 
 
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else ([] for _ in schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+_RANGE = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+_FOUND_TYPES = pa.schema([*(_RUN_TYPES.field(x) for x in ("chunk", "doc_ids", "tags", "starts")), ("ranges", pa.list_(_RANGE))])
+_PIECE_TYPES = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("ranges", pa.list_(_RANGE))])
 
 
-_FOUND_TYPES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-_RANGE_TYPES = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-
-
-def _judge(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Runs to ranges of repeated windows of documents."""
-    for runs, ranges in _bundles(batches, size):
-        found = [
-            (doc, tag, start + x, start + y)
-            for rows, own in zip(runs.values(), ranges, strict=True)
-            for x, y in own
-            for docs, tags, starts, _ in rows
-            for doc, tag, start in zip(docs, tags, starts, strict=True)
-        ]
-        yield _table(found, _FOUND_TYPES)
-
-
-def _judge_pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct piece to ranges of its repeated windows."""
+def _judge(batches: Iterator[pa.RecordBatch], size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of runs with a repeated window, without anchor, bytes and number of occurrences, and with its ranges."""
     for runs, ranges in _bundles(batches, size):
-        yield _table([(one, two, x, y) for rows, own in zip(runs.values(), ranges, strict=True) for x, y in own for one, two, _ in rows], _RANGE_TYPES)
+        found = [(*row[:-1], [{"start": x, "stop": y} for x, y in own]) for rows, own in zip(runs.values(), ranges, strict=True) if own for row in rows]
+        columns = zip(*found, strict=True) if found else ([] for _ in schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def repeated_ranges(spark: SparkSession, docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, tag, ranges): ranges (start, stop) of window starts, in bytes, of windows that occur twice or more.
+def repeated_ranges(dealt: DataFrame, total: int, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """Ranges (start, stop) of window starts, in bytes from starts, of windows that occur twice or more in ``dealt`` texts.
 
-    ``docs`` has doc_id, text and tag, which tells texts of one doc_id apart.
+    ``dealt`` has chunk, doc_id, text and tag, which tells texts of one doc_id apart; ``total`` is the bytes of all texts.
     """
-    cells = cm.cells_for(cm.text_bytes(docs) // (size - gram) * 4)
-    sent = cm.sketch_keys(docs.select("text"), lambda batch: _anchors(batch, size, gram), cells, 2)
-    sketch = cm.collect(cm.merge(sent, (2, hot, 1 << 30)), cells, 2)
-    shared = spark.sparkContext.broadcast(sketch)
+    cells = cm.growing_cells(total // (size - gram) * 2, CELLS)
+    chunks = dealt.groupBy("chunk")
+
+    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return cm.questions(key[0].as_py(), _all([x[3][0] for x in _anchored(table, size, gram)]), cells, DEPTH)
+
+    def told_of(asked: DataFrame, bounds: tuple[int, ...]) -> DataFrame:
+        return asked.groupBy("owner").applyInArrow(lambda table: cm.answers(table, bounds), cm.TOLD_SCHEMA)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _rows(batch, _runs(batch, shared.value, size, gram))
+    def anchors_of(table: pa.Table, told: pa.Table) -> tuple[list[_Anchored], np.ndarray]:
+        found = _anchored(table, size, gram)
+        return found, cm.classes(_all([x[3][0] for x in found]), told, cells, DEPTH)
 
-    by_anchor = docs.mapInArrow(runs, _RUNS).withColumn("n", F.size("doc_ids")).repartition("anchor").sortWithinPartitions("anchor")
-    judged = by_anchor.mapInArrow(lambda batches: _judge(batches, size), _FOUND).select("doc_id", "tag", F.array(F.struct("start", "stop")).alias("ranges"))
-    if not sketch.reaches(2):
-        return judged
+    def runs(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
+        found, classes = anchors_of(table, told)
+        return _rows(key[0].as_py(), table, _picked(found, classes == 1), size)
 
-    def cores_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, data, starts in bs.slices(batch.column("text")):
-            yield hot_pieces(data, starts, shared.value, size, gram)[0]
+    def pieces_of(table: pa.Table, told: pa.Table) -> list[_Anchored]:
+        found, classes = anchors_of(table, told)
+        return [(row, data, starts, hot_pieces(data, own, size, gram)) for row, data, starts, own in _picked(found, classes >= 2)]
 
-    sent = cm.sketch_keys(docs.select("text"), cores_of, cells, 2)
-    cores = spark.sparkContext.broadcast(cm.collect(cm.merge(sent), cells, 2))
+    def ask_cores(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
+        return cm.questions(key[0].as_py(), _all([x[3][0] for x in pieces_of(table, told)]), cells, DEPTH)
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def pieces(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
+        anchors, cores = (told.filter(pc.equal(told.column("kind"), k)) for k in range(2))
+        found = pieces_of(table, anchors)
+        return _rows(key[0].as_py(), table, _picked(found, cm.classes(_all([x[3][0] for x in found]), cores, cells, DEPTH) >= 1), size)
 
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for rows in _rows(batch, _pieces(batch, shared.value, cores.value, size, gram)):
-                number += 1
-                yield rows.append_column("slice", pa.array(np.full(rows.num_rows, number)))
+    told = told_of(chunks.applyInArrow(ask, cm.ASKED_SCHEMA), (2, hot, 65535))
+    by_anchor = chunks.cogroup(told.groupBy("chunk")).applyInArrow(runs, _RUNS).withColumn("n", F.size("doc_ids"))
+    judged = by_anchor.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _judge(batches, size, _FOUND_TYPES), _FOUND)
 
+    cores = told_of(chunks.cogroup(told.groupBy("chunk")).applyInArrow(ask_cores, cm.ASKED_SCHEMA), (2, 65534, 65535))
+    both = told.withColumn("kind", F.lit(0)).unionByName(cores.withColumn("kind", F.lit(1)))
     key = ("anchor", "lead", "body")
-    hot = cut(docs.mapInArrow(pieces, f"{_RUNS}, slice long").withColumns({"one": F.xxhash64(*key), "two": F.xxhash64(F.lit(1), *key)}))
-    single = hot.groupBy("anchor", "one", "two").agg(F.first("lead").alias("lead"), F.first("body").alias("body"), F.sum(F.size("doc_ids")).alias("n"))
-    ranges = single.select(*key, "one", "two", "n").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _judge_pieces(batches, size), "one long, two long, start int, stop int")
-    # occurrences stay packed in the rows of their slice; a slice gives one row for each of its texts
-    met = hot.select("one", "two", "slice", "doc_ids", "tags", "starts").join(ranges.groupBy("one", "two").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), ["one", "two"])
-    found = met.drop("one", "two").groupBy("slice").applyInArrow(_by_text, _RANGES)
-    return judged.union(found)
-
-
-def _by_text(table: pa.Table) -> pa.Table:
-    """Ranges of the runs of one slice, as ranges of its texts, overlapping and touching ones joined."""
-    parts: list[tuple[np.ndarray, ...]] = []
-    for docs, tags, starts, ranges in zip(*(table.column(c).to_pylist() for c in ("doc_ids", "tags", "starts", "ranges")), strict=True):
-        at = np.array(starts, dtype=np.int64)
-        parts += [(np.array(docs, dtype=np.int64), np.array(tags, dtype=np.int64), at + r["start"], at + r["stop"]) for r in ranges]
+    hot_runs = chunks.cogroup(both.groupBy("chunk")).applyInArrow(pieces, _RUNS).withColumns({"one": F.xxhash64(*key), "two": F.xxhash64(F.lit(1), *key)})
+    single = hot_runs.groupBy("anchor", "one", "two").agg(F.first("lead").alias("lead"), F.first("body").alias("body"), F.sum(F.size("doc_ids")).alias("n"))
+    ranges = single.select(*key, "one", "two", "n").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _judge(batches, size, _PIECE_TYPES), "one long, two long, ranges array<struct<start: int, stop: int>>")
+    # occurrences stay packed in the rows of their slice
+    met = hot_runs.select("one", "two", "chunk", "doc_ids", "tags", "starts").join(ranges, ["one", "two"]).drop("one", "two")
+    return judged.unionByName(met)
+
+
+def _ranges(found: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """First and last starts of repeated windows by (doc_id, tag)."""
+    parts = [tuple(np.zeros(0, np.int64) for _ in range(4))]
+    for docs, tags, starts, ranges in zip(*(found.column(c).to_pylist() for c in ("doc_ids", "tags", "starts", "ranges")), strict=True):
+        doc, tag, at = (np.array(x, dtype=np.int64) for x in (docs, tags, starts))
+        parts += [(doc, tag, at + r["start"], at + r["stop"]) for r in ranges]
     doc, tag, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-    by = np.lexsort((low, tag, doc))
-    out: dict[tuple[int, int], list[dict[str, int]]] = {}
-    for d, t, a, b in zip(*(x[by].tolist() for x in (doc, tag, low, high)), strict=True):
-        own = out.setdefault((d, t), [])
-        if own and a <= own[-1]["stop"] + 1:
-            own[-1]["stop"] = max(own[-1]["stop"], b)
-        else:
-            own.append({"start": a, "stop": b})
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    return pa.table({"doc_id": pa.array([k[0] for k in out], pa.int64()), "tag": pa.array([k[1] for k in out], pa.int64()), "ranges": pa.array(list(out.values()), kind)})
-
-
-def _kept(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
-    marks = batch.column("ranges")
-    offsets = marks.offsets.to_numpy()
-    values = marks.values
-    lows, highs = values.field("start").to_numpy(zero_copy_only=False), values.field("stop").to_numpy(zero_copy_only=False)
+    by = np.lexsort((tag, doc))
+    doc, tag, low, high = doc[by], tag[by], low[by], high[by]
+    edges = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(tag) != 0))).tolist() if len(doc) else []
+    return {(int(doc[a]), int(tag[a])): (low[a:b], high[a:b]) for a, b in zip(edges, [*edges, len(doc)][1:], strict=True)}
+
+
+def _kept(table: pa.Table, found: pa.Table, size: int) -> pa.Table:
+    """What is left of every text of a chunk; a text with copies occurs elsewhere as a whole."""
+    ranges = _ranges(found)
+    names = list(zip(table.column("doc_id").fill_null(-1).to_pylist(), table.column("tag").to_pylist(), strict=True))
+    copies = table.column("copies").to_pylist()
     n_bytes, n_removed, n_spans, digests = [], [], [], []
-    for row, data, starts in bs.slices(batch.column("text")):
+    for row, data, starts in bs.slices(table.column("text")):
         for i in range(len(starts) - 1):
             mine = data[starts[i] : starts[i + 1] - 1]
-            a, b = offsets[row + i], offsets[row + i + 1]
-            gone = np.zeros(0, bool)
-            if b > a:
-                gone = bs.covered(len(mine), lows[a:b].astype(np.int64), highs[a:b].astype(np.int64) - lows[a:b] + size)
-                kept = mine[~gone]
-            else:
-                kept = mine
+            gone = np.full(len(mine), copies[row + i] > 1 and len(mine) >= size)
+            if names[row + i] in ranges:
+                low, high = ranges[names[row + i]]
+                gone |= bs.covered(len(mine), low, high - low + size)
+            kept = mine[~gone]
             n_bytes.append(len(mine))
             n_removed.append(len(mine) - len(kept))
             n_spans.append(int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)))
             digests.append(hashlib.sha256(kept.tobytes()).hexdigest())
-    return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(digests, pa.string())],
-        names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-    )
+    columns = [table.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(digests, pa.string()), table.column("copies")]
+    return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "copies"])
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row per document: bytes, bytes removed, maximal removed runs, SHA-256 of the bytes kept."""
-    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
-    found = repeated_ranges(spark, docs, size, gram, hot).groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("mark")).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    joined = docs.join(found, (F.coalesce("doc_id", F.lit(-1)) == F.col("id")) & (F.col("tag") == F.col("mark")), "left")
-    joined = joined.select("doc_id", "text", F.coalesce("ranges", F.array().cast("array<struct<start:int,stop:int>>")).alias("ranges"))
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _kept(batch, size)
-
-    return joined.mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    total = cm.text_bytes(docs)
+    dealt = deal(docs, total, CHUNK_BYTES, nameless=True)
+    found = repeated_ranges(dealt, total, size, gram, hot)
+    rows = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda table, ranges: _kept(table, ranges, size), f"{_KEPT}, copies long")
+    return repeat(rows)

@@ -68,7 +68,7 @@ REPEATED = [*ODD, ODD[5], ODD[5], ODD[1], (12, "a b c d")]
 CASES = {
     "exact": (exact_classes, exact, ("doc_id", "keep_id", "group_size", "kept", "text_sha256"), REPEATED + [(None, "one two three"), (None, "only null")]),
     "near": (near_classes, near, ("doc_id", "n_shingles", "component_id"), [*REPEATED, (None, "one two three"), (None, None), (3, "one two three"), (19, "a b c d"), (19, LONG)]),
-    "suffix": (suffix_dedup, suffix, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), REPEATED),
+    "suffix": (suffix_dedup, suffix, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), [*REPEATED, (None, LONG), (None, "only null"), (-1, LONG)]),
     "substring": (substring_dedup, substring, ("doc_id", "n_words", "n_removed", "kept_sha256"), [*REPEATED, (18, "short"), (9, PASSAGE), (None, PASSAGE), (7, "x " + LONG)]),
 }
 
@@ -257,3 +257,20 @@ def test_planes():
     for kind in ("<i4", "<i8", "<u4"):
         for values in (np.zeros(0, kind), np.arange(-3, 300).astype(kind)):
             assert (bytescan.unplanes(bytescan.planes(values), kind) == values).all()
+
+
+@pytest.mark.parametrize("name", ["suffix", "substring", "near"])
+def test_tables_of_short_texts_only(spark, name):
+    """Chunks without a window ask owners of cells for nothing."""
+    ours, brute, columns, _ = CASES[name]
+    rows = [(1, "a b"), (2, None), (3, ""), (4, "a b"), (None, "c")]
+    assert rows_of(ours(spark, frame(spark, rows)), *columns) == sorted(brute(rows), key=repr)
+
+
+@pytest.mark.parametrize("name", ["suffix", "substring"])
+def test_a_document_a_chunk(spark, monkeypatch, name):
+    """Chunks of one document, of which some are told windows that cover nothing of theirs."""
+    ours, brute, columns, _ = CASES[name]
+    monkeypatch.setattr(f"sievemark.llm.{name}_dedup.CHUNK_BYTES", 300)
+    rows = [(i, f"a{i} {PASSAGE if i % 3 else ''} b{i} " + " ".join(f"own{i}x{k}" for k in range(60))) for i in range(12)]
+    assert rows_of(ours(spark, frame(spark, rows)), *columns) == sorted(brute(rows), key=repr)
