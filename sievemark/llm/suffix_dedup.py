@@ -52,7 +52,7 @@ _BUNDLE = 1 << 20
 CHUNK_BYTES = 4 << 20
 #: Sketch cells for each anchor expected, and a key's cells.
 CELLS, DEPTH = 8, 2
-_RUNS = "anchor long, lead int, body binary, chunk int, doc_ids array<long>, tags array<long>, starts array<int>"
+_RUNS = "anchor long, lead int, body binary, chunk int, doc_ids array<long>, tags array<long>, starts array<int>, hot boolean"
 #: A slice of a chunk: first row, bytes, starts, and its anchors' hashes, places, first and last windows and texts.
 _Anchored = tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]
 _FOUND = "chunk int, doc_ids array<long>, tags array<long>, starts array<int>, ranges array<struct<start: int, stop: int>>"
@@ -138,7 +138,7 @@ def _picked(found: list[_Anchored], classes: np.ndarray) -> list[_Anchored]:
     return [(row, data, starts, tuple(x[classes[a:b]] for x in runs)) for (row, data, starts, runs), a, b in zip(found, edges[:-1], edges[1:], strict=True)]
 
 
-def _rows(chunk: int, table: pa.Table, found: list[_Anchored], size: int) -> pa.Table:
+def _rows(chunk: int, table: pa.Table, found: list[_Anchored], size: int, hot: bool) -> pa.Table:
     """Rows of a chunk's runs; equal runs of a slice share one row."""
     ids, tags = (np.asarray(table.column(x).fill_null(-1).to_numpy(), dtype=np.int64) for x in ("doc_id", "tag"))
     out = []
@@ -153,13 +153,13 @@ def _rows(chunk: int, table: pa.Table, found: list[_Anchored], size: int) -> pa.
         lists = (ids[row + owner[flat]], tags[row + owner[flat]], (first - starts[owner])[flat].astype(np.int32))
         plain = zip(zip(*seen, strict=True) if seen else ((), (), ()), (pa.int64(), pa.int32(), pa.binary()), strict=True)
         columns = [pa.array(x, t) for x, t in plain] + [pa.array([chunk] * len(seen), pa.int32())]
-        out.append(pa.table(columns + [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists], names=_RUN_TYPES.names))
+        out.append(pa.table(columns + [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists] + [pa.array([hot] * len(seen), pa.bool_())], names=_RUN_TYPES.names))
     return pa.concat_tables([_RUN_TYPES.empty_table(), *out])
 
 
 _RUN_TYPES = pa.schema(
     [("anchor", pa.int64()), ("lead", pa.int32()), ("body", pa.binary()), ("chunk", pa.int32())]
-    + [("doc_ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))]
+    + [("doc_ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("hot", pa.bool_())]
 )
 
 
@@ -314,6 +314,45 @@ def _bundles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[dic
         yield settle()
 
 
+def _hot_pieces(table: pa.Table, size: int, gram: int) -> list[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]]:
+    """Bytes and row bounds of hot runs, by slices, and their pieces, whose texts are the runs' rows."""
+    bodies = table.column("body").to_pylist()
+    anchors, leads = table.column("anchor").to_numpy().view(np.uint64), table.column("lead").to_numpy().astype(np.int64)
+    sizes = np.array([len(x) for x in bodies], dtype=np.int64)
+    part = (np.cumsum(sizes) - sizes) // bs.SLICE_BYTES
+    out = []
+    for rows in np.split(np.arange(len(bodies)), np.flatnonzero(np.diff(part)) + 1):
+        data = np.frombuffer(b"".join([bodies[r] for r in rows.tolist()]), dtype=np.uint8)
+        begin = np.cumsum(sizes[rows]) - sizes[rows]
+        origin = np.zeros(len(bodies), np.int64)
+        origin[rows] = begin
+        out.append((data, origin, hot_pieces(data, (anchors[rows], begin + leads[rows], begin, begin + sizes[rows] - size, rows), size, gram)))
+    return out
+
+
+def _piece_rows(table: pa.Table, told: pa.Table, cells: int, size: int, gram: int) -> pa.Table:
+    """Rows of the pieces of a chunk's hot runs whose core may be repeated; equal pieces share one row."""
+    found = _hot_pieces(table, size, gram)
+    many = cm.classes(_all([x[2][0] for x in found]), told, cells, DEPTH) >= 1
+    docs, tags, starts = (table.column(x).to_pylist() for x in ("doc_ids", "tags", "starts"))
+    seen: dict[tuple[int, int, bytes], tuple[list[int], list[int], list[int]]] = {}
+    done = 0
+    for data, origin, (group, *rest) in found:
+        pick = many[done : done + len(group)]
+        done += len(group)
+        raw = data.tobytes()
+        for h, p, a, b, r in zip(*(x[pick].tolist() for x in (group.view(np.int64), *rest)), strict=True):
+            own = seen.setdefault((h, p - a, raw[a : b + size]), ([], [], []))
+            own[0].extend(docs[r])
+            own[1].extend(tags[r])
+            shift = a - int(origin[r])
+            own[2].extend([x + shift for x in starts[r]])
+    chunk = table.column("chunk")[0].as_py() if len(table) else 0
+    rows = [(*key, chunk, *own, True) for key, own in seen.items()]
+    columns = zip(*rows, strict=True) if rows else ([] for _ in _RUN_TYPES)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _RUN_TYPES, strict=True)], schema=_RUN_TYPES)
+
+
 _RANGE = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
 _FOUND_TYPES = pa.schema([*(_RUN_TYPES.field(x) for x in ("chunk", "doc_ids", "tags", "starts")), ("ranges", pa.list_(_RANGE))])
 _PIECE_TYPES = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("ranges", pa.list_(_RANGE))])
@@ -341,37 +380,32 @@ def repeated_ranges(dealt: DataFrame, total: int, size: int = SIZE, gram: int =
     def told_of(asked: DataFrame, bounds: tuple[int, ...]) -> DataFrame:
         return asked.groupBy("owner").applyInArrow(lambda table: cm.answers(table, bounds), cm.TOLD_SCHEMA)
 
-    def anchors_of(table: pa.Table, told: pa.Table) -> tuple[list[_Anchored], np.ndarray]:
-        found = _anchored(table, size, gram)
-        return found, cm.classes(_all([x[3][0] for x in found]), told, cells, DEPTH)
-
     def runs(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
-        found, classes = anchors_of(table, told)
-        return _rows(key[0].as_py(), table, _picked(found, classes == 1), size)
-
-    def pieces_of(table: pa.Table, told: pa.Table) -> list[_Anchored]:
-        found, classes = anchors_of(table, told)
-        return [(row, data, starts, hot_pieces(data, own, size, gram)) for row, data, starts, own in _picked(found, classes >= 2)]
+        found = _anchored(table, size, gram)
+        classes = cm.classes(_all([x[3][0] for x in found]), told, cells, DEPTH)
+        return pa.concat_tables([_rows(key[0].as_py(), table, _picked(found, pick), size, hot) for hot, pick in ((False, classes == 1), (True, classes >= 2))])
 
-    def ask_cores(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
-        return cm.questions(key[0].as_py(), _all([x[3][0] for x in pieces_of(table, told)]), cells, DEPTH)
+    def ask_cores(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.filter(table.column("hot"))
+        # a row with several occurrences counts twice, which is enough
+        times = np.minimum(pc.list_value_length(table.column("doc_ids")).to_numpy(), 2)
+        return cm.questions(key[0].as_py(), _all([np.repeat(own[0], times[own[-1]]) for _, _, own in _hot_pieces(table, size, gram)]), cells, DEPTH)
 
-    def pieces(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
-        anchors, cores = (told.filter(pc.equal(told.column("kind"), k)) for k in range(2))
-        found = pieces_of(table, anchors)
-        return _rows(key[0].as_py(), table, _picked(found, cm.classes(_all([x[3][0] for x in found]), cores, cells, DEPTH) >= 1), size)
+    def pieces(table: pa.Table, told: pa.Table) -> pa.Table:
+        return _piece_rows(table.filter(table.column("hot")), told, cells, size, gram)
 
     told = told_of(chunks.applyInArrow(ask, cm.ASKED_SCHEMA), (2, hot, 65535))
-    by_anchor = chunks.cogroup(told.groupBy("chunk")).applyInArrow(runs, _RUNS).withColumn("n", F.size("doc_ids"))
+    # runs meet again by chunk in one shuffle, which all that follows reads, as anchors are dear to find
+    met_runs = chunks.cogroup(told.groupBy("chunk")).applyInArrow(runs, _RUNS).groupBy("chunk")
+    by_anchor = met_runs.applyInArrow(lambda table: table.filter(pc.invert(table.column("hot"))), _RUNS).drop("hot").withColumn("n", F.size("doc_ids"))
     judged = by_anchor.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _judge(batches, size, _FOUND_TYPES), _FOUND)
 
-    cores = told_of(chunks.cogroup(told.groupBy("chunk")).applyInArrow(ask_cores, cm.ASKED_SCHEMA), (2, 65534, 65535))
-    both = told.withColumn("kind", F.lit(0)).unionByName(cores.withColumn("kind", F.lit(1)))
+    cores = told_of(met_runs.applyInArrow(ask_cores, cm.ASKED_SCHEMA), (2, 65534, 65535))
     key = ("anchor", "lead", "body")
-    hot_runs = chunks.cogroup(both.groupBy("chunk")).applyInArrow(pieces, _RUNS).withColumns({"one": F.xxhash64(*key), "two": F.xxhash64(F.lit(1), *key)})
+    hot_runs = met_runs.cogroup(cores.groupBy("chunk")).applyInArrow(pieces, _RUNS).withColumns({"one": F.xxhash64(*key), "two": F.xxhash64(F.lit(1), *key)})
     single = hot_runs.groupBy("anchor", "one", "two").agg(F.first("lead").alias("lead"), F.first("body").alias("body"), F.sum(F.size("doc_ids")).alias("n"))
     ranges = single.select(*key, "one", "two", "n").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _judge(batches, size, _PIECE_TYPES), "one long, two long, ranges array<struct<start: int, stop: int>>")
-    # occurrences stay packed in the rows of their slice
+    # occurrences stay packed in the rows of their chunk
     met = hot_runs.select("one", "two", "chunk", "doc_ids", "tags", "starts").join(ranges, ["one", "two"]).drop("one", "two")
     return judged.unionByName(met)
 
