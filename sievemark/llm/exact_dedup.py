@@ -1,15 +1,16 @@
 """Exact dedup by an exchange of Golomb-coded fingerprints.
 
-1. Each slice of documents fingerprints its normalised texts (64 bits), sorts the distinct fingerprints and sends
-   every owner its hash range as Golomb-Rice coded gaps. A text held twice in the slice is marked there.
+1. Each partition of documents fingerprints its normalised texts (64 bits), sorts the distinct fingerprints and sends
+   every owner its hash range as Golomb-Rice coded gaps. A text held twice in the partition is marked there. A
+   partition of more than ``MESSAGE_KEYS`` documents sends in several turns, so that it never holds more of them.
 2. Each owner decodes its messages, finds fingerprints sent more than once, and returns one bitmap to each sender.
 3. Documents whose bit is set (or that were marked) are suspects. Only their texts are shuffled, and texts are
    grouped by their bytes, so equal fingerprints of different texts part again.
 
 The ledger of a message (doc_ids and SHA-256 in message order, about 45 bytes a document) is written once to the
 shared checkpoint folder, so messages and bitmaps stay matched when executors are lost. Owners are as many as
-``OWNER_KEYS`` documents each need; a slice sends a fingerprint once, so a text that a third of all documents
-hold adds one entry for a slice. Text groups are aggregated before they are shuffled; the join that hands the
+``OWNER_KEYS`` documents each need; a turn sends a fingerprint once, so a text that a third of all documents
+hold adds one entry for a turn. Text groups are aggregated before they are shuffled; the join that hands the
 result back to the members is on a key that AQE may split.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the largest doc_id
@@ -31,6 +32,8 @@ from ..session import cut
 from . import bytescan as bs
 
 OWNER_KEYS = 1 << 20
+#: Documents of a partition, by about 60 bytes each, whose fingerprints are sent in one turn.
+MESSAGE_KEYS = 1 << 19
 #: Suspects, by 16 bytes each, that may be broadcast to pick their texts out of the corpus.
 BROADCAST_SUSPECTS = 1 << 19
 _LEDGER = "owner int, sender binary, coded binary, rice int, n int, places array<int>, doc_ids array<long>, shas array<binary>, marked array<boolean>"
@@ -81,32 +84,55 @@ def _fingerprints(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
     return np.concatenate(prints) if prints else np.zeros(0, np.uint64), shas
 
 
-def _ledger(batches: Iterator[pa.RecordBatch], owners: int) -> Iterator[pa.RecordBatch]:
+def _messages(prints: np.ndarray, ids: pa.Array, shas: pa.Array, sender: bytes, owners: int) -> pa.RecordBatch:
+    """A message for each owner that has fingerprints here, and the documents behind it in the message's order."""
+    width = np.uint64((1 << 64) // owners + 1) if owners > 1 else None
+    order = np.argsort(prints, kind="stable")
+    prints = prints[order]
+    owner = (prints // width).astype(np.int64) if width is not None else np.zeros(len(prints), np.int64)
+    # fingerprints are in order, so an owner's are next to each other; owners without one cost nothing
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    bounds = np.append(starts, len(owner))
+    present = owner[starts]
+    coded, bits, sizes = [], [], []
+    places, marked = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for o, a, b in zip(present.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        values, place, counts = np.unique(prints[a:b], return_inverse=True, return_counts=True)
+        rice = rice_bits(len(values), 64 - max(owners - 1, 0).bit_length())
+        coded.append(golomb_encode(values - (np.uint64(o) * width if width is not None else np.uint64(0)), rice))
+        bits.append(rice)
+        sizes.append(len(values))
+        places.append(place)
+        marked.append(counts[place] > 1)
+    offsets, taken = pa.array(bounds, pa.int32()), pa.array(order)
+    told = (pa.array(np.concatenate(places), pa.int32()), ids.take(taken), shas.take(taken), pa.array(np.concatenate(marked)))
+    plain = (pa.array(present, pa.int32()), pa.array([sender] * len(present), pa.binary()), pa.array(coded, pa.binary()), pa.array(bits, pa.int32()), pa.array(sizes, pa.int32()))
+    names = ["owner", "sender", "coded", "rice", "n", "places", "doc_ids", "shas", "marked"]
+    return pa.RecordBatch.from_arrays([*plain, *(pa.ListArray.from_arrays(offsets, x) for x in told)], names=names)
+
+
+def _ledger(batches: Iterator[pa.RecordBatch], owners: int, most: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    width = np.uint64((1 << 64) // owners + 1) if owners > 1 else None
-    for number, batch in enumerate(batches):
-        prints, shas = _fingerprints(batch)
-        ids = batch.column("doc_id").to_pylist()
-        order = np.argsort(prints, kind="stable")
-        prints = prints[order]
-        owner = (prints // width).astype(np.int64) if width is not None else np.zeros(len(prints), np.int64)
-        sender = f"{TaskContext.get().partitionId()}/{number}".encode()
-        # fingerprints are in order, so an owner's are next to each other; owners without one cost nothing
-        starts = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
-        rows = []
-        for a, b in zip(starts, [*starts[1:], len(owner)], strict=False):
-            o = int(owner[a])
-            values, places, counts = np.unique(prints[a:b], return_inverse=True, return_counts=True)
-            rice = rice_bits(len(values), 64 - max(owners - 1, 0).bit_length())
-            members = order[a:b].tolist()
-            base = np.uint64(o) * width if width is not None else np.uint64(0)
-            rows.append((o, sender, golomb_encode(values - base, rice), rice, len(values), places.tolist(), [ids[m] for m in members], [shas[m] for m in members], (counts[places] > 1).tolist()))
-        if rows:
-            columns = list(zip(*rows, strict=True))
-            types = (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.bool_()))
-            names = ["owner", "sender", "coded", "rice", "n", "places", "doc_ids", "shas", "marked"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+    prints: list[np.ndarray] = []
+    ids: list[pa.Array] = []
+    shas: list[pa.Array] = []
+    turn = 0
+
+    def send() -> pa.RecordBatch:
+        sender = f"{TaskContext.get().partitionId()}/{turn}".encode()
+        return _messages(np.concatenate(prints), pa.concat_arrays(ids), pa.concat_arrays(shas), sender, owners)
+
+    for batch in batches:
+        own, digests = _fingerprints(batch)
+        prints.append(own)
+        ids.append(batch.column("doc_id").cast(pa.int64()))
+        shas.append(pa.array(digests, pa.binary()))
+        if sum(map(len, prints)) >= most:
+            yield send()
+            prints, ids, shas, turn = [], [], [], turn + 1
+    if sum(map(len, prints)):
+        yield send()
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -122,9 +148,9 @@ def _answer(table: pa.Table) -> pa.Table:
 def exact_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = docs.select("doc_id", "text")
-    n = docs.count()
+    n, most = docs.count(), MESSAGE_KEYS
     owners = max(1, -(-n // OWNER_KEYS), min(64, n // 4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ledger = cut(docs.mapInArrow(lambda batches: _ledger(batches, owners), _LEDGER))
+    ledger = cut(docs.mapInArrow(lambda batches: _ledger(batches, owners, most), _LEDGER))
     answers = ledger.select("owner", "sender", "coded", "rice", "n").groupBy("owner").applyInArrow(_answer, "owner int, sender binary, bitmap binary")
     told = ledger.drop("coded", "rice", "n").join(answers, ["owner", "sender"])
     member = F.explode(F.arrays_zip("places", "doc_ids", "shas", "marked")).alias("m")

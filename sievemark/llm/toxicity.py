@@ -6,10 +6,11 @@ that a clean text holds once by chance), hashed to ``DIMENSIONS`` places. The mo
 for each feature, shared by all thresholds: P(grade > k) = sigmoid(w.x - b_k) with b_0 < b_1 < ..., so the expected
 severity is the sum of these probabilities. A document is toxic when P(grade > 0) is ``REJECT`` or more.
 
-The fit uses a bounded sample of labelled rows: of each grade about ``FIT_ROWS`` rows, those of the smallest hashes
-of doc_id. Sampled ids are few by construction and are broadcast to pick texts; executors send each sampled
-document's features, four bytes each, to the driver. Features kept are those whose presence goes with
-toxicity by a chi-square test; the penalised likelihood is then maximised by adaptive gradient steps.
+The fit uses a bounded sample of labelled rows: of each grade about ``FIT_ROWS`` doc_ids, those of the smallest hashes.
+Sampled ids are few by construction and are broadcast to pick texts; executors send each sampled
+document's features, four bytes each, to the driver. A sampled doc_id counts once, however often ``documents`` has it:
+of its texts the one whose features come last as bytes. Features kept are all those whose presence goes with toxicity
+by a chi-square test; the penalised likelihood is then maximised by adaptive gradient steps.
 Scoring is one narrow pass over the documents: no shuffle and no join.
 
 A null or empty text has no features and so the intercepts' score. Repeated rows are scored alike. Labels: a null
@@ -36,8 +37,6 @@ PREFIX_BYTES = (4, 5, 6, 7, 8)
 REPEATS = (2, 3, 5)
 #: Labelled rows of each grade that the fit uses, about.
 FIT_ROWS = 2500
-#: Features kept at most, those with the largest chi-square values.
-MOST_FEATURES = 1 << 14
 #: The 0.999 quantile of chi-square with one degree of freedom.
 CHI_SQUARE = 10.83
 PENALTY = 0.1
@@ -143,8 +142,6 @@ def fit(features: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY
     spread = np.maximum(expected * (1 - t / n) * (1 - in_all / n), 1e-9)
     chi = np.where((in_all >= 3) & (in_all < n), (in_toxic - expected) ** 2 / spread, 0.0)
     kept = np.flatnonzero(chi >= CHI_SQUARE)
-    if len(kept) > MOST_FEATURES:
-        kept = np.sort(kept[np.argsort(-chi[kept], kind="stable")[:MOST_FEATURES]])
     place = np.full(DIMENSIONS, -1)
     place[kept] = np.arange(len(kept))
     use = place[column] >= 0
@@ -181,8 +178,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     if not counts:
         return docs.sparkSession.createDataFrame([], "grade int, features binary")
     limit = F.element_at(F.create_map(*[x for g, c in counts.items() for x in (F.lit(g), F.lit(fit_rows / c))]), F.col("grade"))
-    picked = graded.where(share < limit).select(F.col("doc_id").alias("labelled"), F.col("grade").cast("int").alias("grade"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("labelled")).select("grade", "text")
+    picked = graded.where(share < limit).select(F.col("doc_id").cast("long").alias("labelled"), F.col("grade").cast("int").alias("grade"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("labelled")).select("labelled", "grade", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,9 +188,10 @@ def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
                 doc, key = document_features(data, starts)
                 edges = np.searchsorted(doc, np.arange(len(starts)))
                 packed += [key[x:y].astype("<i4").tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(packed, pa.binary())], names=["grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("labelled"), batch.column("grade"), pa.array(packed, pa.binary())], names=["labelled", "grade", "features"])
 
-    return texts.mapInArrow(extract, "grade int, features binary")
+    found = texts.mapInArrow(extract, "labelled long, grade int, features binary")
+    return found.groupBy("labelled", "grade").agg(F.max("features").alias("features")).drop("labelled")
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> SeverityModel:

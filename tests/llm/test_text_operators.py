@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sievemark.llm import bytescan, countmin
 from sievemark.llm.decontamination import contamination, decontaminate, patterns_of
+from sievemark.llm import exact_dedup as exact_module
 from sievemark.llm.exact_dedup import exact_classes, exact_dedup
 from sievemark.llm.lm_scoring import BACKOFF, ORDER, lm_scores
 from sievemark.llm.mixing import mix
@@ -274,3 +275,25 @@ def test_a_document_a_chunk(spark, monkeypatch, name):
     monkeypatch.setattr(f"sievemark.llm.{name}_dedup.CHUNK_BYTES", 300)
     rows = [(i, f"a{i} {PASSAGE if i % 3 else ''} b{i} " + " ".join(f"own{i}x{k}" for k in range(60))) for i in range(12)]
     assert rows_of(ours(spark, frame(spark, rows)), *columns) == sorted(brute(rows), key=repr)
+
+
+@pytest.mark.parametrize("most", [1 << 19, 900])
+def test_a_partition_sends_an_owner_one_message_a_turn(spark, monkeypatch, most):
+    """Messages are counted by partitions and owners, not by the batches that a partition is read in."""
+    monkeypatch.setattr(exact_module, "MESSAGE_KEYS", most)
+    partitions, owners, n = 3, 5, 6000
+    docs = spark.range(n, numPartitions=partitions).select(F.col("id").alias("doc_id"), F.concat(F.lit("Text "), F.col("id") % 4000).alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        sent = docs.mapInArrow(lambda batches: exact_module._ledger(batches, owners, most), exact_module._LEDGER).collect()
+        turns = 1 if most > n else -(-(n // partitions) // most)
+        assert len(sent) == partitions * owners * turns and len({(r.owner, r.sender) for r in sent}) == len(sent)
+        assert sorted(i for r in sent for i in r.doc_ids) == list(range(n))
+        for r in sent:
+            values = exact_module.golomb_decode(bytes(r.coded), r.n, r.rice)
+            assert len(values) == r.n and max(r.places) == r.n - 1 and len(r.shas) == len(r.places) == len(r.marked)
+        rows = {r.doc_id: (r.keep_id, r.group_size) for r in exact_classes(spark, docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert rows == {i: (i % 4000 + 4000, 2) if i % 4000 < 2000 else (i, 1) for i in range(n)}

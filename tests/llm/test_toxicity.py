@@ -67,3 +67,24 @@ def test_odd_rows(spark):
     assert t.reject_toxic(spark, docs, nothing).columns == docs.columns
     empty = docs.where("doc_id = 99")
     assert t.toxicity(spark, empty, labels).count() == 0
+
+
+def test_a_repeated_doc_id_counts_once_in_the_fit(spark):
+    """However often ``documents`` has a labelled doc_id, and with whatever texts, the fit sees one of its texts."""
+    rows = [(1, "you vile scum")] * 40 + [(1, None), (1, "another vile text"), (2, "a fine day"), (3, "")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, grade int")
+    texts = [None, "you vile scum", "another vile text"]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        sample = t.fit_sample(docs, labels).collect()
+        assert sorted(r.grade for r in sample) == [0, 0, 1]
+        own = {bytes(r.features) for x in texts for r in t.fit_sample(spark.createDataFrame([(1, x)], docs.schema), labels).collect()}
+        assert [bytes(r.features) for r in sample if r.grade == 1] == [max(own)]
+
+
+def test_every_feature_that_passes_the_test_is_kept():
+    """20,000 features that each tell the classes apart: no number of them is too many."""
+    shared = np.arange(20000)
+    features = [shared if k % 2 else np.array([30000 + k]) for k in range(60)]
+    model = t.fit(features, np.array([k % 2 for k in range(60)]), steps=2)
+    assert set(shared.tolist()) <= set(model.features.tolist())
