@@ -528,13 +528,8 @@ def logistic_detector_grid(spark, sf_dir):
     rows = _cells(spark, sf_dir).withColumn("class", F.col("label") % 2).drop("label")
     rows = rows.withColumn("split", F.when(F.col("vec_id") % 10 < 6, "train").when(F.col("vec_id") % 10 < 8, "val").otherwise("test"))
     scaled = cut(detector.scaled_vectors(rows, ["vec_id", "cell", "class", "split"], "embedding", "split = 'train'", ["cell"]))
-    both = scaled.where("split <> 'test'").groupBy("cell").agg(F.count_distinct("class", "split").alias("n")).where("n = 4")
-    out = [rows.join(both, "cell", "left_anti").withColumn("c", F.lit(None).cast("double")).withColumn("score", F.lit(None).cast("double"))]
-    for (cell,) in both.select("cell").orderBy("cell").collect():
-        margins, c, _ = detector.logistic_grid(scaled.where(F.col("cell") == cell), "embedding", "class = 1", "split")
-        out.append(margins.withColumn("c", F.lit(c)))
-    columns = ["vec_id", (2 * F.col("cell") + F.col("class")).alias("label"), "cell", "split", F.col("c").alias("selected_c"), F.round("score", 3).alias("score")]
-    return gates.gather(*(x.select(*columns) for x in out))
+    scored, _ = detector.logistic_grids(scaled, "cell", "embedding", "class = 1", "split")
+    return scored.select("vec_id", (2 * F.col("cell") + F.col("class")).alias("label"), "cell", "split", "selected_c", F.round("score", 3).alias("score"))
 
 
 # --- pairs of texts ----------------------------------------------------------------------------------------------

@@ -191,3 +191,44 @@ def test_logistic_optimum(spark):
     margins, c, tried = detector.logistic_grid(scaled, "v", "made = 1", "split", grid=(0.1, 1.0))
     assert c in (0.1, 1.0) and len(tried) == 2 and max(v for _, v in tried) == dict(tried)[c]
     assert margins.where("split = 'test' AND (score > 0) = (made = 1)").count() > 22
+
+
+def test_logistic_grids_of_many_cells(spark, monkeypatch):
+    """All cells at once: every fit is a minimum, cells don't touch each other, and cells that lack a class have no score."""
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    monkeypatch.setattr(detector, "_HELD", 2)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(900):
+        cell, made = i % 3, i // 3 % 2
+        rows.append((i, f"cell{cell}", made, ("train", "train", "val")[i // 6 % 3], (rng.normal(size=4) + made * (0.5 + cell)).tolist()))
+    rows += [(1000 + i, "one class", 1, ("train", "val")[i % 2], [1.0] * 4) for i in range(6)] + [(2000, None, 0, "train", [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id int, cell string, made int, split string, v array<double>").repartition(5)
+    scored, tried = detector.logistic_grids(df, "cell", "v", "made = 1", "split", grid=(0.01, 1.0, 100.0))
+    assert scored.columns == [*df.columns, "selected_c", "score"]
+    got = {r.id: r for r in scored.collect()}
+    assert len(got) == len(rows) and [(x, c) for x, c, _ in tried] == [(f"cell{k}", c) for k in range(3) for c in (0.01, 1.0, 100.0)]
+    assert all(r.score is None and r.selected_c is None for r in got.values() if r.id >= 1000)
+    for name in ("cell0", "cell1", "cell2"):
+        held = {c: value for x, c, value in tried if x == name}
+        own = [r for r in rows if r[1] == name]
+        c = got[own[0][0]].selected_c
+        assert c == min(k for k, v in held.items() if v == max(held.values()))
+        val = [(got[r[0]].score, r[2]) for r in own if r[3] == "val"]
+        pairs = [(a > b) + (a == b) / 2 for a, x in val if x for b, y in val if not y]
+        assert abs(sum(pairs) / len(pairs) - held[c]) < 1e-12
+        x = np.array([[*r[4], 1.0] for r in own])
+        w = np.linalg.lstsq(x, np.array([got[r[0]].score for r in own]), rcond=None)[0]
+        train = np.array([r[3] == "train" for r in own])
+        y = np.array([r[2] for r in own])
+        slope = x[train].T @ (1 / (1 + np.exp(-x[train] @ w)) - y[train]) + np.append(w[:-1], 0) / c
+        assert np.abs(slope).max() / train.sum() < 1e-7
+    data = df.where("cell = 'cell1' AND split = 'train'").select(array_to_vector("v").alias("features"), F.col("made").cast("double").alias("label"))
+    _, c, _ = detector.logistic_grid(df.where("cell = 'cell1'"), "v", "made = 1", "split", grid=(1.0,))
+    model = LogisticRegression(regParam=1 / (c * data.count()), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-12).fit(data)
+    alone = {r.id: r.score for r in detector.logistic_grid(df.where("cell = 'cell1'"), "v", "made = 1", "split", grid=(1.0,))[0].collect()}
+    for r in [r for r in rows if r[1] == "cell1"][:20]:
+        assert abs(float(np.dot(model.coefficients.toArray(), r[4]) + model.intercept) - alone[r[0]]) < 1e-4
