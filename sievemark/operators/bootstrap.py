@@ -2,7 +2,7 @@
 
 Draw k of replicate r is a hash of (seed, r, k), so any engine and any run draws alike. Replicates are spread over the
 cluster: a task draws its own, counts how often each source is drawn, and has the AUROC of every cell from running sums
-of these weights along the cell's sorted scores. So nothing of the size replicates x sources is moved. The sorted
+of these weights along the cell's sorted scores. So nothing of the size replicates x sources is moved or is a row. The sorted
 scores go to every task while they are few (``PLACES``); beyond that a replicate's weights meet the scores in a shuffle,
 as weighted histograms of at most one row for each source and side, with the same results.
 """
@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.md5 import Draws
 from ..functions.text import hash_draw
 from ..session import cut
 from .locks import placed
 
 
-#: Scores of all cells, 40 bytes each, that may go to every task.
-PLACES = 1 << 20
-#: Weights of a block of replicates, 8 bytes each, that a task holds.
+#: Scores of all cells, or rows of a resampled table, 16 bytes each, that may go to every task.
+PLACES = 1 << 22
+#: Draws of the replicates whose results are sent together.
 BLOCK = 1 << 22
 
 
@@ -38,67 +39,53 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
     return placed(df.select(key).distinct(), [key])
 
 
-def _block_aurocs(weights: np.ndarray, cells: list[tuple]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """For each cell the AUROC of every row of weights, and whether the cell has a weight at all; ties count a half."""
-    for name, place, order, low, high in cells:
-        own = weights[:, place]
-        below = np.concatenate([np.zeros((len(own), 1), np.int64), np.cumsum(own[:, order], axis=1)], axis=1)
-        twice = (own * (below[:, low] + below[:, high])).sum(axis=1)
-        total = own.sum(axis=1)
-        yield name, twice / np.maximum(2 * total * total, 1), total > 0
-
-
 def samples(scores: DataFrame, replicates: int, seed: int, cell: str = "cell", source: str = "source") -> DataFrame:
     """rep, cell, auroc of every replicate; one draw of sources serves all cells."""
     spark = scores.sparkSession
     scores = cut(scores.select(cell, source, "human", "generated"))
     places = numbered(scores, source)
-    rows = cut(scores.join(places, source).select(F.col(cell).cast("string").alias("cell"), "place", "human", "generated"))
+    rows = cut(scores.join(places, source).select(F.col(cell).cast("string").alias("cell"), F.col("place").cast("int").alias("place"), "human", "generated"))
     n = places.count()
     if rows.count() > PLACES:
         return _shuffled_samples(rows, draws(spark, replicates, n, seed), cell)
     held = rows.toArrow()
-    names = np.array(held.column("cell").to_pylist(), dtype=object)
-    place, human, made = (held.column(c).to_numpy() for c in ("place", "human", "generated"))
+    coded = held.column("cell").combine_chunks().dictionary_encode()
+    index, place, human, made = coded.indices.to_numpy(zero_copy_only=False), *(held.column(c).to_numpy() for c in ("place", "human", "generated"))
     cells = []
-    for name in dict.fromkeys(names.tolist()):
-        own = np.flatnonzero(names == name)
-        order = np.argsort(human[own], kind="stable")
-        ranked = human[own][order]
-        cells.append((name, place[own], order, np.searchsorted(ranked, made[own], "left"), np.searchsorted(ranked, made[own], "right")))
+    for k, name in enumerate(coded.dictionary.to_pylist()):
+        own = np.flatnonzero(index == k)
+        # both sides in the order of their scores: places of either, and where the generated ones fall among the human ones
+        h, g = own[np.argsort(human[own], kind="stable")], own[np.argsort(made[own], kind="stable")]
+        among = (np.searchsorted(human[h], made[g], side).astype(np.int32) for side in ("left", "right"))
+        cells.append((name, place[h].astype(np.int32), place[g].astype(np.int32), *among))
     block = max(1, BLOCK // max(n, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # draws of a replicate are next to each other, and a partition has whole replicates
-        held_reps: list[int] = []
-        weights = np.zeros((block, n), np.int64)
-
-        def flush() -> pa.RecordBatch:
-            out = [(np.array(held_reps)[some], name, auroc[some]) for name, auroc, some in _block_aurocs(weights[: len(held_reps)], cells)]
-            weights[:] = 0
-            held_reps.clear()
-            names = pa.array([name for reps, name, _ in out for _ in reps], pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r for r, _, _ in out])), names, pa.array(np.concatenate([x for _, _, x in out]))], names=["rep", "cell", "auroc"])
-
+        drawn = Draws(n)
         for batch in batches:
-            reps, drawn = batch.column("rep").to_numpy(), batch.column("place").to_numpy()
-            starts = np.flatnonzero(np.diff(reps, prepend=-1))
-            for a, b in zip(starts, [*starts[1:], len(reps)], strict=True):
-                if not held_reps or held_reps[-1] != reps[a]:
-                    if len(held_reps) == block:
-                        yield flush()
-                    held_reps.append(int(reps[a]))
-                weights[len(held_reps) - 1] += np.bincount(drawn[a:b], minlength=n)
-        if held_reps:
-            yield flush()
-
-    parts = min(replicates, max(spark.sparkContext.defaultParallelism, replicates * n >> 21))
-    each = spark.range(0, replicates, 1, max(parts, 1)).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    drawn = each.select("rep", hash_draw(n, F.lit(seed), "rep", "draw").alias("place"))
-    out = (drawn if n else drawn.limit(0)).mapInArrow(run, "rep long, cell string, auroc double")
+            reps = batch.column("rep").to_pylist()
+            for at in range(0, len(reps), block):
+                out = []
+                for rep in reps[at : at + block]:
+                    weights = np.bincount(drawn.of(seed, rep), minlength=n).astype(np.int32)
+                    for name, h, g, low, high in cells:
+                        below = np.zeros(len(h) + 1, np.int64)
+                        np.cumsum(weights[h], out=below[1:])
+                        total = int(below[-1])
+                        if total:
+                            out.append((rep, name, float(np.dot(weights[g], below[low] + below[high])) / (2 * total * total)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.string(), pa.float64()), strict=True)], names=["rep", "cell", "auroc"])
+
+    out = replicated(spark, replicates if n else 0, n).mapInArrow(run, "rep long, cell string, auroc double")
     return out.select("rep", F.col("cell").cast(scores.schema[cell].dataType).alias(cell), "auroc")
 
 
+def replicated(spark: SparkSession, replicates: int, n: int) -> DataFrame:
+    """rep: numbers of replicates of ``n`` draws each, a few seconds' work in a partition."""
+    parts = min(replicates, max(spark.sparkContext.defaultParallelism, replicates * n >> 24))
+    return spark.range(0, replicates, 1, max(parts, 1)).select(F.col("id").alias("rep"))
+
+
 def _shuffled_samples(rows: DataFrame, drawn: DataFrame, cell: str) -> DataFrame:
     """The same for more scores than a task holds: weights and scores meet in a shuffle."""
     weights = drawn.groupBy("rep", "place").agg(F.count(F.lit(1)).alias("w"))
