@@ -22,8 +22,8 @@ def normalize_whitespace(text: Column | str) -> Column:
 
 
 def words(text: Column | str) -> Column:
-    normal = normalize_whitespace(text)
-    return F.when(normal == "", F.array().cast("array<string>")).otherwise(F.split(normal, " "))
+    # only a blank text has an empty item
+    return F.array_remove(F.split(normalize_whitespace(text), " "), "")
 
 
 def word_count(text: Column | str) -> Column:

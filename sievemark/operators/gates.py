@@ -98,15 +98,14 @@ def queue(rows: DataFrame, gate: str = "queue") -> DataFrame:
     """Rules of a generation queue: required fields, one row for each cohort and source, id format, hash, bounds."""
     fields = ["source_id", "compact_index", "split_origin", "cohort", "human_sha256", "topic", "topic_sha256", "target_words", "low_words", "high_words"]
     key = ["cohort", "source_id"]
-    present = reduce(Column.__and__, [F.col(f).isNotNull() for f in fields])
-    return gather(
-        predicate(rows, gate, "required", key, present),
-        unique(rows, gate, key),
-        predicate(rows, gate, "source id", key, F.col("source_id") == F.format_string("arxiv2k:%04d", "compact_index")),
-        hashes(rows, gate, key, "topic", "topic_sha256"),
-        predicate(rows, gate, "bounds", key, (F.col("low_words") <= F.col("target_words")) & (F.col("target_words") <= F.col("high_words"))),
-        predicate(rows, gate, "split", key, F.col("split_origin").isin("train", "val", "test")),
-    )
+    rules = {
+        "required": reduce(Column.__and__, [F.col(f).isNotNull() for f in fields]),
+        "source id": F.col("source_id") == F.format_string("arxiv2k:%04d", "compact_index"),
+        "sha256 of topic": (sha256_text("topic") == F.col("topic_sha256"), F.col("topic_sha256")),
+        "bounds": (F.col("low_words") <= F.col("target_words")) & (F.col("target_words") <= F.col("high_words")),
+        "split": F.col("split_origin").isin("train", "val", "test"),
+    }
+    return gather(unique(rows, gate, key), compiled(rows, gate, key, rules))
 
 
 def result_cell(endpoints: DataFrame, queued: DataFrame, contract: DataFrame, gate: str = "result") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import configs, text
 from ..operators import gates
-from ..session import shared_folder
+from ..session import cut, shared_folder
 from ..sources import arrays, files
 from .catalogue import query
 from .tables import MANIFEST_SQL, manifest, table
@@ -99,7 +99,8 @@ _ZIP = "CASE WHEN compact_index % 23 = 1 THEN 'x' ELSE human_sha256 END AS human
 )
 def positional_zip_gate(spark, sf_dir):
     """A canonical manifest, with faults and missing rows, against the human texts row by row, both read from files."""
-    made = manifest(spark, sf_dir)
+    # both files and the last index come from these rows: texts are hashed and counted in one pass
+    made = cut(manifest(spark, sf_dir).select("source_id", "compact_index", "human_sha256", "human_word_count", "split_origin"))
     humans, canonical = _folder(spark, "humans"), _folder(spark, "canonical")
     files.write_csv(_in_order(made.select("compact_index", "human_sha256", "human_word_count"), "compact_index"), humans)
     last = made.agg(F.max("compact_index")).first()[0]
