@@ -1,8 +1,8 @@
 """Validators of whole cells of results: every rule on contracts, endpoints and summaries, in one scan of each table.
 
 A rule is a named condition on a joined row (``gates.compiled``): endpoints meet their queue row, their contract and
-what the panel wants of the cell once, whatever the number of rules. Rules on sets (files of a source, sources of a
-cell, splits) are aggregates. All violations come out, as rows of gate, rule, key and detail.
+what the panel wants of the cell once, whatever the number of rules. Contracts, one a cell, are few and go to every task, as a cell has any number
+of endpoints, which would meet in one. Rules on sets (files of a source, sources of a cell, splits) are aggregates. All violations come out, as rows of gate, rule, key and detail.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def contract_rules(contracts: DataFrame, wanted: DataFrame, gate: str = "contrac
     """
     fields = ["run_id", "account_alias", "config_sha256", "model_hf_id", "model_revision"]
     want = wanted.select(*_CELL, F.struct(*fields, "phase").alias("_want"))
-    met = contracts.withColumn("_own", own_hash(contracts)).join(want, _CELL, "left")
+    met = contracts.withColumn("_own", own_hash(contracts)).join(F.broadcast(want), _CELL, "left")
     w = lambda c: F.col("_want")[c]
     rules = {
         "wanted": F.col("_want").isNotNull(),
@@ -57,12 +57,12 @@ def listed_rules(listed: DataFrame, contracts: DataFrame, queue: DataFrame, gate
     ``queue`` has cohort, source_id and compact_index; the main cohort's list is in the order of compact_index from 0.
     """
     cells = contracts.select(*_CELL, "phase", cohort_of("phase").alias("cohort"))
-    rows = listed.join(cells, _CELL).join(queue.select("source_id", F.col("cohort").alias("_cohort"), F.col("compact_index").alias("_index")), "source_id", "left")
+    rows = listed.join(F.broadcast(cells), _CELL).join(queue.select("source_id", F.col("cohort").alias("_cohort"), F.col("compact_index").alias("_index")), "source_id", "left")
     rules = {
         "queued": F.col("_cohort").isNotNull(),
         "order": ((F.col("phase") != "main") | (F.col("_index") == F.col("position")), F.col("_index")),
     }
-    whole = cells.where("phase = 'main'").join(queue.where("cohort = 'main'").select("cohort", "source_id"), "cohort").select(*_SOURCE)
+    whole = queue.where("cohort = 'main'").select("cohort", "source_id").join(F.broadcast(cells.where("phase = 'main'")), "cohort").select(*_SOURCE)
     lacks = whole.join(listed.select(*_SOURCE), _SOURCE, "left_anti")
     return gates.gather(gates.unique(listed, gate, _SOURCE), gates.compiled(rows, gate, [*_CELL, "position"], rules), _rows(lacks, gate, "main lacks", _key(_SOURCE)))
 
@@ -75,7 +75,7 @@ def endpoint_rules(endpoints: DataFrame, contracts: DataFrame, queue: DataFrame,
     """
     repeated = ["contract_sha256", "run_id", "cohort", "phase", "model_hf_id", "model_revision"]
     own = ["human_sha256", "topic_sha256", "compact_index", "split_origin"]
-    met = endpoints.join(contracts.select(*_CELL, F.struct(*repeated).alias("_contract")), _CELL, "left").join(queue.select("source_id", F.struct(*own, "prompt_sha256").alias("_queued")), "source_id", "left")
+    met = endpoints.join(F.broadcast(contracts.select(*_CELL, F.struct(*repeated).alias("_contract"))), _CELL, "left").join(queue.select("source_id", F.struct(*own, "prompt_sha256").alias("_queued")), "source_id", "left")
     c, q = (lambda f: F.col("_contract")[f]), (lambda f: F.col("_queued")[f])
     absent = F.col("_contract").isNull(), F.col("_queued").isNull()
     rules = {
@@ -119,7 +119,7 @@ def completion_rules(completions: DataFrame, contracts: DataFrame, listed: DataF
     }
     splits = MAIN_SPLITS if splits is None else splits
     main = contracts.where("phase = 'main'").select(*_CELL)
-    found = endpoints.join(main, _CELL, "left_semi").groupBy(*_CELL, "split_origin").agg(F.count(F.lit(1)).alias("n"))
+    found = endpoints.join(F.broadcast(main), _CELL, "left_semi").groupBy(*_CELL, "split_origin").agg(F.count(F.lit(1)).alias("n"))
     wanted = main.select(*_CELL, F.explode(F.map_from_arrays(F.array(*map(F.lit, splits)), F.array(*map(F.lit, splits.values())))).alias("split_origin", "many"))
     both = found.join(wanted, [*_CELL, "split_origin"], "full")
     share = {"splits": (F.coalesce("n", F.lit(0)) == F.coalesce("many", F.lit(0)), F.coalesce("n", F.lit(0)))}
